@@ -156,10 +156,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def joined(s: Column) -> Column:
         return F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("s", lambda x: x["kind"].isin(*BASE))
     return listed.select(
         "doc_id",
-        *[F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *map(counted, BASE),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("s")).alias("spans"),
         F.array_max(F.transform("s", lambda x: x["score"])).alias("best_score"),
