@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventmill.llm import bpe, exact_dedup, fingerprints, packing, pii
+from eventmill.llm import bpe, chat, exact_dedup, fingerprints, langid, packing, pii, quality, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +19,34 @@ def _byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("position")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("n_chars")
 
@@ -40,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_personal_data, op5_document_fingerprints, op7_exact_dedup, op8_bpe_round_trip, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_language_id, op4_quality, op5_document_fingerprints, op6_chat_repair, op7_exact_dedup, op8_bpe_round_trip, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
