@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventmill.plans.scratch import materialize
+from eventmill.plans.scratch import discard, materialize
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        discard(before)
         now = edges.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),

@@ -33,3 +33,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if name.startswith(("file:", "hdfs:", "s3", "viewfs:", "/")) and _is_scratch(spark, name):
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _is_scratch(spark: SparkSession, name: str) -> bool:
+    own = scratch_dir(spark)
+    return name.replace("file:///", "/").replace("file:/", "/").startswith(own.replace("file:///", "/").replace("file:/", "/") + "/")
