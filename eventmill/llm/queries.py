@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventmill.llm import bpe, chat, exact_dedup, fingerprints, langid, packing, pii, quality, toxicity
+from eventmill.llm import bpe, chat, exact_dedup, fingerprints, langid, minhash, packing, pii, quality, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +55,16 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_documents(_documents(spark, sf_dir), _byte_bpe())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _byte_bpe())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_language_id, op4_quality, op5_document_fingerprints, op6_chat_repair, op7_exact_dedup, op8_bpe_round_trip, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_personal_data, op3_language_id, op4_quality, op5_document_fingerprints, op6_chat_repair, op7_exact_dedup, op8_bpe_round_trip, op9_near_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

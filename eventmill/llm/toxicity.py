@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventmill.llm.bpe import Remembered
 
 SAMPLE, LEAST, GRADES = 1500, 8, 3
-EPOCHS, RATE, L1 = 300, 0.05, 1e-4
+EPOCHS, RATE, L1, DECISION = 300, 0.05, 1e-4, 0.3
 
 _WORD = re.compile(r"\w+")
 _SLICE = re.compile(r"[\s\S]{1,1000000}\w*")
@@ -171,4 +171,4 @@ def severities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """``doc_id, severity, grade, p_toxic, toxic`` of every row."""
     model = fit_documents(docs, labels, id_col, text_col)
     told = docs.select(F.col(id_col).alias("doc_id"), predict(F.col(text_col), model, docs.sparkSession).alias("p"))
-    return told.select("doc_id", "p.*", (F.col("p.p_toxic") >= 0.5).alias("toxic"))
+    return told.select("doc_id", "p.*", (F.col("p.p_toxic") >= DECISION).alias("toxic"))
