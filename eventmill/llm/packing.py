@@ -7,9 +7,10 @@ has room, updating the counts of packing patterns; there are at most about twice
 patterns as lengths. Pieces then join the slots of the patterns by their rank among the
 pieces of their length.
 
-Where whole rests would leave more than ``slack`` of the space empty, rests are also cut at
-a smaller width: ``width`` is halved for rests until the space that stays empty is small
-enough or the width is 1. Cutting keeps all ids, each in one piece.
+Where whole rests would leave more than ``slack`` of the space empty (as when one length
+holds most documents), rests are cut at a smaller width: the largest of ``width / 2, / 4,
+…, / 32`` that leaves little enough empty, or the one that leaves least. The histogram
+tells it without another pass. Cutting keeps all ids, each in one piece.
 
 Defined results: a null text counts as empty, and an empty document is one piece of its
 end id alone; repeated rows are packed each for itself; an empty table gives no rows.
@@ -30,7 +31,7 @@ from eventmill.llm.bpe import PATTERN, Pieces, vocabulary
 from eventmill.plans.ranks import salted_rank
 from eventmill.plans.scratch import materialize
 
-WIDTH, END, SLACK = 2048, 1, 0.02
+WIDTH, END, SLACK = 2048, 1, 0.03
 
 
 class _Encoder:
@@ -109,7 +110,12 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[lis
         n = histogram[length]
         while n > 0:
             if not room or room[-1][0] < length:
-                put([[length, 1]], width - length, n)
+                # new packs, each filled before the next is opened
+                each = width // length
+                if n >= each:
+                    put([[length, each]], width - each * length, n // each)
+                if n % each:
+                    put([[length, n % each]], width - n % each * length, 1)
                 break
             left, at = room.pop()
             # every pack of this kind takes as many as make it no emptier than the next kind
@@ -179,18 +185,41 @@ def _place(length: Column, rank: Column, slots: dict[int, np.ndarray]) -> Column
     return placed(length, rank)
 
 
+def _cut_histogram(histogram: dict[int, int], width: int, rest_width: int) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for n, c in histogram.items():
+        parts = [n] if n == width else [rest_width] * (n // rest_width) + [n % rest_width] * (n % rest_width > 0)
+        for p in parts:
+            out[p] = out.get(p, 0) + c
+    return out
+
+
+def _rest_width(histogram: dict[int, int], width: int, slack: float) -> int:
+    tried = []
+    for k in range(6):
+        rest = max(1, width >> k)
+        empty = empty_share(shortest_pack_first(_cut_histogram(histogram, width, rest), width), width)
+        if empty <= slack:
+            return rest
+        tried.append((empty, -rest))
+    return -min(tried)[1]
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, end: int = END, slack: float = SLACK) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rest_width = width
-    while True:
-        cut = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(pieces(F.col("text"), path, width, rest_width, end)).alias("p"))
-        table = materialize(cut.select("row", "doc_id", "p.*"), "pieces")
-        histogram = {r.length: r.n for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
-        patterns = shortest_pack_first(histogram, width)
-        if empty_share(patterns, width) <= slack or sum(n * k for n, k in histogram.items()) < 64 * width or rest_width < 64:
-            break
-        rest_width //= 4
+
+    def cut(rest_width: int) -> tuple[DataFrame, dict[int, int]]:
+        made = pieces(F.col("text"), path, width, rest_width, end)
+        table = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(made).alias("p")).select("row", "doc_id", "p.*")
+        table = materialize(table, "pieces")
+        return table, {r.length: r.n for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``width`` rows at most
+
+    table, histogram = cut(width)
+    rest_width = _rest_width(histogram, width, slack)
+    if rest_width < width:
+        table, histogram = cut(rest_width)
+    patterns = shortest_pack_first(histogram, width)
     ranked = salted_rank(table, "length", ["row", "start"])
     return ranked.withColumn("at", _place(F.col("length"), F.col("rank"), _slots(patterns))).select(
         "doc_id", "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "at.sequence_id", "at.offset"
