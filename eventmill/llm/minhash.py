@@ -11,11 +11,12 @@ common subsequence of the two k-mer sequences inside the band of diagonals that
 0.8 allows. As labelled k-mers are distinct, it is the longest increasing run of matched
 positions. Similarity is matched / (n + m - matched); 1 minus it is a metric.
 
-Copies collapse before sketching counts. A bucket is not expanded into pairs: first all
-its members are compared with one centre, links are contracted to classes, and only
-buckets that still hold several classes go on: small ones compare their members of
-different classes, large ones with further centres, at last members of different classes.
-No bucket is cut off. Classes are the connected components of verified links.
+Copies collapse before sketching counts. A bucket is not expanded into pairs. In the first
+round, over every ``FIRST``-th sketch, members are compared with one centre, and links
+contract to classes. Then, over all sketches, buckets that hold several classes compare
+the members outside a centre's class with that centre, taken from the bucket's largest
+class, in some rounds; at last members of different classes with each other. A member is
+left out only where its class says that it is linked already. No bucket is cut off. Classes are the connected components of verified links.
 
 Defined results: words are compared in lower case; a text of fewer than five words is one
 k-mer; texts without a word are equal to each other only if they are equal as text; a null
@@ -41,7 +42,7 @@ K, LEAST = 5, 0.8
 LONG, SHORT = (6, 40), (3, 32)
 #: K-mers up to which a document has short sketches, and from which it has long ones.
 SHORT_TO, LONG_FROM = 80, 65
-SMALL_BUCKET, CENTRE_ROUNDS = 32, 6
+FIRST, CENTRE_ROUNDS = 9, 3
 
 _WORD = re.compile(r"\w+")
 _SLICE = re.compile(r"[\s\S]{1,1000000}\w*")
@@ -228,7 +229,15 @@ class _Links:
         return connected_components(links).select(F.col("node").alias("rid"), "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL_BUCKET, rounds: int = CENTRE_ROUNDS) -> DataFrame:
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes, with ``root`` and ``of_class``, the size of a class in its bucket."""
+    put = members.join(classes, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    kinds = put.groupBy("bucket", "root").agg(F.count("*").alias("of_class"))
+    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
+    return materialize(put.join(kinds.join(mixed, "bucket"), ["bucket", "root"]), "mixed")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = CENTRE_ROUNDS) -> DataFrame:
     """``doc_id, class_id, class_size, kept`` and the text's address ``k1, k2`` of every row.
 
     ``class_id`` is the least id of the class, whose first row is kept.
@@ -238,42 +247,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = materialize(rows.groupBy("k1", "k2").agg(F.min("rid").alias("rid")), "copies")
     base = rows.join(copies.select("rid"), "rid", "left_semi")
 
-    spread = base.select("rid", "n", F.explode("sketches").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rid", "n")).alias("centre")).where("size > 1")
-    members = materialize(spread.join(shared, "bucket").select("bucket", "rid", "n", "size", "centre"), "buckets")
+    spread = base.select("rid", "n", F.posexplode("sketches").alias("pos", "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rid", "n")).alias("centre")).where("size > 1").drop("size")
+    members = materialize(spread.join(shared, "bucket").select("bucket", "pos", "rid", "n", "centre"), "buckets")
 
     wanted = members.select("rid").distinct().join(rows.select("rid", "doc_id", "k1", "k2"), "rid")
     texts = source.join(wanted, [source.doc_id.eqNullSafe(wanted.doc_id), source.k1 == wanted.k1, source.k2 == wanted.k2]).select(wanted.rid, "text").dropDuplicates(["rid"])
     sequences = materialize(texts.select("rid", _sequence(F.col("text")).alias("seq")), "sequences")
 
     links = _Links(sequences)
-    links.add(members.where(_alike(F.col("n"), F.col("centre.n"))).select(F.col("centre.rid").alias("a"), F.col("rid").alias("b")))
-    open_members = members.where("rid <> centre.rid").select("bucket", "rid", "n")
-    for k in range(rounds + 1):
-        classes = materialize(links.classes(), "classes")
-        put = open_members.join(classes, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        kinds = put.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("c").alias("size")).where("kinds > 1").drop("kinds")
-        put = materialize(put.join(mixed, "bucket"), "open")
-        if put.isEmpty():
+    first_round = members.where((F.col("pos") % FIRST == 0) & _alike(F.col("n"), F.col("centre.n")))
+    links.add(first_round.select(F.col("centre.rid").alias("a"), F.col("rid").alias("b")))
+    classes = materialize(links.classes(), "classes")
+    open_members = members.select("bucket", "rid", "n")
+    for k in range(1, rounds + 1):
+        open_members, old = _mixed(open_members, classes), open_members
+        if k > 1:
+            discard(old)
+        if open_members.isEmpty():
             break
-        last = k == rounds
-        few = put if last else put.where(F.col("size") <= small)
-        one, two = (few.select("bucket", *[F.col(c).alias(c + x) for c in ("rid", "n", "root")]) for x in "ab")
-        pairs = one.join(two, "bucket").where((F.col("roota") < F.col("rootb")) & _alike(F.col("na"), F.col("nb"))).select(F.col("rida").alias("a"), F.col("ridb").alias("b"))
-        many = put.where(F.col("size") > small)
-        if not last and not many.isEmpty():
-            size_of = many.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rid", F.lit(k)), "rid", "n", "root")).alias("m"))
-            centres = materialize(size_of.groupBy("bucket").agg(F.min_by("m", F.struct("c", "m")).alias("m")).select("bucket", F.col("m.rid").alias("centre"), F.col("m.n").alias("cn"), F.col("m.root").alias("croot")), "centres")
-            with_centre = many.join(centres, "bucket")
-            pairs = pairs.unionByName(with_centre.where((F.col("root") != F.col("croot")) & _alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b")))
-            open_members = with_centre.where("rid <> centre").select("bucket", "rid", "n")
+        put = open_members
+        if k < rounds:
+            order = F.struct(-F.col("of_class"), F.xxhash64("root", F.lit(k)), F.xxhash64("rid", F.lit(k)), "rid", "n", "root")
+            centre = put.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.root").alias("croot"))
+            with_centre = put.join(centre, "bucket")
+            pairs = with_centre.where((F.col("root") != F.col("croot")) & _alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b"))
+            links.add(pairs)
+            open_members = materialize(with_centre.where("rid <> centre").select("bucket", "rid", "n"), "open")
+            discard(put)
         else:
-            open_members = put.limit(0).select("bucket", "rid", "n")
-        links.add(pairs)
-        if last or many.isEmpty():
-            classes = materialize(links.classes(), "classes")
-            break
+            one, two = (put.select("bucket", *[F.col(c).alias(c + x) for c in ("rid", "n", "root")]) for x in "ab")
+            pairs = one.join(two, "bucket").where((F.col("roota") < F.col("rootb")) & _alike(F.col("na"), F.col("nb"))).select(F.col("rida").alias("a"), F.col("ridb").alias("b"))
+            links.add(pairs)
+        classes = materialize(links.classes(), "classes")
 
     placed = rows.select("rid", "doc_id", "k1", "k2").join(copies.withColumnRenamed("rid", "copy_of"), ["k1", "k2"])
     placed = materialize(placed.join(classes.withColumnRenamed("rid", "copy_of"), "copy_of", "left").withColumn("root", F.coalesce("root", "copy_of")), "placed")
