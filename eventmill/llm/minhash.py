@@ -15,8 +15,9 @@ Copies collapse before sketching counts. A bucket is not expanded into pairs. In
 round, over every ``FIRST``-th sketch, members are compared with one centre, and links
 contract to classes. Then, over all sketches, buckets that hold several classes compare
 the members outside a centre's class with that centre, taken from the bucket's largest
-class, in some rounds; at last members of different classes with each other. A member is
-left out only where its class says that it is linked already. No bucket is cut off. Classes are the connected components of verified links.
+class, in some rounds. Members of buckets that are mixed still are compared across classes
+by an exact prefix filter on their rarest k-mers. A member is left out only where its class
+says that it is linked already. No bucket is cut off. Classes are the connected components of verified links.
 
 Defined results: words are compared in lower case; a text of fewer than five words is one
 k-mer; texts without a word are equal to each other only if they are equal as text; a null
@@ -229,6 +230,28 @@ class _Links:
         return connected_components(links).select(F.col("node").alias("rid"), "root")
 
 
+def _by_prefix(rows: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different classes that may be similar: exact, and without expanding a bucket.
+
+    Two sequences of similarity ``LEAST`` share one of the rarest n - ceil(0.8 n) + 1 k-mers of
+    each. A document that changed more than a fifth of its k-mers shares none of these.
+    """
+    sizes = rows.groupBy("root").agg(F.count("*").alias("of_root"))
+    docs = materialize(rows.join(sizes, "root"), "prefix-rows")
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 4).cast("int") - 1), lambda k: F.substring(F.col("seq"), (k * 4 + 1).cast("int"), F.lit(4)))
+    grams = sequences.where(F.length("seq") > 0).join(docs, "rid").select("rid", "n", "root", "of_root", F.explode(cut).alias("g"))
+    rare = grams.groupBy("g").agg(F.count("*").alias("df"))
+    keyed = grams.join(rare, "g").groupBy("rid", "n", "root", "of_root").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    first = F.slice("gs", F.lit(1), (F.col("n") - F.ceil(LEAST * F.col("n")) + 1).cast("int"))
+    prefix = materialize(keyed.select("rid", "n", F.struct("of_root", "root").alias("class"), F.explode(first).alias("p")).where("p.df > 1").select("rid", "n", "class", "p.g"), "prefixes")
+    largest = docs.agg(F.max(F.struct("of_root", "root")).alias("c")).first().c
+    left = prefix.select("g", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"))
+    if largest is not None:
+        left = left.where(F.col("ca.root") != largest.root)
+    right = prefix.select("g", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"))
+    return left.join(right, "g").where((F.col("ca") < F.col("cb")) & _alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+
+
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of the buckets that hold several classes, with ``root`` and ``of_class``, the size of a class in its bucket."""
     put = members.join(classes, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
@@ -276,8 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             open_members = materialize(with_centre.where("rid <> centre").select("bucket", "rid", "n"), "open")
             discard(put)
         else:
-            one, two = (put.select("bucket", *[F.col(c).alias(c + x) for c in ("rid", "n", "root")]) for x in "ab")
-            pairs = one.join(two, "bucket").where((F.col("roota") < F.col("rootb")) & _alike(F.col("na"), F.col("nb"))).select(F.col("rida").alias("a"), F.col("ridb").alias("b"))
+            pairs = _by_prefix(put.select("rid", "n", "root").distinct(), sequences)
             links.add(pairs)
         classes = materialize(links.classes(), "classes")
 
