@@ -19,8 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,44 +66,57 @@ class Severity:
         """P(grade > 0), P(grade > 1), P(grade > 2)."""
         score = math.fsum(map(self._of.__getitem__, words(text))) if self.weights else 0.0
         self._of.trim()
-        return [1.0 / (1.0 + math.exp(min(500.0, max(-500.0, t - score)))) for t in self.thresholds]
+        return [0.0 if t == math.inf else 1.0 / (1.0 + math.exp(min(500.0, max(-500.0, t - score)))) for t in self.thresholds]
 
 
-def grades(documents: list[Counter], toxic: np.ndarray) -> np.ndarray:
+class Bags:
+    """Documents as arrays of feature numbers; each feature's text is held once."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows: list[tuple[int, int, np.ndarray]] = []  # id, toxic, features
+
+    def add(self, doc_id: int, toxic: int, found: Iterable[str]) -> None:
+        number = self.index.setdefault
+        flat = [number(f, len(self.index)) for w in found for f in features(w)]
+        self.rows.append((doc_id, toxic, np.sort(np.array(flat, np.int32))))
+
+
+def grades(bags: list[np.ndarray], toxic: np.ndarray, seen: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """0 for clean documents; 1 to 3 by thirds of the toxic ones' log-odds mass."""
-    bad, good = Counter(), Counter()
-    for d, y in zip(documents, toxic):
-        (bad if y else good).update(d.keys())
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    odds = {w: math.log((c + 0.5) / (n1 + 1) / ((good[w] + 0.5) / (n0 + 1))) for w, c in bad.items() if c >= LEAST}
-    odds = {w: x for w, x in odds.items() if x > 2.0}
-    mass = np.array([sum(odds.get(f, 0.0) * c for f, c in d.items()) for d in documents])
-    out = np.zeros(len(documents), int)
+    odds = np.log((bad + 0.5) / (n1 + 1) / ((seen - bad + 0.5) / (n0 + 1)))
+    odds[(bad < LEAST) | (odds <= 2.0)] = 0.0
+    mass = np.array([odds[b].sum() for b in bags])
+    out = np.zeros(len(bags), int)
     if toxic.any():
         cuts = np.quantile(mass[toxic == 1], [1 / 3, 2 / 3])
         out[toxic == 1] = 1 + np.searchsorted(cuts, mass[toxic == 1], side="left")
     return out
 
 
-def fit(documents: list[set[str]], toxic: list[int]) -> Severity:
+def fit(sample: Bags) -> Severity:
     """Proportional odds with an L1 penalty and weights of 0 or more, by projected Adam steps.
 
     Features are those in ``LEAST`` documents that are more frequent in toxic ones.
     """
-    y1 = np.array(toxic, int)
+    ordered = sorted(sample.rows, key=lambda r: (r[0], r[1], len(r[2])))
+    y1 = np.array([y for _, y, _ in ordered], int)
     if not len(y1) or y1.min() == y1.max():
         return Severity()
-    bags = [Counter(f for w in d for f in features(w)) for d in documents]
-    y = grades(bags, y1)
-    seen, bad = Counter(), Counter()
-    for d, t in zip(bags, y1):
-        seen.update(d.keys())
-        if t:
-            bad.update(d.keys())
+    bags = [b for _, _, b in ordered]
+    seen, bad = np.zeros(len(sample.index)), np.zeros(len(sample.index))
+    for b, t in zip(bags, y1):
+        once = np.unique(b)
+        seen[once] += 1
+        bad[once] += t
+    y = grades(bags, y1, seen, bad)
     share = y1.mean()
-    names = sorted(f for f, c in seen.items() if c >= LEAST and bad[f] / c > share + 0.5 * (1 - share))
-    at = {f: k for k, f in enumerate(names)}
-    rows = [np.array(sorted(at[f] for f in d.elements() if f in at), int) for d in bags]
+    good = (seen >= LEAST) & (bad > (share + 0.5 * (1 - share)) * seen)
+    names = sorted(f for f, k in sample.index.items() if good[k])
+    at = np.full(len(sample.index), -1)
+    at[[sample.index[f] for f in names]] = np.arange(len(names))
+    rows = [np.sort(at[b][at[b] >= 0]) for b in bags]
     flat = np.concatenate(rows)
     n = len(y)
     doc = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -144,9 +156,10 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return pd.Series([sorted(words(t)) for t in texts], dtype=object)
 
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = text.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", parts("text").alias("w")).toLocalIterator()
-    got = sorted(((r.doc_id, r.toxic, set(r.w)) for r in rows), key=lambda r: (r[0], r[1], len(r[2])))
-    return fit([w for _, _, w in got], [y for _, y, _ in got])
+    sample_rows = Bags()
+    for r in text.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", parts("text").alias("w")).toLocalIterator():
+        sample_rows.add(r.doc_id, r.toxic, r.w)
+    return fit(sample_rows)
 
 
 def predict(text: Column, model: Severity, spark) -> Column:
