@@ -12,12 +12,13 @@ common subsequence of the two k-mer sequences inside the band of diagonals that
 positions. Similarity is matched / (n + m - matched); 1 minus it is a metric.
 
 Copies collapse before sketching counts. A bucket is not expanded into pairs. In the first
-round, over every ``FIRST``-th sketch, members are compared with one centre, and links
-contract to classes. Then, over all sketches, buckets that hold several classes compare
-the members outside a centre's class with that centre, taken from the bucket's largest
-class, in some rounds. Members of buckets that are mixed still are compared across classes
-by an exact prefix filter on their rarest k-mers. A member is left out only where its class
-says that it is linked already. No bucket is cut off. Classes are the connected components of verified links.
+round, over every ``FIRST``-th sketch, members are compared with one centre, the member that
+shares most sketches with others, and links contract to classes. Then, over all sketches,
+buckets that hold several classes compare the members outside a centre's class with that
+centre, taken from the bucket's largest class, in some rounds. Members of buckets that are
+mixed still are compared across classes by an exact prefix filter on what tells each of them
+from the hub of its region (``_by_hub``). A member is left out only where its class says that
+it is linked already. No bucket is cut off. Classes are the connected components of verified links.
 
 Defined results: words are compared in lower case; a text of fewer than five words is one
 k-mer; texts without a word are equal to each other only if they are equal as text; a null
@@ -43,7 +44,7 @@ K, LEAST = 5, 0.8
 LONG, SHORT = (6, 40), (3, 32)
 #: K-mers up to which a document has short sketches, and from which it has long ones.
 SHORT_TO, LONG_FROM = 80, 65
-FIRST, CENTRE_ROUNDS = 9, 3
+FIRST, CENTRE_ROUNDS = 9, 2
 
 _WORD = re.compile(r"\w+")
 _SLICE = re.compile(r"[\s\S]{1,1000000}\w*")
@@ -230,26 +231,91 @@ class _Links:
         return connected_components(links).select(F.col("node").alias("rid"), "root")
 
 
-def _by_prefix(rows: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different classes that may be similar: exact, and without expanding a bucket.
+def _difference(x: Column, y: Column) -> Column:
+    """The k-mers that only one of two sequences has."""
 
-    Two sequences of similarity ``LEAST`` share one of the rarest n - ceil(0.8 n) + 1 k-mers of
-    each. A document that changed more than a fifth of its k-mers shares none of these.
+    @F.pandas_udf("array<int>")
+    def told(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(x, y)], dtype=object)
+
+    return told(x, y)
+
+
+def _regions(put: DataFrame, scores: DataFrame) -> DataFrame:
+    """Members of mixed buckets by region, with the region's hub; ``own`` if the region has their length.
+
+    A region is a component of the buckets and a band of lengths. A member also belongs to the
+    next band, so that any two of one component whose lengths are alike share a region.
+    """
+    lowest = put.groupBy("bucket").agg(F.min("rid").alias("v"))
+    parts = connected_components(put.join(lowest, "bucket").select(F.col("rid").alias("u"), "v")).select(F.col("node").alias("rid"), F.col("root").alias("part"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 / LEAST))).cast("int")
+    docs = put.select("rid", "n").distinct().join(parts, "rid").join(scores, "rid").withColumn("own_band", band)
+    docs = materialize(docs.select("rid", "n", "part", "score", "own_band", F.explode(F.array("own_band", F.col("own_band") + 1)).alias("band")).withColumn("own", F.col("band") == F.col("own_band")), "regions")
+    hub = F.min(F.when(F.col("own"), F.struct(-F.col("score"), F.col("rid"), F.col("n"))))
+    hubs = docs.groupBy("part", "band").agg(hub.alias("h"), F.count("*").alias("size")).where("h is not null")
+    return materialize(docs.join(hubs, ["part", "band"]).select("rid", "n", "own", "size", F.col("h.rid").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+
+
+def _by_hub(regions: DataFrame, classes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different classes in one region that may be similar: exact, and without expanding a region.
+
+    With D the k-mers that tell a document from the hub, two documents differ in the k-mers that
+    tell their Ds apart. Similarity ``LEAST`` allows (n + m) / 9 of these, so that Ds share
+    t = (|D| + |D'| - (n + m) / 9) / 2 k-mers, and both have one of them among the |D| - t + 1
+    that are rarest in the region. One of a pair is not linked to the hub, which makes
+    t > 4 / 9 |D'|. What a large group has in common is in no D, or in all of them and not rare.
+    The exception are documents that have the hub's k-mers in another order; they are compared by all their k-mers.
+    """
+    root = classes.select("rid", "root")
+    hub_root = classes.select(F.col("rid").alias("hub"), F.col("root").alias("hub_root"))
+    salt = F.pmod("rid", F.col("parts"))
+    rows = regions.withColumn("parts", (F.floor(F.col("size") / 500) + 1).cast("long")).withColumn("part", salt)
+    rows = rows.join(root, "rid", "left").withColumn("root", F.coalesce("root", "rid")).join(sequences, "rid")
+    hubs = rows.select("hub", "parts").distinct().join(sequences.select(F.col("rid").alias("hub"), F.col("seq").alias("hub_seq")), "hub").join(hub_root, "hub", "left")
+    hubs = hubs.withColumn("hub_root", F.coalesce("hub_root", "hub")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    told = rows.join(hubs, ["hub", "part"]).withColumn("d", _difference(F.col("seq"), F.col("hub_seq"))).drop("seq", "hub_seq", "part", "parts", "size")
+    told = materialize(told.withColumns({"nd": F.size("d"), "far": F.col("root") != F.col("hub_root")}), "told")
+    share = (1 - LEAST) / (1 + LEAST)
+    slack = share * (F.col("n") + F.col("hub_n")) + 1e-9
+
+    grams = told.select("hub", "rid", F.explode("d").alias("g"))
+    rare = grams.groupBy("hub", "g").agg(F.count("*").alias("df"))
+    ranked = grams.join(rare, ["hub", "g"]).groupBy("hub", "rid").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    least_t = F.when(F.col("far"), F.greatest(F.lit(1.0), (F.col("nd") - slack) / 2)).otherwise(F.lit((1 - share) / 2) * F.col("nd"))
+    first = F.slice("gs", F.lit(1), (F.col("nd") - F.ceil(least_t - 1e-9) + 1).cast("int"))
+    ranked = ranked.join(told.drop("d"), ["hub", "rid"]).withColumn("gs", first)
+    prefix = materialize(ranked.select("hub", "rid", "n", "nd", "root", "own", "far", F.posexplode("gs").alias("p", "e")).where("e.df > 1").select("hub", "rid", "n", "nd", "root", "own", "far", "p", "e.g"), "prefixes")
+
+    def side(k: str) -> list[Column]:
+        return [F.col(c).alias(c + k) for c in ("rid", "n", "nd", "root", "own", "far", "p")]
+
+    left = prefix.where("far").select("hub", "g", *side("1"))
+    right = prefix.select("hub", "g", *side("2"))
+    t = F.ceil(((1 - share) / 2 * (F.col("nd1") + F.col("nd2")) + share / 2 * (F.col("nd1") + F.col("nd2") - F.col("n1") - F.col("n2"))) - 1e-9)
+    apart = (F.col("root1") != F.col("root2")) & (F.col("own1") | F.col("own2")) & (~F.col("far2") | (F.col("rid1") < F.col("rid2"))) & _alike(F.col("n1"), F.col("n2"))
+    joint = (F.col("p1") <= F.col("nd1") - t) & (F.col("p2") <= F.col("nd2") - t)
+    pairs = left.join(right, ["hub", "g"]).where(apart & joint).select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
+    odd = told.where(F.col("far") & (F.col("nd") <= slack)).select("rid").distinct()
+    if not odd.isEmpty():
+        pairs = pairs.unionByName(_by_prefix(told.select("rid", "n", "root").distinct(), odd, sequences))
+    return pairs
+
+
+def _by_prefix(docs: DataFrame, some: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Pairs of one of ``some`` and one of ``docs`` (``rid, n, root``) of another class that may be similar, exact.
+
+    Two sequences of similarity ``LEAST`` share one of the rarest n - ceil(0.8 n) + 1 k-mers of each.
     """
-    sizes = rows.groupBy("root").agg(F.count("*").alias("of_root"))
-    docs = materialize(rows.join(sizes, "root"), "prefix-rows")
     cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 4).cast("int") - 1), lambda k: F.substring(F.col("seq"), (k * 4 + 1).cast("int"), F.lit(4)))
-    grams = sequences.where(F.length("seq") > 0).join(docs, "rid").select("rid", "n", "root", "of_root", F.explode(cut).alias("g"))
+    grams = sequences.where(F.length("seq") > 0).join(docs, "rid").select("rid", "n", "root", F.explode(cut).alias("g"))
     rare = grams.groupBy("g").agg(F.count("*").alias("df"))
-    keyed = grams.join(rare, "g").groupBy("rid", "n", "root", "of_root").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    keyed = grams.join(rare, "g").groupBy("rid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
     first = F.slice("gs", F.lit(1), (F.col("n") - F.ceil(LEAST * F.col("n")) + 1).cast("int"))
-    prefix = materialize(keyed.select("rid", "n", F.struct("of_root", "root").alias("class"), F.explode(first).alias("p")).where("p.df > 1").select("rid", "n", "class", "p.g"), "prefixes")
-    largest = docs.agg(F.max(F.struct("of_root", "root")).alias("c")).first().c
-    left = prefix.select("g", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"))
-    if largest is not None:
-        left = left.where(F.col("ca.root") != largest.root)
-    right = prefix.select("g", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"))
-    return left.join(right, "g").where((F.col("ca") < F.col("cb")) & _alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    prefix = materialize(keyed.select("rid", "n", "root", F.explode(first).alias("p")).where("p.df > 1").select("rid", "n", "root", "p.g"), "prefixes")
+    left = prefix.join(some, "rid", "left_semi").select("g", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = prefix.select("g", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    return left.join(right, "g").where((F.col("ra") != F.col("rb")) & _alike(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -271,16 +337,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = rows.join(copies.select("rid"), "rid", "left_semi")
 
     spread = base.select("rid", "n", F.posexplode("sketches").alias("pos", "bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("rid", "n")).alias("centre")).where("size > 1").drop("size")
-    members = materialize(spread.join(shared, "bucket").select("bucket", "pos", "rid", "n", "centre"), "buckets")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(spread.join(shared, "bucket").select("bucket", "pos", "rid", "n", "size"), "buckets")
+    scores = materialize(members.groupBy("rid").agg(F.sum("size").alias("score")), "scores")
 
     wanted = members.select("rid").distinct().join(rows.select("rid", "doc_id", "k1", "k2"), "rid")
     texts = source.join(wanted, [source.doc_id.eqNullSafe(wanted.doc_id), source.k1 == wanted.k1, source.k2 == wanted.k2]).select(wanted.rid, "text").dropDuplicates(["rid"])
     sequences = materialize(texts.select("rid", _sequence(F.col("text")).alias("seq")), "sequences")
 
     links = _Links(sequences)
-    first_round = members.where((F.col("pos") % FIRST == 0) & _alike(F.col("n"), F.col("centre.n")))
-    links.add(first_round.select(F.col("centre.rid").alias("a"), F.col("rid").alias("b")))
+    ninth = members.where(F.col("pos") % FIRST == 0).select("bucket", "rid", "n")
+    first_centre = ninth.join(scores, "rid").groupBy("bucket").agg(F.min(F.struct(-F.col("score"), "rid", "n")).alias("c"))
+    first_round = ninth.join(first_centre, "bucket").where(_alike(F.col("n"), F.col("c.n")))
+    links.add(first_round.select(F.col("c.rid").alias("a"), F.col("rid").alias("b")))
     classes = materialize(links.classes(), "classes")
     open_members = members.select("bucket", "rid", "n")
     for k in range(1, rounds + 1):
@@ -291,16 +360,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         put = open_members
         if k < rounds:
-            order = F.struct(-F.col("of_class"), F.xxhash64("root", F.lit(k)), F.xxhash64("rid", F.lit(k)), "rid", "n", "root")
-            centre = put.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.root").alias("croot"))
+            order = F.struct(-F.col("of_class"), -F.col("score"), "rid", "n", "root")
+            centre = put.join(scores, "rid").groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.root").alias("croot"))
             with_centre = put.join(centre, "bucket")
             pairs = with_centre.where((F.col("root") != F.col("croot")) & _alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b"))
             links.add(pairs)
             open_members = materialize(with_centre.where("rid <> centre").select("bucket", "rid", "n"), "open")
             discard(put)
         else:
-            pairs = _by_prefix(put.select("rid", "n", "root").distinct(), sequences)
-            links.add(pairs)
+            regions = _regions(put, scores)
+            links.add(regions.where(_alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rid").alias("b")))
+            links.add(_by_hub(regions, materialize(links.classes(), "classes"), sequences))
         classes = materialize(links.classes(), "classes")
 
     placed = rows.select("rid", "doc_id", "k1", "k2").join(copies.withColumnRenamed("rid", "copy_of"), ["k1", "k2"])
