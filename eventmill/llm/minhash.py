@@ -280,12 +280,14 @@ def _by_hub(regions: DataFrame, classes: DataFrame, sequences: DataFrame) -> Dat
     slack = share * (F.col("n") + F.col("hub_n")) + 1e-9
 
     grams = told.select("hub", "rid", F.explode("d").alias("g"))
-    rare = grams.groupBy("hub", "g").agg(F.count("*").alias("df"))
+    rare = grams.groupBy("hub", "g").agg(F.count("*").alias("df")).where("df > 1")  # the others come first, and meet nothing
     ranked = grams.join(rare, ["hub", "g"]).groupBy("hub", "rid").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
     least_t = F.when(F.col("far"), F.greatest(F.lit(1.0), (F.col("nd") - slack) / 2)).otherwise(F.lit((1 - share) / 2) * F.col("nd"))
-    first = F.slice("gs", F.lit(1), (F.col("nd") - F.ceil(least_t - 1e-9) + 1).cast("int"))
-    ranked = ranked.join(told.drop("d"), ["hub", "rid"]).withColumn("gs", first)
-    prefix = materialize(ranked.select("hub", "rid", "n", "nd", "root", "own", "far", F.posexplode("gs").alias("p", "e")).where("e.df > 1").select("hub", "rid", "n", "nd", "root", "own", "far", "p", "e.g"), "prefixes")
+    ranked = ranked.join(told.drop("d"), ["hub", "rid"]).withColumn("alone", F.col("nd") - F.size("gs"))
+    length = F.col("nd") - F.ceil(least_t - 1e-9) + 1 - F.col("alone")
+    first = F.posexplode(F.slice("gs", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("p", "e")
+    prefix = ranked.select("hub", "rid", "n", "nd", "root", "own", "far", "alone", first)
+    prefix = materialize(prefix.select("hub", "rid", "n", "nd", "root", "own", "far", (F.col("alone") + F.col("p")).alias("p"), "e.g"), "prefixes")
 
     def side(k: str) -> list[Column]:
         return [F.col(c).alias(c + k) for c in ("rid", "n", "nd", "root", "own", "far", "p")]
