@@ -241,6 +241,25 @@ def test_near_duplicates_match_brute_force(spark, rounds):
     assert sorted(k for k, r in got.items() if r.kept) == sorted(set(want.values()))
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    """One passage with various ends, so that pairs lie around 0.8, and the same in another order."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(2000)]
+    core = [rng.choice(words) for _ in range(70)]
+    texts = [" ".join(core), " ".join(core[35:] + core[:35]), " ".join(core[36:] + core[:36])]
+    for _ in range(90):
+        copy = core[rng.randint(0, 6) :] + [rng.choice(words) for _ in range(rng.randint(0, 14))]
+        if rng.random() < 0.2:
+            copy = copy[40:] + copy[:40]
+        texts.append(" ".join(copy))
+    h = [minhash.kmers(t) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if minhash.aligned(h[i], h[j]) >= 0.8]
+    want = _classes(pairs, range(len(texts)))
+    assert 2 < len(set(want.values())) < len(texts)
+    got = minhash.near_duplicates(_docs(spark, texts), rounds=1).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_near_duplicates_repeated_rows_and_empty(spark):
     d = _docs(spark, ["one two three four five six", "seven"])
     kept = minhash.keep_first(d.unionByName(d))
