@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmill.functions.columns import finite
 from eventmill.operators.gates import Gate, masks
@@ -64,10 +64,43 @@ def histogram(events: DataFrame, keys: list[str], value: Column, low: float, hig
     return events.where(finite(value).between(low, high)).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def pivot(rows: DataFrame, left: str, right: str, value: Column) -> DataFrame:
+    """``left, right, n, mean, median`` of the finite values: a row for each pair of a ``left`` and a ``right`` value.
+
+    The values of both columns are those of the rows, NULL among them; a pair without rows has n 0.
+    """
+    cells = rows.groupBy(left, right).agg(F.count(v := finite(value)).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"))
+    a, b = (rows.select(F.col(c).alias(f"all_{c}")).distinct() for c in (left, right))
+    here = F.col(f"all_{left}").eqNullSafe(F.col(left)) & F.col(f"all_{right}").eqNullSafe(F.col(right))
+    return a.crossJoin(b).join(cells, here, "left").select(F.col(f"all_{left}").alias(left), F.col(f"all_{right}").alias(right), F.coalesce("n", F.lit(0)).alias("n"), "mean", "median")
+
+
+def ks_to_control(events: DataFrame, population: str, value: Column, control: str, width: float = 1.0) -> DataFrame:
+    """``population, distance, n_control, n``: the Kolmogorov-Smirnov distance of every other population to the control, over finite values.
+
+    The distance is met just before or at a value of the population, so the control's
+    distribution is read at these values only, by prefix sums over cells of ``width``.
+    """
+    is_control = F.coalesce(F.col("population") == control, F.lit(False))
+    rows = events.select(F.col(population).alias("population"), finite(value).alias("v")).where("v IS NOT NULL")
+    g = rows.groupBy("population", "v").agg(F.count("*").alias("n")).withColumns({"cell": F.floor(F.col("v") / width), "c": F.when(is_control, F.col("n")).otherwise(0)})
+    cells = g.groupBy("population", "cell").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    up, each = Window.orderBy("cell"), Window.partitionBy("population")
+    before = (Window.unboundedPreceding, -1)
+    held = cells.groupBy("cell").agg(F.sum("c").alias("c"))
+    held = held.select(F.col("cell").alias("at"), F.coalesce(F.sum("c").over(up.rowsBetween(*before)), F.lit(0)).alias("c0"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n_control"))
+    own = cells.select(F.col("population").alias("of"), F.col("cell").alias("own_at"), F.coalesce(F.sum("n").over(each.orderBy("cell").rowsBetween(*before)), F.lit(0)).alias("n0"), F.sum("n").over(each).alias("total"))
+    inside = Window.partitionBy("cell").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = Window.partitionBy("cell", "population").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = g.withColumns({"cc": F.sum("c").over(inside), "tie": F.sum("c").over(Window.partitionBy("cell", "v")), "nn": F.sum("n").over(mine)})
+    f = f.where(~is_control).join(held, F.col("cell") == F.col("at")).join(own, (F.col("cell") == F.col("own_at")) & F.col("population").eqNullSafe(F.col("of")))
+    fc, fb = F.col("c0") + F.col("cc"), F.col("n0") + F.col("nn")
+    apart = F.greatest(F.abs(fc / F.col("n_control") - fb / F.col("total")), F.abs((fc - F.col("tie")) / F.col("n_control") - (fb - F.col("n")) / F.col("total")))
+    return f.groupBy("population").agg(F.max(F.when(F.col("n_control") > 0, apart)).alias("distance"), F.max("n_control").alias("n_control"), F.max("total").alias("n"))
+
+
 def holm_and_bh(tests: DataFrame, p: str, keys: list[str]) -> DataFrame:
     """Adjusted p-values of each family of tests."""
-    from pyspark.sql import Window
-
     up = Window.partitionBy(*keys).orderBy(p, "test")
     m = F.count(p).over(Window.partitionBy(*keys))
     r = F.row_number().over(up)

@@ -167,6 +167,15 @@ def pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("priority", *[F.coalesce(c, F.lit(0)).alias(c.lower()) if c.endswith("_n") else F.col(c).alias(c.lower()) for c in wide.columns[1:]])
 
 
+@registered("""
+WITH a AS (SELECT DISTINCT o_orderpriority AS priority FROM orders), b AS (SELECT DISTINCT o_orderstatus AS status FROM orders)
+SELECT priority, status, count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median
+FROM a CROSS JOIN b LEFT JOIN orders ON o_orderpriority IS NOT DISTINCT FROM priority AND o_orderstatus IS NOT DISTINCT FROM status GROUP BY 1, 2""")
+def pivot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    return P.pivot(rows, "priority", "status", F.col("o_totalprice")).withColumns({"mean": _r("mean", 4), "median": _r("median", 4)})
+
+
 @registered(f"""
 WITH h AS (SELECT event_type AS sample, least(floor(x / 12.5), 39)::INT AS bin, count(*) AS n FROM {_E} WHERE isfinite(x) AND x BETWEEN 0 AND 500 GROUP BY 1, 2)
 SELECT sample, bin, n, round(100.0 * n / sum(n) OVER (PARTITION BY sample), 6) AS percent, round(n / sum(n) OVER (PARTITION BY sample) / 12.5, 8) AS area,
@@ -269,6 +278,18 @@ def kolmogorov_smirnov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(_r(F.max(F.abs(F.col("fa") - F.col("fb"))), 9).alias("distance"), F.max("tca").alias("n_a"), F.max("tcb").alias("n_b"))
 
 
+@registered("""
+WITH e AS (SELECT event_type AS population, value AS v FROM events WHERE isfinite(value)),
+o AS (SELECT population, v, 1 AS ib, 0 AS ia FROM e WHERE population <> 'view' UNION ALL SELECT p.population, e.v, 0, 1 FROM (SELECT DISTINCT population FROM e WHERE population <> 'view') p, e WHERE e.population = 'view'),
+g AS (SELECT population, v, sum(ia) AS ia, sum(ib) AS ib FROM o GROUP BY 1, 2),
+t AS (SELECT population, sum(ia) AS na, sum(ib) AS nb FROM g GROUP BY 1),
+f AS (SELECT population, na, nb, sum(ia) OVER (PARTITION BY population ORDER BY v) / na AS fa, sum(ib) OVER (PARTITION BY population ORDER BY v) / nb AS fb FROM g JOIN t USING (population))
+SELECT population, round(max(abs(fa - fb)), 9) AS distance, CAST(max(na) AS BIGINT) AS n_control, CAST(max(nb) AS BIGINT) AS n FROM f GROUP BY 1""")
+def kolmogorov_smirnov_to_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event type against the control, ``view``."""
+    return P.ks_to_control(_table(spark, sf_dir, "events"), "event_type", F.col("value"), "view").withColumn("distance", _r("distance", 9))
+
+
 @registered("""
 SELECT l_suppkey AS sample, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
  round(sum(l_extendedprice * l_quantity) / sum(l_quantity * l_quantity), 4) AS through_origin FROM lineitem GROUP BY 1""")

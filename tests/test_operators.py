@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.columns import compensate, is_finite, scale, spectral_unmix
 from eventmill.functions.formulas import compile_formula, in_order
-from eventmill.operators import gates as G
+from eventmill.operators import gates as G, populations as P
 from eventmill.plans.components import connected_components
 from eventmill.plans.ranks import salted_rank
 from eventmill.plans.scratch import materialize
@@ -81,6 +81,23 @@ def test_formulas(spark):
         in_order({"x": "y", "y": "x"})
 
 
+def test_pivot_has_every_value(spark):
+    rows = [("a", "F", 1.0), ("a", "P", 2.0), ("a", "P", 4.0), ("b", "O", 5.0), (None, "F", NAN)]
+    got = P.pivot(spark.createDataFrame(rows, "k string, s string, v double"), "k", "s", F.col("v")).collect()
+    assert {(r.k, r.s): (r.n, r["mean"]) for r in got} == {(k, s): (0, None) for k in ("a", "b", None) for s in "FOP"} | {("a", "F"): (1, 1.0), ("a", "P"): (2, 3.0), ("b", "O"): (1, 5.0)}
+
+
+def test_every_population_meets_the_control(spark):
+    rng = np.random.default_rng(3)
+    v = {k: np.round(rng.normal(m, 3.0, n), 1) for k, m, n in (("a", 0, 90), ("control", 1, 150), ("m", 4, 60), ("z", -9, 7))}
+    got = {r.population: r for r in P.ks_to_control(spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in [*xs, NAN]], "k string, v double"), "k", F.col("v"), "control").collect()}
+    assert set(got) == {"a", "m", "z"}
+    for k, r in got.items():
+        at = np.concatenate([v[k], v["control"]])
+        want = max(abs(np.mean(v[k] <= x) - np.mean(v["control"] <= x)) for x in at)
+        assert math.isclose(r.distance, want, abs_tol=1e-12) and (r.n, r.n_control) == (len(v[k]), 150)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
