@@ -5,14 +5,15 @@ weights of its features: the word, prefixes and suffixes, character n-grams, and
 lexicons (frequent words of each language in the sample) that hold it. Transitions are
 learned on sequences that switch language, joined from windows of labelled documents.
 Forward-backward gives each word's posterior; a document gets the language with the most
-posterior mass, and the mean posterior of that language as its score.
+posterior mass, and the mean posterior of that language as its score. ``sure`` is the mean
+over words of each word's largest posterior: switching language does not lower it.
 
 Training reads a bounded sample of labelled rows: about ``SAMPLE`` documents for each
 language, chosen by a hash of the id over all rows, and ``WINDOW`` words of each from a
 place that the hash gives. Prediction reads whole texts and nothing but the text.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; so is every
-text if no training row has a label. Ties go to the language that sorts first.
+Defined results: a text that is null or has no letter is ``und`` with score and ``sure`` 0; so is
+every text if no training row has a label. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -264,12 +265,16 @@ def _words(text: str) -> Iterator[list[str]]:
             yield _WORD.findall(m[0].lower())
 
 
-def label(texts: list[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = 400_000) -> list[tuple[str, float]]:
-    """Language and score of each text."""
+def _share(x: float) -> float:
+    return float(min(1.0, max(0.0, x)))
+
+
+def label(texts: list[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = 400_000) -> list[tuple[str, float, float]]:
+    """Language, score and sureness of each text."""
     if model is None:
-        return [(UND, 0.0)] * len(texts)
+        return [(UND, 0.0, 0.0)] * len(texts)
     known = known if known is not None else _Scores(model)
-    out: list[tuple[str, float]] = []
+    out: list[tuple[str, float, float]] = []
     held: list[np.ndarray] = []
 
     def flush() -> None:
@@ -280,10 +285,11 @@ def label(texts: list[str | None], model: Crf | None, known: _Scores | None = No
         heads[starts[sizes > 0]] = True
         p = posteriors(known.of(index), heads, model.moves, model.starts)
         total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+        sure = np.concatenate([[0.0], np.cumsum(p.max(1))])
         for a, n in zip(starts, sizes):
             mass = (total[a + n] - total[a]) / max(1, n)
             best = int(mass.argmax())
-            out.append((model.languages[best], float(min(1.0, max(0.0, mass[best])))) if n else (UND, 0.0))
+            out.append((model.languages[best], _share(mass[best]), _share((sure[a + n] - sure[a]) / n)) if n else (UND, 0.0, 0.0))
         held.clear()
         known.trim()
 
@@ -325,17 +331,17 @@ _known: dict[int, _Scores] = {}
 
 
 def predict(text: Column, model: Crf | None, spark) -> Column:
-    """Struct(lang, score) of each text. The model's size is fixed by ``BUCKETS``."""
+    """Struct(lang, score, sure) of each text. The model's size is fixed by ``BUCKETS``."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, sure double")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         field = shared.value
         if field is not None and id(field) not in _known:
             _known.clear()
             _known[id(field)] = _Scores(field)
         for texts in batches:
-            yield pd.DataFrame(label(list(texts), field, _known.get(id(field))), columns=["lang", "score"])
+            yield pd.DataFrame(label(list(texts), field, _known.get(id(field))), columns=["lang", "score", "sure"])
 
     return told(text)
 
@@ -359,7 +365,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose language is told with at least ``least``, with all their columns."""
+    """The rows with letters whose words are told with at least ``least`` on average, in one language or several, with all their columns.
+
+    Without a model, that is if no training row has a label, every row with letters is kept.
+    """
     model = fit_documents(docs, id_col, text_col, lang_col)
-    told = docs.withColumn("__em_p", predict(F.col(f"`{text_col}`"), model, docs.sparkSession))
-    return told.where((F.col("__em_p.lang") != UND) & (F.col("__em_p.score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col(f"`{text_col}`")
+    if model is None:
+        return docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    told = docs.withColumn("__em_p", predict(text, model, docs.sparkSession))
+    return told.where((F.col("__em_p.lang") != UND) & (F.col("__em_p.sure") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -179,6 +179,16 @@ def test_language_identification(spark):
     assert langid.identify(d.limit(0)).count() == 0
 
 
+def test_filter_keeps_switched_and_unlabelled_texts(spark):
+    words = {"de": "der hund lief durch das haus und", "en": "the cat sat on the mat and", "es": "el perro come en la calle y", "fr": "le chat dort dans une maison et"}
+    switched = " ".join(f"{t} " * 5 for t in words.values())
+    d = _docs(spark, [*words.values()] * 15 + [switched, "123 !!", None], [*words] * 15 + [None] * 3)
+    score = langid.identify(d).where("doc_id = 60").first().score
+    kept = {r.doc_id for r in langid.keep_known(d).collect()}
+    assert score < 0.35 and kept == set(range(61))
+    assert {r.doc_id for r in langid.keep_known(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == set(range(61))
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
