@@ -77,8 +77,28 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(x.sum(-1, keepdims=True), 1e-30)
 
 
+def _peaked(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(x.max(-1, keepdims=True), 1e-300)
+
+
 def posteriors(scores: np.ndarray, heads: np.ndarray, moves: np.ndarray, starts: np.ndarray, steps: int = 256) -> np.ndarray:
-    """Forward-backward over many sequences laid end to end; ``heads`` marks their first words.
+    """Each word's chances of the states, by ``messages``."""
+    ahead, behind = messages(scores, heads, moves, starts, steps)
+    return _normal(_peaked(ahead * behind))
+
+
+def expected_moves(scores: np.ndarray, heads: np.ndarray, moves: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Sum over neighbours of one sequence of the chance of each pair of states, from their messages."""
+    inner = ~heads[1:]
+    then = _peaked(np.exp(scores - scores.max(1, keepdims=True)) * behind)
+    pairs = _peaked(ahead)[:-1][inner][:, :, None] * np.exp(moves - moves.max())[None] * then[1:][inner][:, None, :]
+    return (pairs / np.maximum(pairs.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+
+
+def messages(scores: np.ndarray, heads: np.ndarray, moves: np.ndarray, starts: np.ndarray, steps: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages at each word, up to a factor, over many sequences laid end to end.
+
+    ``heads`` marks their first words. The forward message holds the word's own score, the backward one does not.
 
     The words are dealt into columns of ``steps``. Products of the step matrices carry
     the messages over columns, so the work is vectorised also for one very long text. A
@@ -86,7 +106,7 @@ def posteriors(scores: np.ndarray, heads: np.ndarray, moves: np.ndarray, starts:
     """
     n, k = scores.shape
     if n == 0:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), np.zeros((0, k))
     steps = max(1, min(steps, n))
     cols = -(-n // steps)
     e = np.ones((cols * steps, k))
@@ -120,7 +140,7 @@ def posteriors(scores: np.ndarray, heads: np.ndarray, moves: np.ndarray, starts:
         x = whole[c] @ x
         x /= max(x.max(), 1e-300)
 
-    ahead = np.empty((steps, cols, k))
+    ahead, behind = np.empty((steps, cols, k)), np.empty((steps, cols, k))
     x = enter
     for j in range(steps):
         moved = x @ t
@@ -132,7 +152,7 @@ def posteriors(scores: np.ndarray, heads: np.ndarray, moves: np.ndarray, starts:
         ahead[j] = x = moved
     x, back = leave, t.T.copy()
     for j in reversed(range(steps)):
-        ahead[j] *= x
+        behind[j] = x
         x = x * e[:, j]
         moved = x @ back
         if len(cut := cuts[j]):
@@ -140,9 +160,7 @@ def posteriors(scores: np.ndarray, heads: np.ndarray, moves: np.ndarray, starts:
         if j % 8 == 0:
             moved /= np.maximum(moved.max(1, keepdims=True), 1e-300)
         x = moved
-    ahead /= np.maximum(ahead.max(2, keepdims=True), 1e-300)
-    ahead = ahead.transpose(1, 0, 2)
-    return _normal(ahead.reshape(-1, k)[:n])
+    return ahead.transpose(1, 0, 2).reshape(-1, k)[:n], behind.transpose(1, 0, 2).reshape(-1, k)[:n]
 
 
 def _switched(windows: list[tuple[list[str], int]], rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
@@ -202,7 +220,8 @@ def fit(windows: list[tuple[list[str], str]], seed: int = 7) -> Crf | None:
             first = np.cumsum(held) - held
             mine = flat[np.repeat(begins[need] - first, held) + np.arange(held.sum())]
             scores = (np.add.reduceat(model.weights[mine], first, axis=0) / root[need, None])[inverse]
-            p = posteriors(scores, heads, model.moves, model.starts)
+            ahead, behind = messages(scores, heads, model.moves, model.starts)
+            p = _normal(_peaked(ahead * behind))
             error = -p
             error[np.arange(len(word)), truth] += 1.0
             by_word = np.add.reduceat(error[np.argsort(inverse, kind="stable")], np.searchsorted(np.sort(inverse), np.arange(len(need))), axis=0)
@@ -213,14 +232,11 @@ def fit(windows: list[tuple[list[str], str]], seed: int = 7) -> Crf | None:
             step -= DECAY * model.weights[features]
             squares[features] += step**2
             model.weights[features] += RATE * step / np.sqrt(squares[features])
-            # expected moves, from neighbours' posteriors under the current field
             inner = ~heads[1:]
-            a, b2 = p[:-1][inner], p[1:][inner]
-            joint = a[:, :, None] * np.exp(model.moves)[None] * b2[:, None, :]
-            joint /= np.maximum(joint.sum((1, 2), keepdims=True), 1e-30)
+            expected = expected_moves(scores, heads, model.moves, ahead, behind)
             seen = np.zeros((k, k))
             np.add.at(seen, (truth[:-1][inner], truth[1:][inner]), 1.0)
-            step = (seen - joint.sum(0)) / max(1, len(chosen)) - DECAY * model.moves
+            step = (seen - expected) / max(1, len(chosen)) - DECAY * model.moves
             move_squares += step**2
             model.moves += RATE * step / np.sqrt(move_squares)
             lead = np.bincount(truth[heads], minlength=k) - p[heads].sum(0)
@@ -265,17 +281,42 @@ def _words(text: str) -> Iterator[list[str]]:
             yield _WORD.findall(m[0].lower())
 
 
+def _placed(text: str) -> Iterator[tuple[list[str], np.ndarray]]:
+    """As ``_words``, with the first and the end character of each word in ``text``."""
+    for m in [None] if len(text) <= 1_000_000 else _SLICE.finditer(text):
+        part, base = (text, 0) if m is None else (m[0], m.start())
+        lower = part.lower()
+        found = [(w[0], *w.span()) for w in _WORD.finditer(lower)]
+        at = np.array([w[1:] for w in found], np.int64).reshape(-1, 2)
+        if len(lower) != len(part):  # a character's lower case can be two
+            source = np.repeat(np.arange(len(part)), [len(c.lower()) for c in part])
+            at = np.stack([source[at[:, 0]], source[at[:, 1] - 1] + 1], axis=1)
+        yield [w[0] for w in found], at + base
+
+
+def _runs(p: np.ndarray, at: np.ndarray, languages: list[str]) -> list[dict]:
+    """Stretches of words with one best language; the score is its mean posterior over them."""
+    best = p.argmax(1)
+    first = np.concatenate([[0], np.flatnonzero(best[1:] != best[:-1]) + 1])
+    sizes = np.diff(np.append(first, len(best)))
+    means = np.add.reduceat(p[np.arange(len(best)), best], first) / sizes
+    ends = first + sizes - 1
+    return [{"start": int(a), "end": int(b), "lang": languages[k], "score": _share(x)} for a, b, k, x in zip(at[first, 0], at[ends, 1], best[first], means)]
+
+
 def _share(x: float) -> float:
     return float(min(1.0, max(0.0, x)))
 
 
-def label(texts: list[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = 400_000) -> list[tuple[str, float, float]]:
-    """Language, score and sureness of each text."""
+def label(texts: list[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = 400_000, runs: bool = False) -> list[tuple]:
+    """Language, score and sureness of each text; with ``runs`` also its runs."""
+    none = (UND, 0.0, 0.0, []) if runs else (UND, 0.0, 0.0)
     if model is None:
-        return [(UND, 0.0, 0.0)] * len(texts)
+        return [none] * len(texts)
     known = known if known is not None else _Scores(model)
-    out: list[tuple[str, float, float]] = []
+    out: list[tuple] = []
     held: list[np.ndarray] = []
+    places: list[np.ndarray] = []
 
     def flush() -> None:
         sizes = np.array([len(h) for h in held])
@@ -286,16 +327,25 @@ def label(texts: list[str | None], model: Crf | None, known: _Scores | None = No
         p = posteriors(known.of(index), heads, model.moves, model.starts)
         total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
         sure = np.concatenate([[0.0], np.cumsum(p.max(1))])
-        for a, n in zip(starts, sizes):
+        for j, (a, n) in enumerate(zip(starts, sizes)):
             mass = (total[a + n] - total[a]) / max(1, n)
             best = int(mass.argmax())
-            out.append((model.languages[best], _share(mass[best]), _share((sure[a + n] - sure[a]) / n)) if n else (UND, 0.0, 0.0))
+            told = (model.languages[best], _share(mass[best]), _share((sure[a + n] - sure[a]) / n)) if n else none
+            out.append((*told, _runs(p[a : a + n], places[j], model.languages)) if runs and n else told)
         held.clear()
+        places.clear()
         known.trim()
 
     count = 0
     for text in texts:
-        rows = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in _words(text or "") if any(map(str.isalpha, ws))]
+        rows, spots = [], [np.zeros((0, 2), np.int64)]
+        for ws, at in _placed(text or "") if runs else ((ws, None) for ws in _words(text or "")):
+            if any(map(str.isalpha, ws)):
+                rows.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
+                if runs:
+                    spots.append(at)
+        if runs:
+            places.append(np.concatenate(spots))
         held.append(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         count += len(held[-1])
         if count >= most_words:
@@ -330,18 +380,24 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW)
 _known: dict[int, _Scores] = {}
 
 
-def predict(text: Column, model: Crf | None, spark) -> Column:
-    """Struct(lang, score, sure) of each text. The model's size is fixed by ``BUCKETS``."""
+def predict(text: Column, model: Crf | None, spark, runs: bool = False) -> Column:
+    """Struct(lang, score, sure) of each text; with ``runs`` also its runs(start, end, lang, score).
+
+    Runs come from the posteriors of the words that the other fields average. ``start`` is the
+    first character of a run's first word, counted from 0, and ``end`` the one after its last.
+    The model's size is fixed by ``BUCKETS``.
+    """
     shared = spark.sparkContext.broadcast(model)
+    fields = ["lang string", "score double", "sure double"] + ["runs array<struct<start:int,end:int,lang:string,score:double>>"] * runs
 
-    @F.pandas_udf("lang string, score double, sure double")
+    @F.pandas_udf(", ".join(fields))
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         field = shared.value
         if field is not None and id(field) not in _known:
             _known.clear()
             _known[id(field)] = _Scores(field)
         for texts in batches:
-            yield pd.DataFrame(label(list(texts), field, _known.get(id(field))), columns=["lang", "score", "sure"])
+            yield pd.DataFrame(label(list(texts), field, _known.get(id(field)), runs=runs), columns=[f.split()[0] for f in fields])
 
     return told(text)
 
@@ -357,10 +413,10 @@ def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row."""
+    """``doc_id, held_out, lang_pred, score, runs`` of every row."""
     model = fit_documents(docs, id_col, text_col, lang_col)
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col), model, docs.sparkSession).alias("p")).select(
-        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score"
+    return docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col), model, docs.sparkSession, runs=True).alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.runs"
     )
 
 

@@ -166,6 +166,31 @@ def test_forward_backward_matches_enumeration(n, k, steps):
     assert np.allclose(langid.posteriors(scores, heads, moves, starts, steps), want / want.sum(1, keepdims=True))
 
 
+@pytest.mark.parametrize("n,k,steps", [(5, 3, 2), (6, 2, 4), (4, 3, 256)])
+def test_expected_moves_match_enumeration(n, k, steps):
+    rng = np.random.default_rng(n)
+    scores, moves, starts = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    heads = rng.random(n) < 0.3
+    heads[0] = True
+    want, total = np.zeros((k, k)), 0.0
+    for path in itertools.product(range(k), repeat=n):
+        w = np.exp(sum(scores[i, y] + (starts[y] if heads[i] else moves[path[i - 1], y]) for i, y in enumerate(path)))
+        total += w
+        for i in range(1, n):
+            want[path[i - 1], path[i]] += 0.0 if heads[i] else w
+    got = langid.expected_moves(scores, heads, moves, *langid.messages(scores, heads, moves, starts, steps))
+    assert np.allclose(got, want / total)
+
+
+def test_runs_of_a_switched_text(spark):
+    en, de = "the cat sat on the mat and then it ran off to the hill", "der hund lief durch das haus und dann schlief er auf dem boden"
+    texts = [en, de] * 20 + [f"İ! {en} -- {de}. {en}", "123", None, en.upper() + "!", (en + " ") * 20000 + de]
+    got = [r for r in langid.identify(_docs(spark, texts, ["en", "de"] * 20 + [None] * 5)).orderBy("doc_id").collect()]
+    assert [r.lang for r in got[40].runs] == ["en", "de", "en"] and texts[40][got[40].runs[1].start : got[40].runs[1].end] == de
+    assert got[41].runs == got[42].runs == [] and [(r.start, r.end) for r in got[43].runs] == [(0, len(en))]
+    assert [(r.lang, texts[44][r.end - 4 : r.end]) for r in got[44].runs] == [("en", "hill"), ("de", "oden")]
+
+
 def test_language_identification(spark):
     en, de = "the cat sat on the mat and then it ran off to the hill", "der hund lief durch das haus und dann schlief er auf dem boden"
     texts = [en, de] * 20 + [None, "123 !!", LONG]
