@@ -64,6 +64,41 @@ def histogram(events: DataFrame, keys: list[str], value: Column, low: float, hig
     return events.where(finite(value).between(low, high)).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def population_histogram(events: DataFrame, key: str, value: Column, low: float, high: float, bins: int) -> DataFrame:
+    """Every bin of [low, high] of every population with its count ``n``, and what the view leaves out.
+
+    ``total`` has all rows, ``n_finite`` the finite values, ``below`` and ``above`` those outside the
+    view; ``cdf_n`` counts the finite values up to the bin's upper edge, below the view too.
+    """
+    v, width = finite(value), (high - low) / bins
+    place = F.when(v < low, -1).when(v > high, bins).when(v.isNotNull(), F.least(F.floor((v - low) / width), F.lit(bins - 1))).cast("int")
+    upto = F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.ceil((v - low) / width) - 1, F.lit(bins)))).cast("int")
+    cells = events.select(F.col(key).alias("key"), place.alias("place"), upto.alias("upto")).groupBy("key", "place", "upto").agg(F.count("*").alias("c"))
+    part = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("c"))), F.lit(0))
+    k, at, edge = F.col("key"), F.col("place"), F.col("upto")
+    # the cells of a population are a few for each bin, whatever its rows
+    held = cells.groupBy("key").agg(F.sum("c").alias("total"), part(at.isNotNull()).alias("n_finite"), part(at == -1).alias("below"), part(at == bins).alias("above"), F.collect_list(F.struct("place", "upto", "c")).alias("cells"))
+    of = lambda ok: F.aggregate(F.filter("cells", ok), F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    b = F.col("bin")
+    return held.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(k.alias(key), "bin", of(lambda x: x["place"] == b).alias("n"), of(lambda x: x["upto"] <= b).alias("cdf_n"), "total", "n_finite", "below", "above")
+
+
+def time_bins(events: DataFrame, key: str, t: Column, value: Column, bins: int, threshold: float, least: int) -> DataFrame:
+    """Every time bin of every population with its counts; statistics of fewer than ``least`` finite values are NULL."""
+    rows = events.select(F.col(key).alias("key"), finite(t).alias("t"), finite(value).alias("v"))
+    span = rows.agg(F.min("t").alias("t0"), ((F.max("t") - F.min("t")) / bins).alias("w"))
+    place = F.least(F.coalesce(F.floor((F.col("t") - F.col("t0")) / F.nullif(F.col("w"), F.lit(0.0))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    v, n = F.col("v"), F.count("v")
+    enough = lambda c: F.when(n >= least, c)
+    got = rows.where("t IS NOT NULL").join(F.broadcast(span)).groupBy("key", place.alias("bin")).agg(
+        F.count("*").alias("events"), n.alias("n"), F.count_if(v > threshold).alias("responders"),
+        enough(F.avg("v")).alias("mean"), enough(F.percentile("v", 0.5)).alias("median"), enough(100.0 * F.count_if(v > threshold) / F.nullif(n, F.lit(0))).alias("pct_positive"),
+    )
+    grid = rows.select(F.col("key").alias("of")).distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    all_bins = grid.join(got, F.col("of").eqNullSafe(F.col("key")) & (F.col("at") == F.col("bin")), "left")
+    return all_bins.select(F.col("of").alias(key), F.col("at").alias("bin"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("events", "n", "responders")], "mean", "median", "pct_positive")
+
+
 def pivot(rows: DataFrame, left: str, right: str, value: Column) -> DataFrame:
     """``left, right, n, mean, median`` of the finite values: a row for each pair of a ``left`` and a ``right`` value.
 

@@ -187,6 +187,19 @@ def normalized_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("sample", "bin", "n", _r(100.0 * F.col("n") / total).alias("percent"), _r(F.col("n") / total / 12.5, 8).alias("area"), _r(F.col("n") / F.max("n").over(w)).alias("peak"), F.sum("n").over(w.orderBy("bin")).alias("below"))
 
 
+@registered(f"""
+WITH e AS (SELECT event_type AS sample, CASE WHEN isfinite(x) THEN x END AS v FROM {_E}),
+s AS (SELECT sample, count(*) AS total, count(v) AS n_finite, count(*) FILTER (WHERE v < 0) AS below, count(*) FILTER (WHERE v > 500) AS above FROM e GROUP BY 1),
+g AS (SELECT sample, bin, count(*) FILTER (WHERE v BETWEEN 0 AND 500 AND least(floor(v / 12.5), 39) = bin) AS n, count(*) FILTER (WHERE v <= (bin + 1) * 12.5) AS cdf_n FROM e, (SELECT CAST(unnest(range(40)) AS INT) AS bin) GROUP BY 1, 2)
+SELECT sample, bin, n, round(100.0 * n / total, 6) AS percent, round(n / nullif(sum(n) OVER (PARTITION BY sample), 0) / 12.5, 8) AS area, round(n / nullif(max(n) OVER (PARTITION BY sample), 0), 6) AS peak,
+ cdf_n, round(100.0 * cdf_n / nullif(n_finite, 0), 6) AS cdf_percent, total, below, above FROM g JOIN s USING (sample)""")
+def population_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = P.population_histogram(_events(spark, sf_dir).withColumnRenamed("event_type", "sample"), "sample", F.col("x"), 0.0, 500.0, 40)
+    w = Window.partitionBy("sample")  # 40 bins a sample
+    zero, n = F.lit(0), F.col("n")
+    return h.select("sample", "bin", "n", _r(100.0 * n / F.col("total")).alias("percent"), _r(n / F.nullif(F.sum("n").over(w), zero) / 12.5, 8).alias("area"), _r(n / F.nullif(F.max("n").over(w), zero)).alias("peak"), "cdf_n", _r(100.0 * F.col("cdf_n") / F.nullif(F.col("n_finite"), zero)).alias("cdf_percent"), "total", "below", "above")
+
+
 @registered("""
 WITH g AS (SELECT least(floor((l_quantity - 1) / 2.45), 19)::INT AS bx, least(floor(l_extendedprice / 6000), 19)::INT AS by_, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 AND l_extendedprice BETWEEN 0 AND 120000 GROUP BY 1, 2),
 r AS (SELECT *, sum(n) OVER (ORDER BY n DESC RANGE UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS total FROM g),
@@ -370,6 +383,16 @@ def kinetics_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count(v).alias("n"), _r(F.avg(v)).alias("mean"), _r(F.percentile(v, 0.5)).alias("median"), _r(100.0 * F.count_if(v > 100) / F.nullif(F.count(v), F.lit(0))).alias("pct_positive")).where("n >= 5")
 
 
+@registered(f"""
+WITH b AS (SELECT event_type AS sample, least(floor((t - t0) / w), 63)::INT AS bin, CASE WHEN isfinite(x) THEN x END AS v FROM {_E}, (SELECT min({_EVENTS_T}) AS t0, (max({_EVENTS_T}) - min({_EVENTS_T})) / 64 AS w FROM events)),
+g AS (SELECT sample, bin, count(*) AS events, count(v) AS n, count(*) FILTER (WHERE v > 100) AS responders, avg(v) AS mean, quantile_cont(v, 0.5) AS median FROM b GROUP BY 1, 2)
+SELECT sample, bin, coalesce(events, 0) AS events, coalesce(n, 0) AS n, coalesce(responders, 0) AS responders, round(CASE WHEN n >= 5 THEN mean END, 6) AS mean, round(CASE WHEN n >= 5 THEN median END, 6) AS median, round(CASE WHEN n >= 5 THEN 100.0 * responders / n END, 6) AS pct_positive
+FROM (SELECT DISTINCT event_type AS sample FROM events) CROSS JOIN (SELECT CAST(unnest(range(64)) AS INT) AS bin) LEFT JOIN g USING (sample, bin)""")
+def kinetics_all_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.time_bins(_events(spark, sf_dir).withColumnRenamed("event_type", "sample"), "sample", F.col("t"), F.col("x"), 64, 100.0, 5)
+    return out.withColumns({c: _r(c) for c in ("mean", "median", "pct_positive")})
+
+
 @registered("""
 WITH w AS (SELECT chr(CAST(65 + l_suppkey % 8 AS INT)) || lpad(CAST(l_suppkey // 8 % 12 + 1 AS VARCHAR), 2, '0') AS well, l_suppkey, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2)
 SELECT well, count(*) AS replicates, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(greatest(0, least(1, (avg(m) - 24) / 3)), 6) AS fraction FROM w GROUP BY 1""")

@@ -87,6 +87,21 @@ def test_pivot_has_every_value(spark):
     assert {(r.k, r.s): (r.n, r["mean"]) for r in got} == {(k, s): (0, None) for k in ("a", "b", None) for s in "FOP"} | {("a", "F"): (1, 1.0), ("a", "P"): (2, 3.0), ("b", "O"): (1, 5.0)}
 
 
+def test_histogram_counts_what_the_view_leaves_out(spark):
+    rows = [("a", v) for v in (-5.0, 0.0, 1.0, 2.0, 9.0, NAN, float("inf"))] + [("b", None)]
+    got = {(r.k, r.bin): r for r in P.population_histogram(spark.createDataFrame(rows, "k string, v double"), "k", F.col("v"), 0.0, 4.0, 4).collect()}
+    assert set(got) == {(k, b) for k in "ab" for b in range(4)}
+    assert [got["a", b].n for b in range(4)] == [1, 1, 1, 0] and [got["a", b].cdf_n for b in range(4)] == [3, 4, 4, 4]
+    assert got["a", 0][4:] == (7, 5, 1, 1) and got["b", 3][2:] == (0, 0, 1, 0, 0, 0)
+
+
+def test_sparse_and_empty_time_bins_stay(spark):
+    rows = [("a", float(t), 1.0 + t) for t in (0, 0, 0, 3)] + [("b", 4.0, NAN)]
+    got = {(r.k, r.bin): tuple(r)[2:] for r in P.time_bins(spark.createDataFrame(rows, "k string, t double, v double"), "k", F.col("t"), F.col("v"), 4, 2.0, 2).collect()}
+    want = {(k, b): (0, 0, 0, None, None, None) for k in "ab" for b in range(4)}
+    assert got == want | {("a", 0): (3, 3, 0, 1.0, 1.0, 0.0), ("a", 3): (1, 1, 1, None, None, None), ("b", 3): (1, 0, 0, None, None, None)}
+
+
 def test_every_population_meets_the_control(spark):
     rng = np.random.default_rng(3)
     v = {k: np.round(rng.normal(m, 3.0, n), 1) for k, m, n in (("a", 0, 90), ("control", 1, 150), ("m", 4, 60), ("z", -9, 7))}
