@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, functions as F
 
-NAN = float("nan")
+NAN, INF = float("nan"), float("inf")
 
 
 def is_finite(c: Column) -> Column:
@@ -33,8 +33,21 @@ def asinh(c: Column) -> Column:
     return F.signum(c) * F.asinh(F.abs(c))
 
 
+def clamp(c: Column, low: float | None, high: float | None) -> Column:
+    """Infinite values go to the bounds, NaN stays."""
+    if low is not None:
+        c = F.when(F.isnan(c), c).otherwise(F.greatest(c, F.lit(low)))
+    if high is not None:
+        c = F.when(F.isnan(c), c).otherwise(F.least(c, F.lit(high)))
+    return c
+
+
 def scale(c: Column, kind: str, inverse: bool = False, low: float | None = None, high: float | None = None, **p: float) -> Column:
-    """A channel on a display scale; values that are not finite become NaN, ``low`` and ``high`` clamp the result."""
+    """A channel on a display scale; ``low`` and ``high`` clamp the result, not that of an inverse.
+
+    Values that are not finite become NaN, but a linear scale keeps infinite ones, and with
+    a bound they are clamped; -Inf has no logarithm.
+    """
     ln10 = math.log(10.0)
     match kind, inverse:
         case "linear", _:
@@ -65,12 +78,13 @@ def scale(c: Column, kind: str, inverse: bool = False, low: float | None = None,
             out = F.pow(F.lit(10.0), c * p["m"] + math.log10(p["offset"]))
         case _:
             raise ValueError(f"no scale {kind!r}")
-    out = or_nan(is_finite(c), out)
-    if low is not None:
-        out = F.when(F.isnan(out), out).otherwise(F.greatest(out, F.lit(low)))
-    if high is not None:
-        out = F.when(F.isnan(out), out).otherwise(F.least(out, F.lit(high)))
-    return out
+    out = or_nan(c.isNotNull() if kind == "linear" else is_finite(c), out)
+    if inverse or low is None and high is None:
+        return out
+    out = F.when(c == INF, c).otherwise(out)
+    if kind not in ("log", "gml_log"):
+        out = F.when(c == -INF, c).otherwise(out)
+    return clamp(out, low, high)
 
 
 def linear_unmix(columns: list[Column], operator: np.ndarray) -> list[Column]:
@@ -97,9 +111,12 @@ def spectral_unmix(columns: list[Column], signatures: np.ndarray, weights: np.nd
     return linear_unmix([c - float(b) for c, b in zip(columns, back)], operator)
 
 
-def ratio(x: Column, y: Column, a: float = 1.0, b: float = 0.0, c: float = 0.0) -> Column:
-    """a (x - b) / (y - c); not finite where the denominator is 0."""
-    return or_nan(is_finite(x) & is_finite(y) & (y != c), a * (x - b) / F.nullif(y - c, F.lit(0.0)))
+def ratio(x: Column, y: Column, a: float = 1.0, b: float = 0.0, c: float = 0.0, low: float | None = None, high: float | None = None) -> Column:
+    """a (x - b) / (y - c), clamped to ``low`` and ``high``; infinite or NaN before that where the denominator is 0."""
+    over, under = a * (x - b), y - c
+    infinite = F.when(under.cast("double").cast("string") == "-0.0", F.lit(-INF)).otherwise(F.lit(INF))  # no comparison tells -0.0
+    out = F.when(under == 0, over * infinite).otherwise(over / F.nullif(under, F.lit(0.0)))
+    return clamp(or_nan(x.isNotNull() & y.isNotNull(), out), low, high)
 
 
 def signed_root(c: Column) -> Column:

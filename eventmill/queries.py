@@ -146,6 +146,15 @@ def event_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered("""
+WITH m AS (SELECT l_suppkey AS sample, 2.0 * (l_quantity - 1) AS a, l_discount AS d FROM lineitem),
+r AS (SELECT *, CASE WHEN d <> 0 THEN least(greatest(a / d, 0), 500) WHEN a > 0 THEN 500 WHEN a < 0 THEN 0 END AS v FROM m)
+SELECT sample, count(*) FILTER (WHERE d = 0) AS zero_denominators, count(v) AS n, count(*) FILTER (WHERE v = 500) AS at_bound, round(avg(v), 6) AS mean FROM r GROUP BY 1""")
+def bounded_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_discount").alias("d"), finite(ratio(F.col("l_quantity"), F.col("l_discount"), 2.0, 1.0, low=0.0, high=500.0)).alias("v"))
+    return rows.groupBy("sample").agg(F.count_if(F.col("d") == 0).alias("zero_denominators"), F.count("v").alias("n"), F.count_if(F.col("v") == 500).alias("at_bound"), _r(F.avg("v")).alias("mean"))
+
+
 @registered(f"""
 WITH m AS (SELECT event_type AS sample, CASE WHEN isfinite(x) THEN x END AS v FROM {_E}),
 s AS (SELECT sample, count(*) AS n, count(v) AS n_finite, avg(v) AS mean, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95, stddev_samp(v) AS sd, min(v) AS least, max(v) AS most, exp(avg(ln(v))) AS gm FROM m GROUP BY 1),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventmill.functions.columns import compensate, is_finite, scale, spectral_unmix
+from eventmill.functions.columns import compensate, is_finite, ratio, scale, spectral_unmix
 from eventmill.functions.formulas import compile_formula, in_order
 from eventmill.operators import gates as G, populations as P
 from eventmill.plans.components import connected_components
@@ -56,6 +56,21 @@ def test_scales_invert(spark, kind, p):
     assert all(math.isclose(r.v, r.b, rel_tol=1e-9) for r in df.select("v", back.alias("b")).collect())
 
 
+def test_infinite_values_meet_the_bounds(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(inf,), (-inf,), (NAN,), (1.0,)], "v double")
+    v = F.col("v")
+    got = lambda c: [r.c for r in df.select(c.alias("c")).collect()]
+    for kind, p, want in (("linear", {}, [5.0, -2.0]), ("asinh", {}, [5.0, -2.0]), ("wsp_log", dict(offset=1.0, m=4.0), [5.0, -2.0]), ("log", {}, [5.0, NAN]), ("gml_log", dict(t=1000.0, m=4.0), [5.0, NAN])):
+        assert np.array_equal(got(scale(v, kind, low=-2.0, high=5.0, **p))[:3], [*want, NAN], equal_nan=True)
+    assert np.array_equal(got(scale(v, "linear")), [inf, -inf, NAN, 1.0], equal_nan=True)
+    assert np.array_equal(got(scale(v, "asinh"))[:3], [NAN] * 3, equal_nan=True)
+    rows = spark.createDataFrame([(3.0, 0.0), (-3.0, 0.0), (0.0, 0.0), (3.0, -0.0), (6.0, 2.0), (inf, 2.0)], "x double, y double")
+    free, bounded = zip(*rows.select(ratio(F.col("x"), F.col("y")), ratio(F.col("x"), F.col("y"), low=-9.0, high=2.0)).collect())
+    assert np.array_equal(free, [inf, -inf, NAN, -inf, 3.0, inf], equal_nan=True)
+    assert np.array_equal(bounded, [2.0, -9.0, NAN, -9.0, 2.0, 2.0], equal_nan=True)
+
+
 def test_unmixing_recovers(spark):
     truth, spill = np.array([[10.0, 3.0]]), np.array([[1.0, 0.2], [0.1, 1.0]])
     df = spark.createDataFrame([tuple(map(float, (truth @ spill)[0])), (NAN, 1.0)], "a double, b double")
