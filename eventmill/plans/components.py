@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from eventmill.plans.scratch import discard, materialize
+from eventmill.plans.skew import heavy_keys, join_by_cells
 
 
-def _minima(edges: DataFrame) -> DataFrame:
-    """``u``, ``m``: the least node among ``u`` and its neighbours."""
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges(u, v)`` with ``m``, the least of ``u``'s neighbours. The edges of a large star are dealt into cells."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")), "least")
+    return join_by_cells(edges, least.drop("__n"), ["u"], F.col("v"), heavy_keys(least, ["u"], "__n", total))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,33 +26,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    state = None
+    state, count = None, edges.count()
+    if not count:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.join(_minima(both), "u")
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
+        large = _with_least(both, 2 * count).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = materialize(large, "large")
+        tied = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+        small = _with_least(large, count).select(tied).select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
         before, edges = edges, materialize(small, "edges")
-        discard(before)
-        now = edges.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
+        discard(before, large)
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        count = now.n
         if tuple(now) == state:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(roots)
         state = tuple(now)
     raise RuntimeError(f"components did not converge in {most_rounds} rounds")

@@ -1,7 +1,7 @@
 """Materialisation in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset
-(a local test session) a folder of this process is taken instead.
+``spark.checkpoint.dir`` names that folder on a cluster. Only in a local session
+where it is unset, as in tests, a folder of this process is taken instead.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.conf.get("spark.eventmill.scratch", None)
     if not own:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.eventmill.scratch", own)
     return own.rstrip("/")
@@ -36,15 +39,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more."""
+    """Delete materialised tables that nothing reads any more; other tables stay as they are."""
     for table in tables:
         spark = table.sparkSession
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        own = path_of(scratch_dir(spark)).toUri().getPath()
         for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if name.startswith(("file:", "hdfs:", "s3", "viewfs:", "/")) and _is_scratch(spark, name):
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path = path_of(name)
+            if path.toUri().getPath().startswith(own + "/"):
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _is_scratch(spark: SparkSession, name: str) -> bool:
-    own = scratch_dir(spark)
-    return name.replace("file:///", "/").replace("file:/", "/").startswith(own.replace("file:///", "/").replace("file:/", "/") + "/")
