@@ -1,34 +1,37 @@
 """MinHash near-dedup by Order MinHash, verified by banded alignment.
 
-A document is the sequence of its word 5-grams, each labelled with its occurrence number
-so that all are distinct. One sketch takes the L labelled k-mers that are least under a hash
-and keeps them in the order of the text: it collides in proportion to shared and equally
-ordered content. Long documents take ``LONG`` = (L, sketches), short ones ``SHORT``;
-documents between the limits take both, so that any two of similar length share a kind.
-
-Documents that share a sketch are candidates. A pair is verified by alignment: the longest
-common subsequence of the two k-mer sequences inside the band of diagonals that similarity
-0.8 allows. As labelled k-mers are distinct, it is the longest increasing run of matched
-positions. Similarity is matched / (n + m - matched); 1 minus it is a metric.
-
-Copies collapse before sketching counts. A bucket is not expanded into pairs. In the first
-round, over every ``FIRST``-th sketch, members are compared with one centre, the member that
-shares most sketches with others, and links contract to classes. Then, over all sketches,
-buckets that hold several classes compare the members outside a centre's class with that
-centre, taken from the bucket's largest class, in some rounds. Members of buckets that are
-mixed still are compared across classes by an exact prefix filter on what tells each of them
-from the hub of its region (``_by_hub``). A member is left out only where its class says that
-it is linked already. No bucket is cut off. Classes are the connected components of verified links.
+A document is a sequence of words. Its word 5-grams, each labelled with its occurrence
+number so that all are distinct, are sketched: one sketch takes the ``LENGTH`` labelled
+k-mers that are least under a hash and keeps them in the order of the text, so it collides
+in proportion to shared and equally ordered content. Short documents also take ``BRIEF``
+sketches of one k-mer, as a single edit leaves them few.
+
+Documents that share a sketch are candidates. A pair is verified by aligning its words: the
+longest common subsequence inside the band of diagonals that similarity 0.8 allows.
+Similarity is matched / (n + m - matched); 1 minus it is a metric.
+
+Copies collapse before sketching counts. A bucket is not expanded into pairs. In each of
+some rounds its members are compared with one centre, the member that shares most sketches
+with others. The members that are linked to the centre, and the centre, need no further
+comparison in that bucket, since a link to one of them means a distance of at most 0.4 from
+the centre; where another member is so near without being linked, the linked ones that
+could reach it stay aside with it (``near``). Links contract to classes. Buckets that still
+hold several classes are settled by an exact prefix filter inside the bucket: at similarity
+0.8 two documents share most of their occurrence-labelled words, and so one of the words that
+are rarest in the bucket. Classes meet there before their members do, so a large class does
+not multiply. No bucket is cut off. Classes are the connected components of verified links.
 
 Defined results: words are compared in lower case; a text of fewer than five words is one
 k-mer; texts without a word are equal to each other only if they are equal as text; a null
-text counts as empty; repeated rows are members of one class, of which one row is kept.
+text counts as empty; repeated rows are members of one class, of which one row is kept;
+of equal ids the first row stays; null ids are ids like others and come last; an empty table
+gives no rows; further columns are ignored, and ``keep_first`` returns them unchanged.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +42,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventmill.llm.bpe import Remembered
 from eventmill.plans.components import connected_components
 from eventmill.plans.scratch import discard, materialize
+from eventmill.plans.skew import heavy_keys, join_by_cells, skew_join
 
 K, LEAST = 5, 0.8
-LONG, SHORT = (6, 40), (3, 32)
-#: K-mers up to which a document has short sketches, and from which it has long ones.
-SHORT_TO, LONG_FROM = 80, 65
-FIRST, CENTRE_ROUNDS = 9, 2
+LENGTH, COUNT = 3, 48
+#: Sketches of one k-mer, for documents of few k-mers; those from ``LENGTH_FROM`` on have the others.
+BRIEF, BRIEF_TO, LENGTH_FROM = 24, 24, 18
+ROUNDS = 3
+#: A member of this similarity to a centre or more may be linked to one that the centre is linked to.
+NEAR = 1 - 2 * (1 - LEAST)
 
 _WORD = re.compile(r"\w+")
 _SLICE = re.compile(r"[\s\S]{1,1000000}\w*")
@@ -65,8 +71,8 @@ def _odd(count: int, seed: int) -> np.ndarray:
 _POWERS = _odd(K, 5)
 
 
-def kmers(text: str | None) -> np.ndarray:
-    """Hashes of the occurrence-labelled word k-mers of the whole text, in order."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of the whole text, in order."""
     text = text or ""
     parts = [text] if len(text) <= 1_000_000 else [m[0] for m in _SLICE.finditer(text)]
     rows = []
@@ -74,27 +80,35 @@ def kmers(text: str | None) -> np.ndarray:
         ws = _WORD.findall(part.lower())
         rows.append(np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws)))
         _words.trim()
-    w = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-    if len(w) == 0:
-        return w
-    if len(w) < K:
-        h = _mix((w * _POWERS[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))
-    else:
-        n = len(w) - K + 1
-        h = w[:n] * _POWERS[0]
-        for j in range(1, K):
-            h = h + w[j : j + n] * _POWERS[j]
-        h = _mix(h)
+    return np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+
+
+def labelled(h: np.ndarray) -> np.ndarray:
+    """``h`` where repeated values also tell their occurrence number, so that all differ."""
     ascending = np.sort(h)
     if (ascending[1:] == ascending[:-1]).any():
         order = np.argsort(h, kind="stable")
         same = np.concatenate([[False], h[order][1:] == h[order][:-1]])
         run = np.arange(len(h))
         nth = run - np.maximum.accumulate(np.where(same, 0, run))
-        h[order] = _mix(h[order] + nth.astype(np.uint64) * _M1)
+        h = h.copy()
+        h[order] = np.where(nth == 0, h[order], _mix(h[order] + nth.astype(np.uint64) * _M1))
     return h
 
 
+def kmers(w: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-labelled word k-mers, in order."""
+    if len(w) == 0:
+        return w
+    if len(w) < K:
+        return _mix((w * _POWERS[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))
+    n = len(w) - K + 1
+    h = w[:n] * _POWERS[0]
+    for j in range(1, K):
+        h = h + w[j : j + n] * _POWERS[j]
+    return labelled(_mix(h))
+
+
 def _least(values: np.ndarray, length: int) -> np.ndarray:
     """Columns of the ``length`` least values of each row."""
     rows, n = values.shape
@@ -131,39 +145,65 @@ def _ordered(h: np.ndarray, length: int, count: int, seed: int) -> np.ndarray:
 
 def sketch(h: np.ndarray) -> np.ndarray:
     kinds = []
-    if 0 < len(h) <= SHORT_TO:
-        kinds.append(_ordered(h, *SHORT, 101))
-    if len(h) >= LONG_FROM:
-        kinds.append(_ordered(h, *LONG, 202))
+    if 0 < len(h) <= BRIEF_TO:
+        kinds.append(_ordered(h, 1, BRIEF, 101))
+    if len(h) >= LENGTH_FROM:
+        kinds.append(_ordered(h, LENGTH, COUNT, 202))
     return np.concatenate(kinds).view(np.int64) if kinds else np.zeros(0, np.int64)
 
 
-def aligned(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> float:
-    """Similarity by the banded alignment of two sequences of distinct k-mers.
+def matched_words(x: np.ndarray, y: np.ndarray, band: float) -> int:
+    """The longest common subsequence whose matches lie within ``band`` of the diagonal.
 
-    If too few k-mers are shared for ``least``, their share is returned: it is not below the similarity.
+    The rows of the alignment are the bits of one integer, of which a zero is a step of the
+    length, so that a column is a few operations on whole rows.
+    """
+    n, m = len(x), len(y)
+    most = min(n, m)
+    differ = np.flatnonzero(x[:most] != y[:most])
+    head = int(differ[0]) if len(differ) else most
+    differ = np.flatnonzero(x[n - most + head :][::-1] != y[m - most + head :][::-1])
+    tail = int(differ[0]) if len(differ) else most - head
+    x, y = x[head : n - tail], y[head : m - tail]
+    if not len(x) or not len(y):
+        return head + tail
+    places: dict[int, int] = defaultdict(int)
+    both = set(x.tolist()) & set(y.tolist())
+    for i, w in enumerate(x.tolist()):
+        if w in both:
+            places[w] |= 1 << i
+    reach = int(band)
+    window = (1 << (2 * reach + 1)) - 1
+    every = (1 << len(x)) - 1
+    rows = every
+    for j, w in enumerate(y.tolist()):
+        if w in both:
+            at = places[w] & (window << (j - reach) if j >= reach else window >> (reach - j))
+            if at:
+                step = rows & at
+                rows = ((rows + step) | (rows - step)) & every
+    return head + tail + len(x) - rows.bit_count()
+
+
+def aligned(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> tuple[bool, float]:
+    """Whether two sequences of words have the similarity ``least`` by banded alignment, and the similarity.
+
+    Where they have not, the second value is only a bound: similarity is not above it.
     """
     n, m = len(x), len(y)
     if not n or not m:
-        return 0.0
-    _, i, j = np.intersect1d(x, y, return_indices=True)
-    if len(i) < least * (n + m - len(i)):
-        return len(i) / (n + m - len(i))
-    band = (n + m) * (1 - least) / (1 + least) + 1  # unmatched k-mers that ``least`` allows
-    near = np.abs(i - j) <= band
-    j = j[near][np.argsort(i[near], kind="stable")]
-    if (np.diff(j) > 0).all():
-        matched = len(j)
-    else:
-        tails: list[int] = []
-        for v in j.tolist():
-            k = bisect_left(tails, v)
-            if k == len(tails):
-                tails.append(v)
-            else:
-                tails[k] = v
-        matched = len(tails)
-    return matched / (n + m - matched)
+        return False, 0.0
+    if n == m and (x == y).all():
+        return True, 1.0
+    bound = min(n, m) / max(n, m)
+    if bound >= least:
+        shared = len(np.intersect1d(labelled(x), labelled(y), assume_unique=True))
+        bound = shared / (n + m - shared)
+    if bound < least:
+        return False, bound
+    matched = matched_words(x, y, (n + m) * (1 - least) / (1 + least) + 1)
+    similar = matched / (n + m - matched)
+    return (True, similar) if similar >= least else (False, bound)
 
 
 def _sketches(text: Column) -> Column:
@@ -172,30 +212,39 @@ def _sketches(text: Column) -> Column:
         for texts in batches:
             rows = []
             for t in texts:
-                h = kmers(t)
-                rows.append((len(h), sketch(h)))
+                w = word_hashes(t)
+                rows.append((len(w), sketch(kmers(w))))
             yield pd.DataFrame(rows, columns=["n", "sketches"])
 
     return made(text)
 
 
 def _sequence(text: Column) -> Column:
-    """The labelled k-mers, 32 bits of each, as binary."""
+    """The hashes of the words, as binary."""
 
     @F.pandas_udf("binary")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([(kmers(t) >> np.uint64(32)).astype("<u4").tobytes() for t in texts], dtype=object)
+            yield pd.Series([word_hashes(t).astype("<u8").tobytes() for t in texts], dtype=object)
 
     return made(text)
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b)], dtype=float)
+def _aligned(a: Column, b: Column) -> Column:
+    @F.pandas_udf("linked boolean, bound double")
+    def told(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [aligned(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b)]
+        return pd.DataFrame(rows, columns=["linked", "bound"])
+
+    return told(a, b)
+
 
-    return similar(a, b)
+def _labelled_words(seq: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def made(seqs: pd.Series) -> pd.Series:
+        return pd.Series([labelled(np.frombuffer(x, "<u8")).view(np.int64) for x in seqs], dtype=object)
+
+    return made(seq)
 
 
 def _address(text: Column) -> dict[str, Column]:
@@ -203,184 +252,159 @@ def _address(text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(F.lit(1), whole), "k2": F.xxhash64(F.lit(2), whole)}
 
 
-def _alike(n: Column, m: Column) -> Column:
-    """Lengths that similarity ``LEAST`` allows."""
-    return F.least(n, m) >= LEAST * F.greatest(n, m)
-
-
 class _Links:
-    """Verified pairs of documents, each verified once."""
+    """Verified pairs of documents, each verified once: ``a < b, linked, bound``."""
 
     def __init__(self, sequences: DataFrame):
         self.sequences = sequences
-        self.known: DataFrame | None = None
+        self.known = materialize(sequences.select(F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(True).alias("linked"), F.lit(1.0).alias("bound")).limit(0), "verified")
 
-    def add(self, pairs: DataFrame) -> int:
-        """Verify ``pairs(a, b)``; the number of new links."""
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """Verify ``pairs(a, b)`` that are not known; the new rows."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.known is not None:
-            pairs = pairs.join(self.known, ["a", "b"], "left_anti")
+        pairs = materialize(pairs.join(self.known, ["a", "b"], "left_anti"), "pairs")
         s = self.sequences
-        both = pairs.join(s.select(F.col("rid").alias("a"), F.col("seq").alias("sa")), "a").join(s.select(F.col("rid").alias("b"), F.col("seq").alias("sb")), "b")
-        new = materialize(both.select("a", "b", (_similarity(F.col("sa"), F.col("sb")) >= LEAST).alias("linked")), "verified")
-        self.known = new if self.known is None else self.known.unionByName(new)
-        return new.where("linked").count()
+        both = skew_join(pairs, s.select(F.col("rid").alias("a"), F.col("seq").alias("sa")), ["a"], F.col("b"))
+        both = skew_join(both, s.select(F.col("rid").alias("b"), F.col("seq").alias("sb")), ["b"], F.col("a"), counted=pairs)
+        new = materialize(both.select("a", "b", _aligned(F.col("sa"), F.col("sb")).alias("r")).select("a", "b", "r.*"), "verified")
+        discard(pairs)
+        self.known = self.known.unionByName(new)
+        return new
 
-    def classes(self) -> DataFrame:
-        links = self.known.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        return connected_components(links).select(F.col("node").alias("rid"), "root")
 
+def _centre_round(members: DataFrame, links: _Links, number: int) -> tuple[DataFrame, DataFrame]:
+    """One comparison of every bucket with its centre: the members left, and those set aside.
 
-def _difference(x: Column, y: Column) -> Column:
-    """The k-mers that only one of two sequences has."""
+    Members have ``bucket, rid, n, score`` and the last ``centre``. What is set aside has
+    ``cell, rid, n``; a cell holds what is still to be compared among itself.
+    """
+    best = F.min(F.struct(-F.col("score"), "rid", "n")).alias("c")
+    centres = members.groupBy("bucket").agg(best, F.count("*").alias("size")).where("size > 1")
+    centres = materialize(centres.select("bucket", "size", F.col("c.rid").alias("centre"), F.col("c.n").alias("cn")), "centres")
+    heavy = heavy_keys(centres, ["bucket"], "size", members.count())
+    put = materialize(join_by_cells(members.drop("centre"), centres.drop("size"), ["bucket"], F.col("rid"), heavy).where("rid <> centre"), "put")
+    links.add(put.where(_alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b")))
+    told = put.withColumns({"a": F.least("rid", "centre"), "b": F.greatest("rid", "centre")}).join(links.known, ["a", "b"], "left")
+    bound = F.coalesce("bound", F.least("n", "cn") / F.greatest("n", "cn"))
+    told = materialize(told.select("bucket", "centre", "rid", "n", "score", F.coalesce("linked", F.lit(False)).alias("linked"), bound.alias("bound")), "told")
+    discard(put)
+    left = told.where("not linked").select("bucket", "centre", "rid", "n", "score")
+    # distances to the centre of two linked documents differ by 1 - LEAST at most
+    met = told.select("centre", "rid", "n", "linked", "bound").distinct()
+    close = met.where(~F.col("linked") & (F.col("bound") >= NEAR))
+    most = close.groupBy("centre").agg(F.max("bound").alias("most"))
+    near = met.where("linked").join(most, "centre").where(F.col("bound") <= F.col("most") + (1 - LEAST))
+    cells = near.select("centre").distinct()
+    aside = near.select("centre", "rid", "n").unionByName(close.join(cells, "centre", "left_semi").select("centre", "rid", "n"))
+    return left, aside.select(F.xxhash64("centre", F.lit(number)).alias("cell"), "rid", "n")
 
-    @F.pandas_udf("array<int>")
-    def told(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([np.setxor1d(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for a, b in zip(x, y)], dtype=object)
 
-    return told(x, y)
+def _alike(n: Column, m: Column) -> Column:
+    """Lengths that similarity ``LEAST`` allows."""
+    return F.least(n, m) >= LEAST * F.greatest(n, m)
 
 
-def _regions(put: DataFrame, scores: DataFrame) -> DataFrame:
-    """Members of mixed buckets by region, with the region's hub; ``own`` if the region has their length.
+def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of a cell, of different classes, that may be similar: exact, by prefixes of the words rarest in the cell.
 
-    A region is a component of the buckets and a band of lengths. A member also belongs to the
-    next band, so that any two of one component whose lengths are alike share a region.
-    """
-    lowest = put.groupBy("bucket").agg(F.min("rid").alias("v"))
-    parts = connected_components(put.join(lowest, "bucket").select(F.col("rid").alias("u"), "v")).select(F.col("node").alias("rid"), F.col("root").alias("part"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 / LEAST))).cast("int")
-    docs = put.select("rid", "n").distinct().join(parts, "rid").join(scores, "rid").withColumn("own_band", band)
-    docs = materialize(docs.select("rid", "n", "part", "score", "own_band", F.explode(F.array("own_band", F.col("own_band") + 1)).alias("band")).withColumn("own", F.col("band") == F.col("own_band")), "regions")
-    hub = F.min(F.when(F.col("own"), F.struct(-F.col("score"), F.col("rid"), F.col("n"))))
-    hubs = docs.groupBy("part", "band").agg(hub.alias("h"), F.count("*").alias("size")).where("h is not null")
-    return materialize(docs.join(hubs, ["part", "band"]).select("rid", "n", "own", "size", F.col("h.rid").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
-
-
-def _by_hub(regions: DataFrame, classes: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different classes in one region that may be similar: exact, and without expanding a region.
-
-    With D the k-mers that tell a document from the hub, two documents differ in the k-mers that
-    tell their Ds apart. Similarity ``LEAST`` allows (n + m) / 9 of these, so that Ds share
-    t = (|D| + |D'| - (n + m) / 9) / 2 k-mers, and both have one of them among the |D| - t + 1
-    that are rarest in the region. One of a pair is not linked to the hub, which makes
-    t > 4 / 9 |D'|. What a large group has in common is in no D, or in all of them and not rare.
-    The exception are documents that have the hub's k-mers in another order; they are compared by all their k-mers.
+    Documents of n and m words match t = 0.8 (n + m) / 1.8 of them at least. So each has at
+    most n - t and m - t labelled words before the first common one, in any order that is the
+    same for both, and m is 0.8 n at least.
     """
-    root = classes.select("rid", "root")
-    hub_root = classes.select(F.col("rid").alias("hub"), F.col("root").alias("hub_root"))
-    salt = F.pmod("rid", F.col("parts"))
-    rows = regions.withColumn("parts", (F.floor(F.col("size") / 500) + 1).cast("long")).withColumn("part", salt)
-    rows = rows.join(root, "rid", "left").withColumn("root", F.coalesce("root", "rid")).join(sequences, "rid")
-    hubs = rows.select("hub", "parts").distinct().join(sequences.select(F.col("rid").alias("hub"), F.col("seq").alias("hub_seq")), "hub").join(hub_root, "hub", "left")
-    hubs = hubs.withColumn("hub_root", F.coalesce("hub_root", "hub")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    told = rows.join(hubs, ["hub", "part"]).withColumn("d", _difference(F.col("seq"), F.col("hub_seq"))).drop("seq", "hub_seq", "part", "parts", "size")
-    told = materialize(told.withColumns({"nd": F.size("d"), "far": F.col("root") != F.col("hub_root")}), "told")
-    share = (1 - LEAST) / (1 + LEAST)
-    slack = share * (F.col("n") + F.col("hub_n")) + 1e-9
-
-    grams = told.select("hub", "rid", F.explode("d").alias("g"))
-    rare = grams.groupBy("hub", "g").agg(F.count("*").alias("df")).where("df > 1")  # the others come first, and meet nothing
-    ranked = grams.join(rare, ["hub", "g"]).groupBy("hub", "rid").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    least_t = F.when(F.col("far"), F.greatest(F.lit(1.0), (F.col("nd") - slack) / 2)).otherwise(F.lit((1 - share) / 2) * F.col("nd"))
-    ranked = ranked.join(told.drop("d"), ["hub", "rid"]).withColumn("alone", F.col("nd") - F.size("gs"))
-    length = F.col("nd") - F.ceil(least_t - 1e-9) + 1 - F.col("alone")
-    first = F.posexplode(F.slice("gs", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("p", "e")
-    prefix = ranked.select("hub", "rid", "n", "nd", "root", "own", "far", "alone", first)
-    prefix = materialize(prefix.select("hub", "rid", "n", "nd", "root", "own", "far", (F.col("alone") + F.col("p")).alias("p"), "e.g"), "prefixes")
-
-    def side(k: str) -> list[Column]:
-        return [F.col(c).alias(c + k) for c in ("rid", "n", "nd", "root", "own", "far", "p")]
-
-    left = prefix.where("far").select("hub", "g", *side("1"))
-    right = prefix.select("hub", "g", *side("2"))
-    t = F.ceil(((1 - share) / 2 * (F.col("nd1") + F.col("nd2")) + share / 2 * (F.col("nd1") + F.col("nd2") - F.col("n1") - F.col("n2"))) - 1e-9)
-    apart = (F.col("root1") != F.col("root2")) & (F.col("own1") | F.col("own2")) & (~F.col("far2") | (F.col("rid1") < F.col("rid2"))) & _alike(F.col("n1"), F.col("n2"))
-    joint = (F.col("p1") <= F.col("nd1") - t) & (F.col("p2") <= F.col("nd2") - t)
-    pairs = left.join(right, ["hub", "g"]).where(apart & joint).select(F.col("rid1").alias("a"), F.col("rid2").alias("b"))
-    odd = told.where(F.col("far") & (F.col("nd") <= slack)).select("rid").distinct()
-    if not odd.isEmpty():
-        pairs = pairs.unionByName(_by_prefix(told.select("rid", "n", "root").distinct(), odd, sequences))
-    return pairs
-
-
-def _by_prefix(docs: DataFrame, some: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Pairs of one of ``some`` and one of ``docs`` (``rid, n, root``) of another class that may be similar, exact.
-
-    Two sequences of similarity ``LEAST`` share one of the rarest n - ceil(0.8 n) + 1 k-mers of each.
-    """
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length("seq") / 4).cast("int") - 1), lambda k: F.substring(F.col("seq"), (k * 4 + 1).cast("int"), F.lit(4)))
-    grams = sequences.where(F.length("seq") > 0).join(docs, "rid").select("rid", "n", "root", F.explode(cut).alias("g"))
-    rare = grams.groupBy("g").agg(F.count("*").alias("df"))
-    keyed = grams.join(rare, "g").groupBy("rid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    first = F.slice("gs", F.lit(1), (F.col("n") - F.ceil(LEAST * F.col("n")) + 1).cast("int"))
-    prefix = materialize(keyed.select("rid", "n", "root", F.explode(first).alias("p")).where("p.df > 1").select("rid", "n", "root", "p.g"), "prefixes")
-    left = prefix.join(some, "rid", "left_semi").select("g", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = prefix.select("g", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return left.join(right, "g").where((F.col("ra") != F.col("rb")) & _alike(F.col("na"), F.col("nb"))).select("a", "b")
-
-
-def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several classes, with ``root`` and ``of_class``, the size of a class in its bucket."""
-    put = members.join(classes, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    kinds = put.groupBy("bucket", "root").agg(F.count("*").alias("of_class"))
-    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
-    return materialize(put.join(kinds.join(mixed, "bucket"), ["bucket", "root"]), "mixed")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = CENTRE_ROUNDS) -> DataFrame:
+    placed = materialize(cells.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "placed")
+    kinds = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
+    mixed = materialize(placed.join(kinds, "cell", "left_semi"), "mixed")
+    words = sequences.join(mixed.select("rid").distinct(), "rid").select("rid", _labelled_words(F.col("seq")).alias("words"))
+    words = materialize(words, "words")
+    grams = mixed.join(words, "rid").select("cell", "rid", "n", "root", F.explode("words").alias("g"))
+    counts = materialize(grams.groupBy("cell", "g").agg(F.count("*").alias("df")).where("df > 1"), "gram-counts")
+    heavy = heavy_keys(counts, ["cell", "g"], "df", mixed.agg(F.sum("n")).first()[0] or 0)
+    common = join_by_cells(grams, counts, ["cell", "g"], F.col("rid"), heavy)
+    # words that only one member has come first and meet nothing
+    ranked = common.groupBy("cell", "rid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    alone = F.col("n") - F.size("gs")
+    length = F.greatest(F.lit(0), F.floor((1 - LEAST) * F.col("n") + 1e-9) + 1 - alone).cast("int")
+    first = F.posexplode(F.slice("gs", F.lit(1), length)).alias("p", "e")
+    prefix = ranked.select("cell", "rid", "n", "root", alone.alias("alone"), first).select("cell", "rid", "n", "root", (F.col("alone") + F.col("p")).alias("p"), "e.g")
+    prefix = materialize(prefix, "prefixes")
+    classes = prefix.groupBy("cell", "g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("p") - F.col("n")).alias("slack"))
+
+    def side(k: str) -> DataFrame:
+        return classes.select("cell", "g", *[F.col(c).alias(c + k) for c in ("root", "lo", "hi", "slack")])
+
+    def fits(least: Column, slack: Column) -> Column:
+        """``slack``, the words before the common one less all words, leaves room for the matches of ``least`` words of both."""
+        return slack <= -LEAST / (1 + LEAST) * least + 1e-9
+
+    alike = (F.col("lo1") * LEAST <= F.col("hi2")) & (F.col("lo2") * LEAST <= F.col("hi1"))
+    room = fits(F.col("lo1") + F.col("lo2"), F.greatest("slack1", "slack2"))
+    met = side("1").join(side("2"), ["cell", "g"]).where((F.col("root1") < F.col("root2")) & alike & room).select("cell", "g", "root1", "root2")
+    met = materialize(met, "met")
+
+    def member(k: str, name: str) -> DataFrame:
+        return prefix.select("cell", "g", F.col("root").alias("root" + k), F.col("rid").alias(name), F.col("n").alias("n" + k), (F.col("p") - F.col("n")).alias("slack" + k))
+
+    pairs = met.join(member("1", "a"), ["cell", "g", "root1"]).join(member("2", "b"), ["cell", "g", "root2"])
+    return pairs.where(_alike(F.col("n1"), F.col("n2")) & fits(F.col("n1") + F.col("n2"), F.greatest("slack1", "slack2"))).select("a", "b")
+
+
+def _roots(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``rid, root`` of the linked documents; with ``before``, ``links`` join its classes."""
+    edges = links.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if before is None:
+        return materialize(connected_components(edges).withColumnRenamed("node", "rid"), "roots")
+    for side in ("u", "v"):
+        edges = edges.join(before.select(F.col("rid").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    over = materialize(connected_components(edges), "roots")
+    moved = before.join(over.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("rid", F.coalesce("new", "root").alias("root"))
+    single = over.join(before.select(F.col("rid").alias("node")), "node", "left_anti").select(F.col("node").alias("rid"), "root")
+    return materialize(moved.unionByName(single), "roots")
+
+
+def _members(base: DataFrame) -> DataFrame:
+    """The sketches that several documents have: ``bucket, rid, n, score``; score counts what a document shares."""
+    spread = base.select("rid", "n", F.explode("sketches").alias("bucket"))
+    shared = materialize(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    total = base.agg(F.sum(F.size("sketches"))).first()[0] or 0
+    members = materialize(join_by_cells(spread, shared, ["bucket"], F.col("rid"), heavy_keys(shared, ["bucket"], "size", total)), "buckets")
+    scores = members.groupBy("rid").agg(F.sum("size").alias("score"))
+    return materialize(members.drop("size").join(scores, "rid").withColumn("centre", F.lit(None).cast("long")), "members")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, class_id, class_size, kept`` and the text's address ``k1, k2`` of every row.
 
     ``class_id`` is the least id of the class, whose first row is kept.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns(_address(F.col("text")))
-    rows = materialize(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "k1", "k2", _sketches(F.col("text")).alias("s")).select("rid", "doc_id", "k1", "k2", "s.*"), "sketches")
-    copies = materialize(rows.groupBy("k1", "k2").agg(F.min("rid").alias("rid")), "copies")
-    base = rows.join(copies.select("rid"), "rid", "left_semi")
-
-    spread = base.select("rid", "n", F.posexplode("sketches").alias("pos", "bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(spread.join(shared, "bucket").select("bucket", "pos", "rid", "n", "size"), "buckets")
-    scores = materialize(members.groupBy("rid").agg(F.sum("size").alias("score")), "scores")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumns(_address(F.col("text")))
+    rows = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "k1", "k2", _sketches(F.col("text")).alias("s"))
+    rows = materialize(rows.select("rid", "doc_id", "k1", "k2", "s.*"), "sketches")
+    copies = materialize(rows.groupBy("k1", "k2").agg(F.min("rid").alias("copy_of"), F.count("*").alias("copies")), "copies")
+    base = rows.join(copies.select(F.col("copy_of").alias("rid")), "rid", "left_semi")
 
+    members = _members(base)
     wanted = members.select("rid").distinct().join(rows.select("rid", "doc_id", "k1", "k2"), "rid")
     texts = source.join(wanted, [source.doc_id.eqNullSafe(wanted.doc_id), source.k1 == wanted.k1, source.k2 == wanted.k2]).select(wanted.rid, "text").dropDuplicates(["rid"])
     sequences = materialize(texts.select("rid", _sequence(F.col("text")).alias("seq")), "sequences")
 
-    links = _Links(sequences)
-    ninth = members.where(F.col("pos") % FIRST == 0).select("bucket", "rid", "n")
-    first_centre = ninth.join(scores, "rid").groupBy("bucket").agg(F.min(F.struct(-F.col("score"), "rid", "n")).alias("c"))
-    first_round = ninth.join(first_centre, "bucket").where(_alike(F.col("n"), F.col("c.n")))
-    links.add(first_round.select(F.col("c.rid").alias("a"), F.col("rid").alias("b")))
-    classes = materialize(links.classes(), "classes")
-    open_members = members.select("bucket", "rid", "n")
-    for k in range(1, rounds + 1):
-        open_members, old = _mixed(open_members, classes), open_members
-        if k > 1:
-            discard(old)
-        if open_members.isEmpty():
-            break
-        put = open_members
-        if k < rounds:
-            order = F.struct(-F.col("of_class"), -F.col("score"), "rid", "n", "root")
-            centre = put.join(scores, "rid").groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.rid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.root").alias("croot"))
-            with_centre = put.join(centre, "bucket")
-            pairs = with_centre.where((F.col("root") != F.col("croot")) & _alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b"))
-            links.add(pairs)
-            open_members = materialize(with_centre.where("rid <> centre").select("bucket", "rid", "n"), "open")
-            discard(put)
-        else:
-            regions = _regions(put, scores)
-            links.add(regions.where(_alike(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rid").alias("b")))
-            links.add(_by_hub(regions, materialize(links.classes(), "classes"), sequences))
-        classes = materialize(links.classes(), "classes")
-
-    placed = rows.select("rid", "doc_id", "k1", "k2").join(copies.withColumnRenamed("rid", "copy_of"), ["k1", "k2"])
-    placed = materialize(placed.join(classes.withColumnRenamed("rid", "copy_of"), "copy_of", "left").withColumn("root", F.coalesce("root", "copy_of")), "placed")
-    discard(members, sequences)
+    links, cells = _Links(sequences), []
+    for k in range(rounds):
+        members, aside = _centre_round(members, links, k)
+        cells.append(aside)
+    cells.append(members.select(F.col("centre").alias("cell"), "rid", "n").distinct())
+    together = cells[0]
+    for more in cells[1:]:
+        together = together.unionByName(more)
+    roots = _roots(links.known)
+    roots = _roots(links.add(_across(together, roots, sequences)), roots)
+
+    placed = join_by_cells(rows.select("rid", "doc_id", "k1", "k2"), copies.drop("copies"), ["k1", "k2"], F.col("rid"), heavy_keys(copies, ["k1", "k2"], "copies", rows.count()))
+    placed = materialize(placed.join(roots.withColumnRenamed("rid", "copy_of"), "copy_of", "left").withColumn("root", F.coalesce("root", "copy_of")), "placed")
+    discard(sequences)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     heads = materialize(placed.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("class_size")), "heads")
-    return placed.join(heads, "root").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"), "k1", "k2")
+    classed = join_by_cells(placed, heads, ["root"], F.col("rid"), heavy_keys(heads, ["root"], "class_size", placed.count()))
+    return classed.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("first.rid") == F.col("rid")).alias("kept"), "k1", "k2")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
