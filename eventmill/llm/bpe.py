@@ -138,13 +138,18 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Remembered(dict):
-    """What ``make`` gave for a word. It holds two generations of words at most: hot ones live on."""
+    """What ``make`` gave for a word. It holds two generations of words at most: hot ones live on.
 
-    def __init__(self, make: Callable[[str], str | bytes], most: int = REMEMBERED):
+    Words of more than ``longest`` characters are made anew each time, so that memory is bounded.
+    """
+
+    def __init__(self, make: Callable[[str], str | bytes], most: int = REMEMBERED, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, word: str) -> str | bytes:
+        if len(word) > self.longest:
+            return self.make(word)
         got = self.old.get(word)
         self[word] = got = self.make(word) if got is None else got
         return got
@@ -192,7 +197,7 @@ class _Coder:
         names, raw = self.vocab.name_of, {n: self.vocab.bytes_of.get(i, b"") for i, n in enumerate(self.vocab.name_of)}
         encode = self.vocab.encode_word
         self.ids = Remembered(lambda w: ",".join([names[i] for i in encode(w)]))
-        self.text = Remembered(lambda ids: b"".join([raw[i] for i in ids.split(",")]))
+        self.text = Remembered(lambda ids: b"".join([raw[i] for i in ids.split(",")]), longest=400)
 
     def round_trip(self, text: str) -> tuple[int, str, str]:
         coded: list[str] = []

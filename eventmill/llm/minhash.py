@@ -16,10 +16,11 @@ with others. The members that are linked to the centre, and the centre, need no
 comparison in that bucket, since a link to one of them means a distance of at most 0.4 from
 the centre; where another member is so near without being linked, the linked ones that
 could reach it stay aside with it (``near``). Links contract to classes. Buckets that still
-hold several classes are settled by an exact prefix filter inside the bucket: at similarity
-0.8 two documents share most of their occurrence-labelled words, and so one of the words that
-are rarest in the bucket. Classes meet there before their members do, so a large class does
-not multiply. No bucket is cut off. Classes are the connected components of verified links.
+hold several classes are settled by an exact prefix filter among the members that share their
+last centre: at similarity 0.8 two documents share most of their occurrence-labelled words, and
+so one of the first of any fixed order, in which those that the centre lacks come first. Classes
+meet there before their members do, so a large class does not multiply. No bucket is cut off.
+Classes are the connected components of verified links.
 
 Defined results: words are compared in lower case; a text of fewer than five words is one
 k-mer; texts without a word are equal to each other only if they are equal as text; a null
@@ -40,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmill.llm.bpe import Remembered
+from eventmill.llm.texts import pieces
 from eventmill.plans.components import connected_components
 from eventmill.plans.scratch import discard, materialize
 from eventmill.plans.skew import heavy_keys, join_by_cells, skew_join
@@ -48,12 +50,12 @@ K, LEAST = 5, 0.8
 LENGTH, COUNT = 3, 48
 #: Sketches of one k-mer, for documents of few k-mers; those from ``LENGTH_FROM`` on have the others.
 BRIEF, BRIEF_TO, LENGTH_FROM = 24, 24, 18
-ROUNDS = 3
+ROUNDS, WORD_BUCKETS = 3, 1 << 17
 #: A member of this similarity to a centre or more may be linked to one that the centre is linked to.
 NEAR = 1 - 2 * (1 - LEAST)
 
 _WORD = re.compile(r"\w+")
-_SLICE = re.compile(r"[\s\S]{1,1000000}\w*")
+_EDGE = re.compile(r"\W")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _words = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")))
 
@@ -73,14 +75,13 @@ _POWERS = _odd(K, 5)
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of the whole text, in order."""
-    text = text or ""
-    parts = [text] if len(text) <= 1_000_000 else [m[0] for m in _SLICE.finditer(text)]
+    text = (text or "").lower()
     rows = []
-    for part in parts:
-        ws = _WORD.findall(part.lower())
+    for a, b in pieces(text, _EDGE):
+        ws = _WORD.findall(text, a, b)
         rows.append(np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws)))
         _words.trim()
-    return np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    return np.concatenate(rows)
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
@@ -239,12 +240,40 @@ def _aligned(a: Column, b: Column) -> Column:
     return told(a, b)
 
 
-def _labelled_words(seq: Column) -> Column:
+def _commonness(sequences: DataFrame) -> np.ndarray:
+    """How often words of each of ``WORD_BUCKETS`` hash buckets occur; this many numbers reach the driver, whatever the texts."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(WORD_BUCKETS, np.int64)
+        for b in batches:
+            for x in b["seq"]:
+                at, n = np.unique(labelled(np.frombuffer(x, "<u8")) % np.uint64(WORD_BUCKETS), return_counts=True)
+                held[at.astype(np.int64)] += n
+        at = np.flatnonzero(held)
+        yield pd.DataFrame({"at": at, "n": held[at]})
+
+    sums = sequences.select("seq").mapInPandas(counted, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    got = sums.toPandas()
+    out = np.zeros(WORD_BUCKETS, np.int64)
+    out[got["at"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
+def first_words(w: np.ndarray, hub: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first floor(0.2 n) + 1 of a document's labelled words: those that ``hub`` lacks before the others, then by commonness and hash."""
+    own = labelled(w)
+    order = np.lexsort((own, common[(own % np.uint64(len(common))).astype(np.int64)], np.isin(own, labelled(hub))))
+    return own[order[: int((1 - LEAST) * len(own) + 1e-9) + 1]]
+
+
+def _first_words(seq: Column, hub: Column, common: np.ndarray, spark) -> Column:
+    shared = spark.sparkContext.broadcast(common)
+
     @F.pandas_udf("array<long>")
-    def made(seqs: pd.Series) -> pd.Series:
-        return pd.Series([labelled(np.frombuffer(x, "<u8")).view(np.int64) for x in seqs], dtype=object)
+    def made(seq: pd.Series, hub: pd.Series) -> pd.Series:
+        return pd.Series([first_words(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), shared.value).view(np.int64) for x, y in zip(seq, hub)], dtype=object)
 
-    return made(seq)
+    return made(seq, hub)
 
 
 def _address(text: Column) -> dict[str, Column]:
@@ -276,7 +305,7 @@ def _centre_round(members: DataFrame, links: _Links, number: int) -> tuple[DataF
     """One comparison of every bucket with its centre: the members left, and those set aside.
 
     Members have ``bucket, rid, n, score`` and the last ``centre``. What is set aside has
-    ``cell, rid, n``; a cell holds what is still to be compared among itself.
+    ``cell, centre, rid, n`` and ``aside``, true for the linked; a cell holds what is still to be compared among itself.
     """
     best = F.min(F.struct(-F.col("score"), "rid", "n")).alias("c")
     centres = members.groupBy("bucket").agg(best, F.count("*").alias("size")).where("size > 1")
@@ -290,13 +319,13 @@ def _centre_round(members: DataFrame, links: _Links, number: int) -> tuple[DataF
     discard(put)
     left = told.where("not linked").select("bucket", "centre", "rid", "n", "score")
     # distances to the centre of two linked documents differ by 1 - LEAST at most
-    met = told.select("centre", "rid", "n", "linked", "bound").distinct()
-    close = met.where(~F.col("linked") & (F.col("bound") >= NEAR))
-    most = close.groupBy("centre").agg(F.max("bound").alias("most"))
-    near = met.where("linked").join(most, "centre").where(F.col("bound") <= F.col("most") + (1 - LEAST))
-    cells = near.select("centre").distinct()
-    aside = near.select("centre", "rid", "n").unionByName(close.join(cells, "centre", "left_semi").select("centre", "rid", "n"))
-    return left, aside.select(F.xxhash64("centre", F.lit(number)).alias("cell"), "rid", "n")
+    close = ~F.col("linked") & (F.col("bound") >= NEAR)
+    most = told.groupBy("centre").agg(F.max(F.when(close, F.col("bound"))).alias("most"), F.count("*").alias("size")).where("most IS NOT NULL")
+    most = materialize(most, "near")
+    beside = join_by_cells(told, most.drop("size"), ["centre"], F.col("rid"), heavy_keys(most, ["centre"], "size", told.count()))
+    kept = beside.where(close | (F.col("linked") & (F.col("bound") <= F.col("most") + (1 - LEAST))))
+    aside = kept.select(F.xxhash64("centre", F.lit(number)).alias("cell"), "centre", "rid", "n", F.col("linked").alias("aside")).distinct()
+    return left, materialize(aside, "aside")
 
 
 def _alike(n: Column, m: Column) -> Column:
@@ -305,28 +334,23 @@ def _alike(n: Column, m: Column) -> Column:
 
 
 def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of a cell, of different classes, that may be similar: exact, by prefixes of the words rarest in the cell.
+    """Pairs ``a, b`` of a cell, of different classes, that may be similar: exact, by the first words of each.
 
     Documents of n and m words match t = 0.8 (n + m) / 1.8 of them at least. So each has at
     most n - t and m - t labelled words before the first common one, in any order that is the
-    same for both, and m is 0.8 n at least.
+    same for both, and m is 0.8 n at least. The words that the cell's centre lacks come
+    first: what makes a cell large, a passage or a common original, is in its centre. Then
+    rare words come before common ones.
     """
     placed = materialize(cells.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "placed")
-    kinds = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
-    mixed = materialize(placed.join(kinds, "cell", "left_semi"), "mixed")
-    words = sequences.join(mixed.select("rid").distinct(), "rid").select("rid", _labelled_words(F.col("seq")).alias("words"))
-    words = materialize(words, "words")
-    grams = mixed.join(words, "rid").select("cell", "rid", "n", "root", F.explode("words").alias("g"))
-    counts = materialize(grams.groupBy("cell", "g").agg(F.count("*").alias("df")).where("df > 1"), "gram-counts")
-    heavy = heavy_keys(counts, ["cell", "g"], "df", mixed.agg(F.sum("n")).first()[0] or 0)
-    common = join_by_cells(grams, counts, ["cell", "g"], F.col("rid"), heavy)
-    # words that only one member has come first and meet nothing
-    ranked = common.groupBy("cell", "rid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    alone = F.col("n") - F.size("gs")
-    length = F.greatest(F.lit(0), F.floor((1 - LEAST) * F.col("n") + 1e-9) + 1 - alone).cast("int")
-    first = F.posexplode(F.slice("gs", F.lit(1), length)).alias("p", "e")
-    prefix = ranked.select("cell", "rid", "n", "root", alone.alias("alone"), first).select("cell", "rid", "n", "root", (F.col("alone") + F.col("p")).alias("p"), "e.g")
-    prefix = materialize(prefix, "prefixes")
+    kinds = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("aside").alias("aside"), F.count("*").alias("size"))
+    kinds = materialize(kinds.where("lo <> hi AND aside").select("cell", "size"), "kinds")
+    mixed = join_by_cells(placed, kinds, ["cell"], F.col("rid"), heavy_keys(kinds, ["cell"], "size", placed.count()), "left_semi")
+    mixed = materialize(mixed.join(sequences, "rid"), "mixed")
+    common = _commonness(sequences.join(mixed.select("rid").distinct(), "rid"))
+    hub = sequences.select(F.col("rid").alias("centre"), F.col("seq").alias("hub"))
+    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).select("cell", "rid", "n", "root", F.posexplode(_first_words(F.col("seq"), F.col("hub"), common, mixed.sparkSession)).alias("p", "g"))
+    prefix = materialize(begun, "prefixes")
     classes = prefix.groupBy("cell", "g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("p") - F.col("n")).alias("slack"))
 
     def side(k: str) -> DataFrame:
@@ -391,7 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k in range(rounds):
         members, aside = _centre_round(members, links, k)
         cells.append(aside)
-    cells.append(members.select(F.col("centre").alias("cell"), "rid", "n").distinct())
+    cells.append(members.select(F.col("centre").alias("cell"), "centre", "rid", "n", F.lit(True).alias("aside")).distinct())
     together = cells[0]
     for more in cells[1:]:
         together = together.unionByName(more)
