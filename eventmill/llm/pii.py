@@ -7,7 +7,9 @@ the kind's own weight, gains from a passed checksum and from context words withi
 ``WINDOW`` code points; added spans stay from ``KEEP`` on, base spans always.
 
 All scans are linear in the text. Positions are code points, ends exclusive. Defined
-results: a null text counts as empty and has no spans.
+results: a null text counts as empty and has no spans; texts and matches may be of any length;
+repeated rows and null ids are rows like others; spans that begin together are in the order of
+``KINDS``; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def _base(text: str) -> Iterator[tuple[str, int, int, bool]]:
             yield "email", a, b, False
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split(".")):
                 yield "ip", *m.span(), False
         for m in _CARD.finditer(text):
             if m.end() - m.start() < 38 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
