@@ -13,7 +13,9 @@ language, chosen by a hash of the id over all rows, and ``WINDOW`` words of each
 place that the hash gives. Prediction reads whole texts and nothing but the text.
 
 Defined results: a text that is null or has no letter is ``und`` with score and ``sure`` 0; so is
-every text if no training row has a label. Ties go to the language that sorts first.
+every text if no training row has a label. Ties go to the language that sorts first. Repeated
+rows, null ids and null labels are rows like others (a null id is not held out); an empty table
+gives no rows; further columns are ignored, and ``keep_known`` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -29,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmill.llm.bpe import REMEMBERED
+from eventmill.llm.texts import pieces
 
 UND = "und"
 SAMPLE, WINDOW, LEXICON = 250, 160, 150
@@ -36,22 +40,33 @@ BUCKETS = 1 << 17
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-4
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SLICE = re.compile(r"[\s\S]{1,1000000}(?:[^\W\d_]+)?")
+_EDGE = re.compile(r"[\W\d_]")
 
 
-def word_features(word: str, lexicons: dict[str, int]) -> list[int]:
-    """Hashed features; ``lexicons`` gives a word a bit set of the languages whose lexicon holds it."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]
-    n = len(w)
-    parts = ["w" + w]
-    parts += ["p" + w[:k] for k in (1, 2, 3) if k <= n]
-    parts += ["s" + w[-k:] for k in (1, 2, 3) if k <= n]
-    edged = f"<{w}>"
-    parts += [edged[k : k + 3] for k in range(n)]
-    parts += [w[k : k + 2] for k in range(n - 1)]
+#: Letters from which a word's features are summed in steps, so that memory stays bounded.
+LONG_WORD, STEP = 1000, 50_000
+
+
+def _parts(word: str, lexicons: dict[str, int]) -> Iterator[str]:
+    n = len(word)
+    yield "w" + word
+    for k in range(1, min(3, n) + 1):
+        yield "p" + word[:k]
+        yield "s" + word[-k:]
+    edged = f"<{word}>"
+    for k in range(n):
+        yield edged[k : k + 3]
+    for k in range(n - 1):
+        yield word[k : k + 2]
     held = lexicons.get(word, 0)
-    parts += [f"x{k}" for k in range(held.bit_length()) if held >> k & 1]
-    return [crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts]
+    for k in range(held.bit_length()):
+        if held >> k & 1:
+            yield f"x{k}"
+
+
+def word_features(word: str, lexicons: dict[str, int]) -> list[int]:
+    """Hashed features of the whole word; ``lexicons`` gives a word a bit set of the languages whose lexicon holds it."""
+    return [crc32(p.encode("utf-8", "replace")) % BUCKETS for p in _parts(word, lexicons)]
 
 
 @dataclass
@@ -64,13 +79,24 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Log scores of each word by language."""
-        rows = [word_features(w, self.lexicons) for w in words]
+        rows = [word_features(w if len(w) < LONG_WORD else "", self.lexicons) for w in words]
         if not rows:
             return np.zeros((0, len(self.languages)), np.float32)
         ends = np.cumsum([len(r) for r in rows])
         flat = np.fromiter((f for r in rows for f in r), np.int64, ends[-1])
         scores = np.add.reduceat(self.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0)
-        return scores / np.sqrt(np.diff(ends, prepend=0))[:, None]
+        scores = scores / np.sqrt(np.diff(ends, prepend=0))[:, None]
+        for k, w in enumerate(words):
+            if len(w) >= LONG_WORD:
+                scores[k] = self._long(w)
+        return scores
+
+    def _long(self, word: str) -> np.ndarray:
+        total, count, hashes = np.zeros(len(self.languages)), 0, (crc32(p.encode("utf-8", "replace")) % BUCKETS for p in _parts(word, self.lexicons))
+        while step := list(islice(hashes, STEP)):
+            total += self.weights[step].sum(0, dtype=np.float64)
+            count += len(step)
+        return total / np.sqrt(count)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -251,12 +277,13 @@ class _Scores(dict):
 
     def __init__(self, model: Crf):
         super().__init__()
-        self.model, self.new = model, []
+        self.model, self.new, self.letters = model, [], 0
         self.rows = np.zeros((1024, len(model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
         self.new.append(word)
+        self.letters += len(word)
         return at
 
     def of(self, index: np.ndarray) -> np.ndarray:
@@ -269,29 +296,30 @@ class _Scores(dict):
         return self.rows[index]
 
     def trim(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED or self.letters > 20 * REMEMBERED:
             self.clear()
+            self.letters = 0
 
 
 def _words(text: str) -> Iterator[list[str]]:
-    if len(text) <= 1_000_000:
-        yield _WORD.findall(text.lower())
-    else:  # only numbers are kept of a very long text's words
-        for m in _SLICE.finditer(text):
-            yield _WORD.findall(m[0].lower())
+    """Words in lower case; only numbers are kept of a very long text's words."""
+    lower = text.lower()
+    for a, b in pieces(lower, _EDGE):
+        yield _WORD.findall(lower, a, b)
 
 
 def _placed(text: str) -> Iterator[tuple[list[str], np.ndarray]]:
     """As ``_words``, with the first and the end character of each word in ``text``."""
-    for m in [None] if len(text) <= 1_000_000 else _SLICE.finditer(text):
-        part, base = (text, 0) if m is None else (m[0], m.start())
-        lower = part.lower()
-        found = [(w[0], *w.span()) for w in _WORD.finditer(lower)]
+    lower = text.lower()
+    source = None
+    if len(lower) != len(text):  # a character's lower case can be two
+        source = np.repeat(np.arange(len(text), dtype=np.int32), [len(c.lower()) for c in text])
+    for a, b in pieces(lower, _EDGE):
+        found = [(w[0], *w.span()) for w in _WORD.finditer(lower, a, b)]
         at = np.array([w[1:] for w in found], np.int64).reshape(-1, 2)
-        if len(lower) != len(part):  # a character's lower case can be two
-            source = np.repeat(np.arange(len(part)), [len(c.lower()) for c in part])
-            at = np.stack([source[at[:, 0]], source[at[:, 1] - 1] + 1], axis=1)
-        yield [w[0] for w in found], at + base
+        if source is not None:
+            at = np.stack([source[at[:, 0]], source[at[:, 1] - 1] + 1], axis=1).astype(np.int64)
+        yield [w[0] for w in found], at
 
 
 def _runs(p: np.ndarray, at: np.ndarray, languages: list[str]) -> list[dict]:
@@ -339,11 +367,14 @@ def label(texts: list[str | None], model: Crf | None, known: _Scores | None = No
     count = 0
     for text in texts:
         rows, spots = [], [np.zeros((0, 2), np.int64)]
+        letters = False
         for ws, at in _placed(text or "") if runs else ((ws, None) for ws in _words(text or "")):
-            if any(map(str.isalpha, ws)):
-                rows.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
-                if runs:
-                    spots.append(at)
+            letters = letters or any(map(str.isalpha, ws)) or any(map(str.isalpha, "".join(ws)))
+            rows.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
+            if runs:
+                spots.append(at)
+        if not letters:  # numerals like one half are words without a letter
+            rows, spots = [], spots[:1]
         if runs:
             places.append(np.concatenate(spots))
         held.append(np.concatenate(rows) if rows else np.zeros(0, np.int64))
@@ -385,7 +416,7 @@ def predict(text: Column, model: Crf | None, spark, runs: bool = False) -> Colum
 
     Runs come from the posteriors of the words that the other fields average. ``start`` is the
     first character of a run's first word, counted from 0, and ``end`` the one after its last.
-    The model's size is fixed by ``BUCKETS``.
+    The model holds ``BUCKETS`` numbers for each label, and there are as many labels as languages.
     """
     shared = spark.sparkContext.broadcast(model)
     fields = ["lang string", "score double", "sure double"] + ["runs array<struct<start:int,end:int,lang:string,score:double>>"] * runs
