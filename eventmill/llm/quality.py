@@ -2,13 +2,18 @@
 
 Two bags of hashed unigrams and bigrams are counted: one of target text (a bounded sample
 of documents labelled good, about ``SAMPLE`` by a hash of their id), one of all raw text.
-A document's log weight is the mean log ratio of the two models over its n-grams, times
-``SCALE``: the weight of a text of that many n-grams, so that length alone does not decide.
-Gumbel noise from a hash of the id is added, and the k largest keys are selected: a draw
-without replacement in proportion to the weights. k is ``fraction`` of all rows.
-
-Defined results: a text that is null or has no token has log weight 0; without target
-documents every weight is 0; equal keys are ranked by row; an empty table gives no rows.
+A document's log weight is the sum of the log ratios of the two models over its n-grams, the
+log of its importance weight. Gumbel noise of its own for each row is added, and the k largest
+keys are selected: a draw without replacement in proportion to the weights. ``temper`` makes
+the weight the mean log ratio times a stated number of n-grams instead, so that length does not
+decide. k is ``fraction`` of all rows; by default the share of the labelled documents that are
+labelled good.
+
+Defined results: a text that is null or has no token has log weight 0, texts may be of any
+length; without target documents every weight is 0, and without labels every row is selected;
+repeated rows and null ids are drawn each for itself; equal keys are ranked by ``row``, the
+number that a row gets when weights are written; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,23 +27,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmill.llm.bpe import Remembered
+from eventmill.llm.texts import pieces
 from eventmill.plans.scratch import materialize
 
-BUCKETS, SAMPLE, SCALE, FRACTION = 10_000, 4000, 50.0, 0.85
-ROWS_A_RANGE = 50_000
+BUCKETS, SAMPLE = 10_000, 4000
+ROWS_A_RANGE, MOST_RANGES = 50_000, 4096
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_SLICE = re.compile(r"[\s\S]{1,1000000}\w*")
+_EDGE = re.compile(r"\s")
 _hashes = Remembered(lambda t: crc32(t.encode("utf-8", "replace")))
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """Buckets of all unigrams and bigrams of the whole text."""
-    text = text or ""
-    parts = [text] if len(text) <= 1_000_000 else [m[0] for m in _SLICE.finditer(text)]
+    text = (text or "").lower()
     rows = []
-    for part in parts:
-        tokens = _TOKEN.findall(part.lower())
+    for a, b in pieces(text, _EDGE):
+        tokens = _TOKEN.findall(text, a, b)
         rows.append(np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens)))
         _hashes.trim()
     h = np.concatenate(rows)
@@ -71,15 +76,22 @@ def models(docs: DataFrame, target: DataFrame) -> np.ndarray:
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
-def log_weight(text: Column, ratio: np.ndarray, spark) -> Column:
+def weight_of(grams: np.ndarray, ratio: np.ndarray, temper: float | None = None) -> float:
+    """Log weight of a text with these n-grams."""
+    if not len(grams):
+        return 0.0
+    logs = ratio[grams.astype(np.int64)]
+    return float(logs.sum() if temper is None else logs.mean() * temper)
+
+
+def log_weight(text: Column, ratio: np.ndarray, spark, temper: float | None = None) -> Column:
     shared = spark.sparkContext.broadcast(ratio)
 
     @F.pandas_udf("double")
     def weighed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         r = shared.value
         for texts in batches:
-            grams = (ngrams(t).astype(np.int64) for t in texts)
-            yield pd.Series([float(r[g].mean() * SCALE) if len(g) else 0.0 for g in grams], dtype=float)
+            yield pd.Series([weight_of(ngrams(t), r, temper) for t in texts], dtype=float)
 
     return weighed(text)
 
@@ -91,31 +103,33 @@ def gumbel(key: Column, seed: int = 31) -> Column:
 
 def ranked(rows: DataFrame, n: int, key: str = "key", unique: str = "row") -> DataFrame:
     """Adds ``rank``, 1 for the largest key, over range partitions and their prefix counts."""
-    parts = max(4, n // ROWS_A_RANGE)
+    parts = min(MOST_RANGES, max(4, n // ROWS_A_RANGE))
     dealt = rows.repartitionByRange(parts, F.desc(key), unique).withColumn("__part", F.spark_partition_id())
     dealt = materialize(dealt, "ranges")
-    counts = {r[0]: r[1] for r in dealt.groupBy("__part").count().collect()}  # one row a partition
+    counts = {r[0]: r[1] for r in dealt.groupBy("__part").count().collect()}  # MOST_RANGES rows
     before, total = [], 0
     for p in sorted(counts):
         before.append((p, total))
         total += counts[p]
     starts = rows.sparkSession.createDataFrame(before, "__part int, __start long")
-    # cells inside a range keep windows small
     w = Window.partitionBy("__part").orderBy(F.desc(key), unique)
     return dealt.join(F.broadcast(starts), "__part").withColumn("rank", F.row_number().over(w) + F.col("__start")).drop("__part", "__start")
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, sample: int = SAMPLE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float | None = None, sample: int = SAMPLE, temper: float | None = None) -> DataFrame:
     """``doc_id, log_weight, key, rank, selected`` of every row; ``labels(doc_id, quality)``."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     n_good = good.count()
+    if fraction is None:
+        told = labels.where("quality IS NOT NULL").agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
+        fraction = 1.0 if told is None else told
     draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 40)) / float(1 << 40)
     target = good.where(draw < min(1.0, sample / max(1, n_good))).limit(2 * sample)
     ratio = models(text, target)
-    weight = log_weight(F.col("text"), ratio, docs.sparkSession)
+    weight = log_weight(F.col("text"), ratio, docs.sparkSession, temper)
     rows = materialize(text.select(F.monotonically_increasing_id().alias("row"), "doc_id", weight.alias("log_weight")), "weights")
     n = rows.count()
-    keyed = rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id")))
+    keyed = rows.withColumn("key", F.col("log_weight") + gumbel(F.col("row")))
     k = round(fraction * n)
     return ranked(keyed, n).select("doc_id", "log_weight", "key", "rank", (F.col("rank") <= k).alias("selected"))
