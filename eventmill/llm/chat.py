@@ -8,16 +8,19 @@ empty messages at its end.
 
 Rows are sorted by range over (conversation, turn), so one conversation of any length
 spreads over partitions. Segments of at most ``SEGMENT`` turns get a matrix of costs from
-entry to exit state; the matrices are combined in a stream, forth for the costs and back
-for the cheapest path; then each segment is repaired for itself between its two states.
-The result has one row per turn with the piece of rendered text that the turn adds, so no
+entry to exit state; the matrices are combined in a stream for the costs at which each
+segment is entered. With these each segment knows for each exit the entry of the cheapest
+path, which a stream from the end chains; then each segment is repaired for itself. The
+result has one row per turn with the piece of rendered text that the turn adds, so no
 conversation is gathered whole.
 
 Defined results: turns are in the order of ``turn``, nulls last, repeated turns by role and
 text; roles are folded in case and known aliases; an unknown or null role must be
 relabelled; a null text counts as empty; rows with a null conversation form one
-conversation. Of equally cheap repairs the one that keeps, merges, relabels, then
-inserts, earliest turn last, is taken. An empty table gives no rows.
+conversation; repeated rows are turns like others. Of equally cheap repairs the one whose last
+turn has the earliest role of system, user, assistant is taken, then whose turn before it has,
+and so on, however turns are cut into segments. ``<|`` inside a text is rendered as ``< |``,
+so that no text can make a turn. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from eventmill.plans.scratch import materialize
+from eventmill.plans.skew import partitions
 
 SEGMENT = 512
 ROLES = ("system", "user", "assistant")
@@ -86,17 +90,28 @@ def transfer(roles: list[int]) -> np.ndarray:
     return whole
 
 
-def repair(roles: list[int], entry: int, leave: int) -> list[int]:
-    """States after each turn on the cheapest path between two states; ties go to the earlier role."""
-    cost = np.full(4, np.inf)
-    cost[entry] = 0.0
+def _back(roles: list[int], cost: np.ndarray) -> list[np.ndarray]:
+    """For each turn the best state before it by the state after it, entered at ``cost`` by state; ties go to the earlier role."""
     back = []
     for r in roles:
         step = cost[:, None] + _MATRIX[r]
         back.append(step.argmin(0))
         cost = step.min(0)
+    return back
+
+
+def entries(roles: list[int], cost: np.ndarray) -> list[int]:
+    """The state in which the cheapest path to each exit state enters."""
+    at = np.arange(4)
+    for b in reversed(_back(roles, cost)):
+        at = b[at]
+    return at.tolist()
+
+
+def repair(roles: list[int], cost: np.ndarray, leave: int) -> list[int]:
+    """States after each turn on the cheapest path to ``leave``."""
     states, t = [], leave
-    for b in reversed(back):
+    for b in reversed(_back(roles, cost)):
         states.append(t)
         t = int(b[t])
     return states[::-1]
@@ -116,6 +131,7 @@ END = "<|end|>\n"
 def render(before: int, state: int, text: str, last: bool) -> tuple[str, list[str]]:
     """The piece that a turn adds, and the roles of empty messages in it."""
     put: tuple[int, ...] = ()
+    text = text.replace("<|", "< |")
     if before == state:
         piece = "\n\n" + text
     else:
@@ -147,7 +163,8 @@ def _groups(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[tuple[tuple
 
 
 def _by(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """Rows dealt by ``keys`` into a stated number of partitions, since Python's time does not show in their size."""
+    return df.repartition(partitions(df), *keys).sortWithinPartitions(*keys, *order)
 
 
 def repair_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
@@ -159,8 +176,9 @@ def repair_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         F.col(role).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    order = ["key", F.col("turn").isNull(), "turn", F.col("role").isNull(), "role", F.xxhash64("text"), "text"]
-    sorted_rows = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "turns")
+    order = ["key", F.col("turn").isNull(), "turn", F.col("role").isNull(), "role", F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    sorted_rows = materialize(dealt.withColumn("at", F.monotonically_increasing_id()), "turns")
     # ``at`` is unique and follows the order, also over partitions: a segment is a stretch of it
     cut = sorted_rows.withColumn("seg", F.floor(F.col("at") / segment))
 
@@ -192,35 +210,45 @@ def repair_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
                     forward.key, forward.x = key, np.array([0.0, np.inf, np.inf, np.inf])
                 out.append(forward.x.tolist())
                 forward.x = (forward.x[:, None] + np.array(cost).reshape(4, 4)).min(0)
-            yield b.assign(ahead=out)
+            yield b[["key", "seg"]].assign(ahead=out)
 
     def forth(batches):
         forward.key, forward.x = None, None
         yield from forward(batches)
 
-    ahead = materialize(_by(matrices, ["key"], "seg").mapInPandas(forth, "key string, seg long, cost array<double>, ahead array<double>"), "ahead")
+    ahead = materialize(_by(matrices, ["key"], "seg").mapInPandas(forth, "key string, seg long, ahead array<double>"), "ahead")
+
+    def entered(batches):
+        for (key, seg), part in _groups(batches, "key", "seg"):
+            cost = np.array(part["ahead"].iloc[0])
+            roles = [state_of(r) for r in part["role"]]
+            leave = int(((cost[:, None] + transfer(roles)).min(0) + [_close(s) for s in range(4)]).argmin())
+            yield pd.DataFrame({"key": [key], "seg": [seg], "entries": [entries(roles, cost)], "best": [leave]})
+
+    known = cut.select("key", "seg", "at", "role").join(ahead.select("key", "seg", "ahead"), ["key", "seg"])
+    starts = materialize(_by(known, ["key", "seg"], "at").mapInPandas(joined(entered), "key string, seg long, entries array<int>, best int"), "entries")
 
     def back(batches):
         key, t = None, START
         for b in batches:
             out = []
-            for k, seg, cost, x in zip(b["key"], b["seg"], b["cost"], b["ahead"]):
-                paths = np.array(x)[:, None] + np.array(cost).reshape(4, 4)
+            for k, seg, entry, best in zip(b["key"], b["seg"], b["entries"], b["best"]):
                 last = k != key
                 if last:
-                    key, t = k, int((paths.min(0) + [_close(s) for s in range(4)]).argmin())
-                s = int(paths[:, t].argmin())
+                    key, t = k, int(best)
+                s = int(entry[t])
                 out.append((k, seg, s, t, last))
                 t = s
             yield pd.DataFrame(out, columns=["key", "seg", "entry", "leave", "last"])
 
-    ends = _by(ahead, ["key"], F.desc("seg")).mapInPandas(back, "key string, seg long, entry int, leave int, last boolean")
+    ends = _by(starts, ["key"], F.desc("seg")).mapInPandas(back, "key string, seg long, entry int, leave int, last boolean")
+    ends = ends.join(ahead.select("key", "seg", "ahead"), ["key", "seg"])
 
     def told(batches):
         for (_, _), part in _groups(batches, "key", "seg"):
             roles = [state_of(r) for r in part["role"]]
             entry, leave, last = int(part["entry"].iloc[0]), int(part["leave"].iloc[0]), bool(part["last"].iloc[0])
-            states = repair(roles, entry, leave)
+            states = repair(roles, np.array(part["ahead"].iloc[0]), leave)
             before = [entry, *states[:-1]]
             pieces = [render(b, s, t, last and k == len(states) - 1) for k, (b, s, t) in enumerate(zip(before, states, part["text"]))]
             yield pd.DataFrame(
