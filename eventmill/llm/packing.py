@@ -10,10 +10,13 @@ pieces of their length.
 Where whole rests would leave more than ``slack`` of the space empty (as when one length
 holds most documents), rests are cut at a smaller width: the largest of ``width / 2, / 4,
 …, / 32`` that leaves little enough empty, or the one that leaves least. The histogram
-tells it without another pass. Cutting keeps all ids, each in one piece.
+tells it. Texts are encoded once: a rest is kept as the checksums of its finest parts, from
+which those of larger pieces follow. Cutting keeps all ids, each in one piece.
 
 Defined results: a null text counts as empty, and an empty document is one piece of its
-end id alone; repeated rows are packed each for itself; an empty table gives no rows.
+end id alone; repeated rows and rows with null ids are packed each for itself; pieces of
+one length take their slots in the order of a hash; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from eventmill.plans.ranks import salted_rank
 from eventmill.plans.scratch import materialize
 
 WIDTH, END, SLACK = 2048, 1, 0.03
+#: How often the width of a rest may be halved.
+HALVINGS = 5
 
 
 class _Encoder:
@@ -68,28 +73,63 @@ class _Encoder:
 _encoders: dict[str, _Encoder] = {}
 
 
-def _pieces(raw: bytes, width: int, rest_width: int) -> list[tuple[int, int, int]]:
-    """start, length and crc32 of each piece of the ids in ``raw``."""
-    n = len(raw) // 4
-    cuts = [*range(0, n - n % width, width), *range(n - n % width, n, rest_width), n]
-    return [(a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:])]
+def _finest(width: int) -> int:
+    return max(1, width >> HALVINGS)
 
 
-def pieces(text: Column, path: str, width: int = WIDTH, rest_width: int = WIDTH, end: int = END) -> Column:
-    """Array of struct(start, length, crc, tokens) of each text and its end id."""
+def _cuts(n: int, width: int, rest_width: int) -> list[int]:
+    """Where ``n`` ids are cut: full pieces, then the rest."""
+    return [*range(0, n - n % width, width), *range(n - n % width, n, rest_width), n]
 
-    @F.pandas_udf("array<struct<start:long,length:long,crc:long,tokens:long>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def checksums(text: Column, path: str, width: int = WIDTH, end: int = END) -> Column:
+    """Struct(tokens, crcs) of each text and its end id: checksums of its full pieces and of the finest parts of its rest."""
+
+    @F.pandas_udf("tokens long, crcs array<long>")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoders[path] = _encoders.get(path) or _Encoder(path)
         tail = np.array([end], dtype="<u4").tobytes()
         for texts in batches:
             out = []
             for t in texts:
                 raw = encoder.encode(t or "") + tail
-                out.append([{"start": a, "length": n, "crc": c, "tokens": len(raw) // 4} for a, n, c in _pieces(raw, width, rest_width)])
-            yield pd.Series(out, dtype=object)
+                cuts = _cuts(len(raw) // 4, width, _finest(width))
+                out.append((len(raw) // 4, [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]))
+            yield pd.DataFrame(out, columns=["tokens", "crcs"])
+
+    return coded(text)
+
+
+def _joined(crcs: list[int], sizes: list[int]) -> int:
+    """The checksum of parts of ``sizes`` bytes laid end to end.
+
+    What a part does to the checksum before it does not depend on its bytes, as CRC is linear: zeros do the same.
+    """
+    whole = crcs[0]
+    for crc, size in zip(crcs[1:], sizes[1:]):
+        zeros = bytes(size)
+        whole = zlib.crc32(zeros, whole) ^ zlib.crc32(zeros) ^ crc
+    return whole
+
+
+def _pieces(tokens: int, crcs: list[int], width: int, rest_width: int) -> list[tuple[int, int, int]]:
+    """start, length and crc32 of each piece."""
+    fine = _cuts(tokens, width, _finest(width))
+    at = {a: k for k, a in enumerate(fine)}
+    cuts = _cuts(tokens, width, rest_width)
+    parts = [(a, b, at[a], at[b]) for a, b in zip(cuts, cuts[1:])]
+    return [(a, b - a, _joined(crcs[i:j], [4 * (y - x) for x, y in zip(fine[i:j], fine[i + 1 : j + 1])])) for a, b, i, j in parts]
+
+
+def pieces(tokens: Column, crcs: Column, width: int, rest_width: int) -> Column:
+    """Array of struct(start, length, crc) of the pieces of each text."""
+
+    @F.pandas_udf("array<struct<start:long,length:long,crc:long>>")
+    def cut(tokens: pd.Series, crcs: pd.Series) -> pd.Series:
+        rows = [_pieces(int(n), [int(c) for c in cs], width, rest_width) for n, cs in zip(tokens, crcs)]
+        return pd.Series([[dict(zip(("start", "length", "crc"), p)) for p in r] for r in rows], dtype=object)
 
-    return cut(text)
+    return cut(tokens, crcs)
 
 
 def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -196,8 +236,7 @@ def _cut_histogram(histogram: dict[int, int], width: int, rest_width: int) -> di
 
 def _rest_width(histogram: dict[int, int], width: int, slack: float) -> int:
     tried = []
-    for k in range(6):
-        rest = max(1, width >> k)
+    for rest in [width, *(_finest(width) << k for k in reversed(range(HALVINGS)))]:
         empty = empty_share(shortest_pack_first(_cut_histogram(histogram, width, rest), width), width)
         if empty <= slack:
             return rest
@@ -209,17 +248,16 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def cut(rest_width: int) -> tuple[DataFrame, dict[int, int]]:
-        made = pieces(F.col("text"), path, width, rest_width, end)
-        table = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(made).alias("p")).select("row", "doc_id", "p.*")
-        table = materialize(table, "pieces")
-        return table, {r.length: r.n for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``width`` rows at most
-
-    table, histogram = cut(width)
-    rest_width = _rest_width(histogram, width, slack)
-    if rest_width < width:
-        table, histogram = cut(rest_width)
-    patterns = shortest_pack_first(histogram, width)
+    coded = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", checksums(F.col("text"), path, width, end).alias("c"))
+    coded = materialize(coded.select("row", "doc_id", "c.*"), "coded")
+    rests = coded.groupBy((F.col("tokens") % width).alias("rest")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("tokens") / width)).alias("full")).collect()  # ``width`` rows at most
+    whole = {r.rest: r.n for r in rests if r.rest}
+    if full := sum(r.full for r in rests):
+        whole[width] = full
+    rest_width = _rest_width(whole, width, slack)
+    made = F.explode(pieces(F.col("tokens"), F.col("crcs"), width, rest_width)).alias("p")
+    table = materialize(coded.select("row", "doc_id", "tokens", made).select("row", "doc_id", "tokens", "p.*"), "pieces")
+    patterns = shortest_pack_first(_cut_histogram(whole, width, rest_width), width)
     ranked = salted_rank(table, "length", ["row", "start"])
     return ranked.withColumn("at", _place(F.col("length"), F.col("rank"), _slots(patterns))).select(
         "doc_id", "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "at.sequence_id", "at.offset"
