@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmill.llm.bpe import Remembered
@@ -50,7 +51,7 @@ K, LEAST = 5, 0.8
 LENGTH, COUNT = 3, 48
 #: Sketches of one k-mer, for documents of few k-mers; those from ``LENGTH_FROM`` on have the others.
 BRIEF, BRIEF_TO, LENGTH_FROM = 24, 24, 18
-ROUNDS, WORD_BUCKETS = 3, 1 << 17
+ROUNDS, WORD_BUCKETS, COUNT_PARTS = 3, 1 << 14, 16
 #: A member of this similarity to a centre or more may be linked to one that the centre is linked to.
 NEAR = 1 - 2 * (1 - LEAST)
 
@@ -247,15 +248,16 @@ def _commonness(sequences: DataFrame) -> np.ndarray:
         held = np.zeros(WORD_BUCKETS, np.int64)
         for b in batches:
             for x in b["seq"]:
-                at, n = np.unique(labelled(np.frombuffer(x, "<u8")) % np.uint64(WORD_BUCKETS), return_counts=True)
-                held[at.astype(np.int64)] += n
-        at = np.flatnonzero(held)
-        yield pd.DataFrame({"at": at, "n": held[at]})
+                held += np.bincount((labelled(np.frombuffer(x, "<u8")) % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % COUNT_PARTS], "n": [held.tobytes()]})
 
-    sums = sequences.select("seq").mapInPandas(counted, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:  # one row a task
+        return pd.DataFrame({"n": [sum(np.frombuffer(x, np.int64) for x in rows["n"]).tobytes()]})
+
+    parts = sequences.select("seq").mapInPandas(counted, "part int, n binary").groupBy("part").applyInPandas(summed, "n binary")
     out = np.zeros(WORD_BUCKETS, np.int64)
-    out[got["at"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
+    for r in parts.toLocalIterator():  # COUNT_PARTS rows
+        out += np.frombuffer(r.n, np.int64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
