@@ -58,7 +58,7 @@ NEAR = 1 - 2 * (1 - LEAST)
 _WORD = re.compile(r"\w+")
 _EDGE = re.compile(r"\W")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_words = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")))
+_words = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), most=100_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
