@@ -12,6 +12,8 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, functions as F
 
+from eventmill.functions.scales import table_scale
+
 NAN, INF = float("nan"), float("inf")
 
 
@@ -76,6 +78,8 @@ def scale(c: Column, kind: str, inverse: bool = False, low: float | None = None,
             out = (F.log10(F.greatest(c, F.lit(p["offset"]))) - math.log10(p["offset"])) / p["m"]
         case "wsp_log", True:
             out = F.pow(F.lit(10.0), c * p["m"] + math.log10(p["offset"]))
+        case "wsp_biex" | "refinement_biex" | "logicle" | "hyperlog", _:
+            out = table_scale(kind, c, inverse, **p)
         case _:
             raise ValueError(f"no scale {kind!r}")
     out = or_nan(c.isNotNull() if kind == "linear" else is_finite(c), out)
@@ -105,6 +109,10 @@ def spectral_unmix(columns: list[Column], signatures: np.ndarray, weights: np.nd
     """Weighted least squares onto signatures (outputs x detectors), the background taken off first."""
     a = np.asarray(signatures, float)
     w = np.ones(a.shape[1]) if weights is None else np.asarray(weights, float)
+    if a.ndim != 2 or len(a) > a.shape[1] or len(w) != a.shape[1] or not (np.isfinite(a).all() and (w > 0).all()):
+        raise ValueError("signatures are outputs x detectors, with as many detectors or more, and positive weights")
+    if np.linalg.matrix_rank(a) < len(a) or np.linalg.cond(a) > 1e8:
+        raise ValueError("the signatures cannot be told apart")
     root = np.sqrt(w)
     operator = root[:, None] * np.linalg.pinv(a * root)
     back = np.zeros(a.shape[1]) if background is None else background
@@ -119,10 +127,10 @@ def ratio(x: Column, y: Column, a: float = 1.0, b: float = 0.0, c: float = 0.0,
     return clamp(or_nan(x.isNotNull() & y.isNotNull(), out), low, high)
 
 
-def signed_root(c: Column) -> Column:
+def tempered_root(c: Column) -> Column:
     return c / (F.sqrt(F.abs(c) + 1.0) + 1.0)
 
 
-def axis_fraction(c: Column, low: float, high: float) -> Column:
+def share_of_axis(c: Column, low: float, high: float) -> Column:
     s = max(abs(low), abs(high), 1.0)
     return (c / s - low / s) / (high / s - low / s)
