@@ -7,7 +7,7 @@ holds the rows that are not finite too; then its parent is required.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -15,6 +15,9 @@ from pyspark.sql import Column, functions as F
 
 from eventmill.functions.columns import is_finite
 
+#: Edges up to which a polygon is written out as one expression, which code generation likes best.
+WRITTEN_OUT = 48
+
 
 def _all(cs: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, cs)
@@ -35,20 +38,49 @@ def box(limits: list[tuple[Column, float | None, float | None]]) -> Column:
     return _all([interval(*x) for x in limits])
 
 
+def viewport(limits: list[tuple[Column, float, float]]) -> Column:
+    """What a view shows: closed on every side."""
+    return _all([is_finite(c) & c.between(low, high) for c, low, high in limits])
+
+
+def _upward(vertices: list[tuple[float, float]]) -> list[dict[str, float]]:
+    """The sides of a ring by their lower and upper end, with the greatest offset that still counts as on the side."""
+    sides = []
+    for (ax, ay), (bx, by) in zip(vertices, [*vertices[1:], vertices[0]]):
+        (lx, ly), (ux, uy) = sorted([(ax, ay), (bx, by)], key=lambda p: (p[1], p[0]))
+        run, rise = ux - lx, uy - ly
+        slack = 1e-10 * max(1.0, abs(run), rise)  # a fixed value
+        sides.append({"lx": lx, "ly": ly, "uy": uy, "west": min(lx, ux), "east": max(lx, ux), "run": run, "rise": rise, "lean": run / rise if rise else 0.0, "slack": slack})
+    return sides
+
+
 def polygon(x: Column, y: Column, vertices: list[tuple[float, float]]) -> Column:
-    """Even-odd rule, the boundary included; the bounding box is tested first and can be pushed down."""
-    edges = list(zip(vertices, [*vertices[1:], vertices[0]]))
-    inside, edge = F.lit(False), F.lit(False)
-    for (x1, y1), (x2, y2) in edges:
-        dx, dy = x2 - x1, y2 - y1
-        tol = 1e-10 * max(1.0, abs(dx), abs(dy))
-        cross = (x - x1) * dy - (y - y1) * dx
-        edge = edge | ((F.abs(cross) <= tol) & x.between(min(x1, x2) - tol, max(x1, x2) + tol) & y.between(min(y1, y2) - tol, max(y1, y2) + tol))
-        if dy:
-            inside = inside != (((y < y1) != (y < y2)) & (x < (y - y1) * (dx / dy) + x1))
+    """Even-odd rule, the boundary included.
+
+    A point is inside if a ray to the right meets an odd number of sides, each of which owns
+    its lower end and not its upper one. It is on a side if it lies off its line and beyond
+    its ends by no more than the side's slack. The bounding box comes first and can be pushed down.
+    """
+    sides = _upward([(float(a), float(b)) for a, b in vertices])
+
+    def meets(e) -> Column:
+        return (y >= e["ly"]) & (y < e["uy"]) & (x - e["lx"] < (y - e["ly"]) * e["lean"])
+
+    def on(e) -> Column:
+        off = (y - e["ly"]) * e["run"] - (x - e["lx"]) * e["rise"]
+        return (F.abs(off) <= e["slack"]) & x.between(e["west"] - e["slack"], e["east"] + e["slack"]) & y.between(e["ly"] - e["slack"], e["uy"] + e["slack"])
+
+    if len(sides) <= WRITTEN_OUT:
+        crossings = reduce(lambda a, b: a + b, [meets(e).cast("int") for e in sides if e["rise"]], F.lit(0))
+        edge = reduce(lambda a, b: a | b, map(on, sides))
+    else:
+        ring = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in e.items()]) for e in sides])
+        crossings = F.aggregate(ring, F.lit(0), lambda n, e: n + meets(e).cast("int"))
+        edge = F.exists(ring, on)
+    slack = max(e["slack"] for e in sides)
     xs, ys = zip(*vertices)
-    near = x.between(min(xs) - 1e-9, max(xs) + 1e-9) & y.between(min(ys) - 1e-9, max(ys) + 1e-9)
-    return is_finite(x) & is_finite(y) & near & (inside | edge)
+    near = x.between(min(xs) - slack, max(xs) + slack) & y.between(min(ys) - slack, max(ys) + slack)
+    return is_finite(x) & is_finite(y) & near & ((crossings % 2 == 1) | edge)
 
 
 def polygon_with_holes(x: Column, y: Column, outer: list[tuple[float, float]], holes: list[list[tuple[float, float]]]) -> Column:
@@ -70,31 +102,94 @@ def ellipsoid(columns: list[Column], mean: list[float], covariance: np.ndarray,
 
 
 def quadrant(x: Column, y: Column, center: tuple[float, float], number: int) -> Column:
-    """1 right upper, 2 left upper, 3 left lower, 4 right lower; thresholds belong to right and upper."""
+    """1 left upper, 2 right upper, 3 right lower, 4 left lower; thresholds belong to right and upper."""
     right, upper = x >= center[0], y >= center[1]
-    of = {1: right & upper, 2: ~right & upper, 3: ~right & ~upper, 4: right & ~upper}
+    of = {1: ~right & upper, 2: right & upper, 3: right & ~upper, 4: ~right & ~upper}
     return is_finite(x) & is_finite(y) & of[number]
 
 
-def spider_label(x: Column, y: Column, center: tuple[float, float], angles: list[float]) -> Column:
-    """The sector 1, 2, ... between ascending rays; the first ray belongs to its own sector."""
-    turn = F.pmod(F.degrees(F.atan2(y - center[1], x - center[0])) - angles[0] + 360.0, F.lit(360.0))
-    label = F.lit(len(angles))
-    for k in range(len(angles) - 1, 0, -1):
-        label = F.when(turn < angles[k] - angles[0], F.lit(k)).otherwise(label)
-    return F.when(is_finite(x) & is_finite(y), label)
+#: Labels of the four sectors counter-clockwise from the first arm, and of the arms themselves.
+SECTORS, ARM_OWNERS, CENTRE_OWNER = (2, 1, 4, 3), (2, 2, 1, 3), 2
+QUARTERS = (0.0, math.pi / 2, math.pi, 3 * math.pi / 2)
+
+
+def _arm(angle: float) -> tuple[float, float]:
+    """Cosine and sine, exact for the four cardinal directions."""
+    if angle in QUARTERS:
+        return ((1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0))[QUARTERS.index(angle)]
+    return math.cos(angle), math.sin(angle)
 
 
-def curly_label(x: Column, y: Column, center: tuple[float, float], a: float, b: float) -> Column:
-    """Quadrants whose thresholds rise with the root of the other channel."""
-    cx, cy = center
-    zero = F.lit(0.0)
-    upper = y >= cy + a * (F.sqrt(F.greatest(x, F.lit(cx), zero)) - math.sqrt(max(cx, 0.0)))
-    right = x >= cx + b * (F.sqrt(F.greatest(y, F.lit(cy), zero)) - math.sqrt(max(cy, 0.0)))
-    label = F.when(right & upper, 1).when(~right & upper, 2).when(~right & ~upper, 3).otherwise(4)
+def spider_label(x: Column, y: Column, center: tuple[float, float], scale: tuple[float, float] = (1.0, 1.0), angles: tuple[float, ...] = QUARTERS) -> Column:
+    """The sector of a point between four arms from a centre, by angles in radians on axes of ``scale``; NULL if not finite.
+
+    Each point has one label: an arm and the centre belong to a stated sector.
+    """
+    dx, dy = (x - center[0]) / scale[0], (y - center[1]) / scale[1]
+    arms = [_arm(a) for a in angles]
+    turn = [dy * c - dx * s for c, s in arms]  # above 0 counter-clockwise of the arm
+    ahead = [dx * c + dy * s > 0 for c, s in arms]
+    label = F.when((dx == 0) & (dy == 0), CENTRE_OWNER)
+    for k, owner in enumerate(ARM_OWNERS):
+        label = label.when((turn[k] == 0) & ahead[k], owner)
+    for k, sector in enumerate(SECTORS):
+        after = (k + 1) % 4
+        left_of, right_of = turn[k] > 0, turn[after] < 0
+        narrow = (angles[after] - angles[k]) % (2 * math.pi) < math.pi
+        label = label.when((left_of & right_of) if narrow else (left_of | right_of), sector)
     return F.when(is_finite(x) & is_finite(y), label)
 
 
+def curly_label(x: Column, y: Column, center: tuple[float, float], coefficients: tuple[float, float] = (1.0, 1.0), scaled: tuple[Column, ...] = ()) -> Column:
+    """Quadrants, numbered as in ``quadrant``, whose thresholds rise with the root of the other intensity; NULL if not finite.
+
+    ``coefficients`` are of the threshold of x and of y. ``scaled`` are the axes as displayed, which must be finite too.
+    """
+
+    def rise(c: Column, at: float) -> Column:
+        base = max(at, 0.0)
+        over = F.greatest(c, F.lit(base))
+        roots = F.sqrt(over) + math.sqrt(base)
+        return F.when(over > base, (over - base) / F.nullif(roots, F.lit(0.0))).otherwise(0.0)
+
+    right = x - center[0] >= coefficients[0] * rise(y, center[1])
+    upper = y - center[1] >= coefficients[1] * rise(x, center[0])
+    label = F.when(~right & upper, 1).when(right & upper, 2).when(right, 3).otherwise(4)
+    return F.when(_all([is_finite(c) for c in (x, y, *scaled)]), label)
+
+
+#: Bits of an event's quality flags.
+FLAGS = {"nonfinite": 1, "time": 2, "saturation": 4, "pulse": 8}
+OUTSIDE = 16
+
+
+def quality_gate(flags: Column, bin_id: Column, exclusions: tuple[str, ...] = (), excluded_bins: tuple[int, ...] = (), keep: bool = True) -> Column:
+    """Events of the reviewed source population that a quality review keeps, or those that it rejects."""
+    bits = sum(FLAGS[name] for name in exclusions)
+    rejected = (flags.bitwiseAND(F.lit(bits)) != 0) | (bin_id.isin(*excluded_bins) if excluded_bins else F.lit(False))
+    return (flags.bitwiseAND(F.lit(OUTSIDE)) == 0) & (~rejected if keep else rejected)
+
+
+def control_selection(gate: Column, detector: Column, low: float | None, high: float | None, detectors: list[Column]) -> Column:
+    """A control's events: in the gate, within raw limits of its detector, and finite in all detectors."""
+    return gate & interval(detector, low, high) & _all([is_finite(d) for d in detectors])
+
+
+def time_range(t: Column, start: float, end: float, domain: tuple[float, float] | None = None) -> Column:
+    """start <= t < end inside the domain; the domain's own end is included, so that adjacent ranges part it."""
+    inside = is_finite(t) & (t >= start) & (t <= end if domain and end >= domain[1] else t < end)
+    return inside & t.between(*domain) if domain else inside
+
+
+def responder(signal: Column, threshold: float) -> Column:
+    return is_finite(signal) & (signal > threshold)
+
+
+def text_filter(needle: str, *parts: Column) -> Column:
+    """Whether the parts, joined by spaces, hold the text, whatever the case."""
+    return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lower(F.lit(needle)))
+
+
 @dataclass(frozen=True)
 class Gate:
     """A named population: ``test`` on finite rows, below ``parent``."""
@@ -105,6 +200,24 @@ class Gate:
     complement: bool = False
     operands: tuple[str, ...] = field(default=())
     op: str = "and"  # of operands: and, or, xor, not
+    operand_complements: tuple[bool, ...] = field(default=())
+
+
+def linked_family(name: str, axes: list[tuple[Column, float]], parent: str | None = None) -> list[Gate]:
+    """The 2 members of a bisector or the 4 of a quadrant: one threshold an axis, together all finite rows of the parent.
+
+    Quadrants are numbered as in ``quadrant``.
+    """
+    if len(axes) == 1:
+        (c, at), = axes
+        return [Gate(f"{name} −", interval(c, None, at), parent), Gate(f"{name} +", interval(c, at), parent)]
+    (x, cx), (y, cy) = axes
+    sides = {1: (False, True), 2: (True, True), 3: (True, False), 4: (False, False)}
+
+    def side(c: Column, at: float, high: bool) -> tuple[Column, float | None, float | None]:
+        return (c, at, None) if high else (c, None, at)
+
+    return [Gate(f"{name} Q{k}", box([side(x, cx, right), side(y, cy, upper)]), parent) for k, (right, upper) in sides.items()]
 
 
 def masks(gates: list[Gate]) -> dict[str, Column]:
@@ -119,7 +232,8 @@ def masks(gates: list[Gate]) -> dict[str, Column]:
         path.append(name)
         g = by[name]
         if g.operands:
-            parts = [of(o) for o in g.operands]
+            turned = g.operand_complements or (False,) * len(g.operands)
+            parts = [~of(o) if c else of(o) for o, c in zip(g.operands, turned, strict=True)]
             own = {"and": lambda: reduce(lambda a, b: a & b, parts), "or": lambda: reduce(lambda a, b: a | b, parts), "xor": lambda: reduce(lambda a, b: a != b, parts), "not": lambda: ~parts[0]}[g.op]()
         else:
             own = F.lit(True) if g.test is None else F.coalesce(g.test, F.lit(False))
@@ -131,3 +245,29 @@ def masks(gates: list[Gate]) -> dict[str, Column]:
     for g in gates:
         of(g.name)
     return done
+
+
+def paths(gates: list[Gate]) -> dict[str, tuple[str, ...]]:
+    """Each gate's names from the root, by which populations of samples are mapped."""
+    by = {g.name: g for g in gates}
+
+    def of(g: Gate) -> tuple[str, ...]:
+        return (*of(by[g.parent]), g.name) if g.parent else (g.name,)
+
+    return {g.name: of(g) for g in gates}
+
+
+def propagated(gates: list[Gate], targets: dict[str, list[Gate]], replace_existing: bool = False) -> dict[str, list[Gate]]:
+    """The tree copied to other samples' trees; a population of the same path stays unless it is to be replaced."""
+    if any(g.test is not None and "quality_flags" in str(g.test) for g in gates):
+        raise ValueError("quality gates belong to one acquisition")
+    out = {}
+    for sample, own in targets.items():
+        there, mine = paths(own), paths(gates)
+        taken = set(there.values())
+        if replace_existing:
+            kept = [g for g in own if there[g.name] not in set(mine.values())]
+            out[sample] = [*kept, *[replace(g) for g in gates]]
+        else:
+            out[sample] = [*own, *[replace(g) for g in gates if mine[g.name] not in taken]]
+    return out

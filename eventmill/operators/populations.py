@@ -134,13 +134,13 @@ def ks_to_control(events: DataFrame, population: str, value: Column, control: st
     return f.groupBy("population").agg(F.max(F.when(F.col("n_control") > 0, apart)).alias("distance"), F.max("n_control").alias("n_control"), F.max("total").alias("n"))
 
 
-def holm_and_bh(tests: DataFrame, p: str, keys: list[str]) -> DataFrame:
-    """Adjusted p-values of each family of tests."""
-    up = Window.partitionBy(*keys).orderBy(p, "test")
-    m = F.count(p).over(Window.partitionBy(*keys))
-    r = F.row_number().over(up)
-    rows = tests.withColumns({"m": m, "r": r})
-    down = Window.partitionBy(*keys).orderBy(F.desc("r"))
-    holm = F.max(F.least(F.lit(1.0), F.col(p) * (F.col("m") - F.col("r") + 1))).over(Window.partitionBy(*keys).orderBy("r"))
-    bh = F.min(F.least(F.lit(1.0), F.col(p) * F.col("m") / F.col("r"))).over(down)
-    return rows.withColumns({"holm": holm, "bh": bh}).drop("m", "r")
+def holm_and_bh(tests: DataFrame, p: str, keys: list[str], test: str) -> DataFrame:
+    """Adjusted p-values of each family of tests; a test without p has none and takes no rank. Equal p are ordered by ``test``."""
+    told = tests.where(F.col(p).isNotNull())
+    family = Window.partitionBy(*keys)
+    rows = told.withColumns({"m": F.count(p).over(family), "r": F.row_number().over(family.orderBy(p, test))})
+    holm = F.max(F.least(F.lit(1.0), F.col(p) * (F.col("m") - F.col("r") + 1))).over(family.orderBy("r"))
+    bh = F.min(F.least(F.lit(1.0), F.col(p) * F.col("m") / F.col("r"))).over(family.orderBy(F.desc("r")))
+    done = rows.withColumns({"holm": holm, "bh": bh}).drop("m", "r")
+    none = tests.where(F.col(p).isNull()).withColumns({"holm": F.lit(None).cast("double"), "bh": F.lit(None).cast("double")})
+    return done.unionByName(none)

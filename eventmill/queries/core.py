@@ -1,36 +1,15 @@
-"""The registered queries of the reference's operators, each with its SQL."""
+"""Queries of gates, scales, statistics, time and pooling."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from eventmill.functions.columns import axis_fraction, compensate, finite, is_finite, ratio, scale, signed_root, spectral_unmix
+from eventmill.functions.columns import share_of_axis, compensate, finite, ratio, scale, tempered_root, spectral_unmix
 from eventmill.functions.formulas import compile_formula
-from eventmill.operators import gates as G, populations as P
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _r(c: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
-
+from eventmill.operators import acquisition as A, gates as G, populations as P
+from eventmill.operators.tables import safe_text
+from eventmill.queries.registry import registered, reset_seconds, rounded as _r, table as _table
 
 _EVENTS_T = "epoch_us(ts) / 1e6"
 
@@ -66,8 +45,8 @@ SELECT sample,
    AND NOT (x BETWEEN 20 AND 30 AND y BETWEEN 20 AND 40)) AS in_ring,
  count(*) FILTER (WHERE pow(((x - 25) * cos(0.3) + (y - 35) * sin(0.3)) / 15, 2) + pow(((y - 35) * cos(0.3) - (x - 25) * sin(0.3)) / 20, 2) <= 1) AS in_ellipse,
  count(*) FILTER (WHERE (x - 25) * (x - 25) / 100 + (y - 35) * (y - 35) / 400 + (d - 0.05) * (d - 0.05) / 0.0009 <= 2) AS in_ellipsoid,
- count(*) FILTER (WHERE x >= 25 AND y >= 35) AS q1, count(*) FILTER (WHERE x < 25 AND y >= 35) AS q2,
- count(*) FILTER (WHERE x < 25 AND y < 35) AS q3, count(*) FILTER (WHERE x >= 25 AND y < 35) AS q4
+ count(*) FILTER (WHERE x < 25 AND y >= 35) AS q1, count(*) FILTER (WHERE x >= 25 AND y >= 35) AS q2,
+ count(*) FILTER (WHERE x >= 25 AND y < 35) AS q3, count(*) FILTER (WHERE x < 25 AND y < 35) AS q4
 FROM m GROUP BY 1""")
 def gate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_discount").alias("d"))
@@ -137,11 +116,11 @@ FROM m GROUP BY 1""")
 def event_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = {"q": F.col("l_quantity"), "p": F.col("l_extendedprice"), "d": F.col("l_discount")}
     f = {"shifted_log": "log(q - 1)", "per_discount": "q / (d * 100)", "clipped": "clip(ch('p'), 5000, 40000) / 1000 + abs(q - 25) ** 2", "chosen": "ifelse(10 < q <= 30, sqrt(p), 0)"}
-    more = {"root": signed_root(F.col("l_extendedprice") - 30000.0), "fraction": axis_fraction(F.col("l_quantity"), 1.0, 50.0)}
+    more = {"root": tempered_root(F.col("l_extendedprice") - 30000.0), "fraction": share_of_axis(F.col("l_quantity"), 1.0, 50.0)}
     rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sample"))
     return rows.agg(
         *[_r(F.avg(finite(compile_formula(t, c)))).alias(n) for n, t in f.items()],
-        _r(F.avg(finite(F.when(F.col("l_discount") != 0.05, 2.0 * (F.col("l_quantity") - 1.0) / F.nullif((F.col("l_discount") - 0.05) * 100, F.lit(0.0))))), 4).alias("ratio"),
+        _r(F.avg(finite(ratio(F.col("l_quantity"), F.col("l_discount") * 100, 2.0, 1.0, 5.0))), 4).alias("ratio"),
         *[_r(F.avg(v)).alias(n) for n, v in more.items()],
     )
 
@@ -228,15 +207,12 @@ def density_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""
 WITH d AS (SELECT event_type AS sample, t - lag(t) OVER (PARTITION BY event_type ORDER BY event_id) AS step, t FROM (SELECT *, {_EVENTS_T} - 1000000 * floor(event_id / 2500) AS t FROM events)),
 k AS (SELECT sample, quantile_cont(step, 0.5) AS tick FROM d WHERE step > 0 GROUP BY 1)
-SELECT sample, count(*) AS n, count(*) FILTER (WHERE step < 0) AS resets, count(*) FILTER (WHERE step = 0) AS repeats, round(max(tick), 4) AS tick, count(*) FILTER (WHERE step > 5 * tick) AS gaps, round(max(t) - min(t), 3) AS duration
+SELECT sample, count(*) AS n, count(*) FILTER (WHERE step < 0) AS resets, count(*) FILTER (WHERE step = 0) AS repeats, round(max(tick), 4) AS tick, count(*) FILTER (WHERE step > 20 * tick) AS gaps, round(sum(step) FILTER (WHERE step > 0), 3) AS duration
 FROM d JOIN k USING (sample) GROUP BY 1""")
 def time_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1000000 * F.floor(F.col("event_id") / 2500)
-    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("sample"), "event_id", t.alias("t"))
-    d = rows.withColumn("step", F.col("t") - F.lag("t").over(Window.partitionBy("sample").orderBy("event_id")))
-    tick = d.where("step > 0").groupBy("sample").agg(F.percentile("step", 0.5).alias("tick"))
-    s = F.col("step")
-    return d.join(tick, "sample").groupBy("sample").agg(F.count("*").alias("n"), F.count_if(s < 0).alias("resets"), F.count_if(s == 0).alias("repeats"), _r(F.max("tick"), 4).alias("tick"), F.count_if(s > 5 * F.col("tick")).alias("gaps"), _r(F.max("t") - F.min("t"), 3).alias("duration"))
+    rows = _table(spark, sf_dir, "events").withColumn("sample", F.col("event_type"))
+    d = A.time_diagnostics(rows, "sample", reset_seconds())
+    return d.select("sample", "n", "resets", "repeats", _r("tick", 4).alias("tick"), "gaps", _r("duration", 3).alias("duration"))
 
 
 @registered(f"""
@@ -245,37 +221,8 @@ d AS (SELECT *, t - lag(t) OVER (PARTITION BY sample ORDER BY event_id) AS step
 k AS (SELECT sample, quantile_cont(step, 0.5) AS tick FROM d WHERE step > 0 GROUP BY 1)
 SELECT event_id, sample, round(t + coalesce(sum(CASE WHEN step < 0 THEN tick - step ELSE 0 END) OVER (PARTITION BY sample ORDER BY event_id), 0), 2) AS clock FROM d JOIN k USING (sample)""")
 def clock_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1000000 * F.floor(F.col("event_id") / 2500)
-    w = Window.partitionBy("sample").orderBy("event_id")
-    d = _table(spark, sf_dir, "events").select(F.col("event_type").alias("sample"), "event_id", t.alias("t")).withColumn("step", F.col("t") - F.lag("t").over(w))
-    tick = d.where("step > 0").groupBy("sample").agg(F.percentile("step", 0.5).alias("tick"))
-    jump = F.when(F.col("step") < 0, F.col("tick") - F.col("step")).otherwise(0.0)
-    return d.join(tick, "sample").select("event_id", "sample", _r(F.col("t") + F.sum(jump).over(w), 2).alias("clock"))
-
-
-@registered(f"""
-WITH b AS (SELECT event_id // 250 AS bin, count(*) AS n, min(t) AS t0, quantile_cont(CASE WHEN isfinite(x) THEN x END, [0.1, 0.5, 0.9]) AS q, count(*) FILTER (WHERE NOT isfinite(x)) AS bad, count(*) FILTER (WHERE x >= 400 AND isfinite(x)) AS saturated FROM {_E} GROUP BY 1),
-r AS (SELECT *, ln(n / (lead(t0) OVER (ORDER BY bin) - t0)) AS rate FROM b),
-m AS (SELECT quantile_cont(rate, 0.5) AS med, quantile_cont(q[2], 0.5) AS mq FROM r), 
-d AS (SELECT quantile_cont(abs(rate - med), 0.5) AS mad, quantile_cont(abs(q[2] - mq), 0.5) AS madq FROM r, m)
-SELECT bin, n, bad, saturated, round(q[1], 6) AS p10, round(q[2], 6) AS p50, round(q[3], 6) AS p90, round(rate, 6) AS log_rate, round(abs(rate - med) / greatest(1.4826 * mad, 1e-9), 4) AS rate_score,
- round(abs(q[2] - mq) / greatest(1.4826 * madq, 1e-9), 4) AS signal_score,
- CAST((bad > 0)::INT + 4 * (saturated > 60)::INT + 2 * coalesce((abs(rate - med) / greatest(1.4826 * mad, 1e-9) > 3)::INT, 0) AS INT) AS flags FROM r, m, d""")
-def acquisition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("x")
-    e = _events(spark, sf_dir)
-    b = e.groupBy(F.floor(F.col("event_id") / 250).alias("bin")).agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.percentile(finite(x), [0.1, 0.5, 0.9]).alias("q"), F.count_if(~is_finite(x)).alias("bad"), F.count_if(is_finite(x) & (x >= 400)).alias("saturated"))
-    # bins are 1/250 of the events; neighbours meet by the bin number, not in one window
-    after = b.select((F.col("bin") - 1).alias("bin"), F.col("t0").alias("t1"))
-    r = b.join(after, "bin", "left").withColumn("rate", F.log(F.col("n") / (F.col("t1") - F.col("t0"))))
-    m = r.agg(F.percentile("rate", 0.5).alias("med"), F.percentile(F.col("q")[1], 0.5).alias("mq"))
-    rm = r.join(F.broadcast(m))  # one row
-    d = rm.agg(F.percentile(F.abs(F.col("rate") - F.col("med")), 0.5).alias("mad"), F.percentile(F.abs(F.col("q")[1] - F.col("mq")), 0.5).alias("madq"))
-    score = F.abs(F.col("rate") - F.col("med")) / F.greatest(1.4826 * F.col("mad"), F.lit(1e-9))
-    signal = F.abs(F.col("q")[1] - F.col("mq")) / F.greatest(1.4826 * F.col("madq"), F.lit(1e-9))
-    flags = (F.col("bad") > 0).cast("int").bitwiseOR((F.col("saturated") > 60).cast("int") * 4).bitwiseOR(F.coalesce((score > 3).cast("int"), F.lit(0)) * 2)
-    q = F.col("q")
-    return rm.join(F.broadcast(d)).select("bin", "n", "bad", "saturated", _r(q[0]).alias("p10"), _r(q[1]).alias("p50"), _r(q[2]).alias("p90"), _r("rate").alias("log_rate"), _r(score, 4).alias("rate_score"), _r(signal, 4).alias("signal_score"), flags.alias("flags"))
+    rows = _table(spark, sf_dir, "events").withColumn("sample", F.col("event_type"))
+    return A.unwrapped_clock(rows, "sample", reset_seconds()).select("event_id", "sample", _r("clock", 2).alias("clock"))
 
 
 @registered(f"""
@@ -347,7 +294,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, test) AS r, c
 SELECT family, test, round(max(least(1.0, p * (m - r + 1))) OVER (PARTITION BY family ORDER BY r), 6) AS holm, round(min(least(1.0, p * m / r)) OVER (PARTITION BY family ORDER BY r DESC), 6) AS bh FROM r""")
 def adjusted_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("family"), F.col("l_suppkey").alias("test")).agg(F.avg("l_discount").alias("p"))
-    return P.holm_and_bh(p, "p", ["family"]).select("family", "test", _r("holm").alias("holm"), _r("bh").alias("bh"))
+    return P.holm_and_bh(p, "p", ["family"], "test").select("family", "test", _r("holm").alias("holm"), _r("bh").alias("bh"))
 
 
 @registered("""
@@ -425,15 +372,7 @@ def keyword_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(event_type || ':' || user_id) AS row_id, CASE WHEN regexp_matches(ltrim(event_type), '^[=+@-]') THEN '''' || event_type ELSE event_type END AS safe FROM events""")
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(event_type || ':' || user_id) AS row_id, CASE WHEN regexp_matches(ltrim(event_type), '^[=+@\t\r-]') THEN '''' || event_type ELSE event_type END AS safe FROM events""")
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.sha2(F.concat_ws(":", t, F.col("user_id").cast("string")).cast("binary"), 256).alias("row_id"), F.when(F.ltrim(t).rlike("^[=+@-]"), F.concat(F.lit("'"), t)).otherwise(t).alias("safe"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.sha2(F.concat_ws(":", t, F.col("user_id").cast("string")).cast("binary"), 256).alias("row_id"), safe_text(t).alias("safe"))
