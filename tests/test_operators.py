@@ -30,7 +30,7 @@ def test_gate_boundaries(boundary):
     assert _ids(boundary, G.interval(x, 0.0, 3.0)) == [1, 2, 3, 5]
     assert _ids(boundary, G.box([(x, 0.0, 3.0), (y, 0.0, 3.0)])) == [1, 2, 3]
     assert _ids(boundary, G.polygon(x, y, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])) == [1, 2, 3]
-    assert _ids(boundary, G.quadrant(x, y, (0.0, 0.0), 1)) == [1, 2, 3, 4, 5, 6]
+    assert _ids(boundary, G.quadrant(x, y, (0.0, 0.0), 2)) == [1, 2, 3, 4, 5, 6]
 
 
 def test_complement_holds_rows_that_are_not_finite(boundary):
@@ -44,8 +44,8 @@ def test_complement_holds_rows_that_are_not_finite(boundary):
 
 def test_labels_part_the_plane(boundary):
     x, y = F.col("X"), F.col("Y")
-    spider = boundary.select(G.spider_label(x, y, (0.5, 0.5), [0.0, 90.0, 180.0, 270.0]).alias("l")).collect()
-    curly = boundary.select(G.curly_label(x, y, (0.5, 0.5), 0.1, 0.1).alias("l")).collect()
+    spider = boundary.select(G.spider_label(x, y, (0.5, 0.5)).alias("l")).collect()
+    curly = boundary.select(G.curly_label(x, y, (0.5, 0.5), (0.1, 0.1)).alias("l")).collect()
     assert [r.l is None for r in spider] == [r.l is None for r in curly] == [False] * 7 + [True]
 
 
