@@ -45,7 +45,7 @@ from eventmill.llm.bpe import Remembered
 from eventmill.llm.texts import pieces
 from eventmill.plans.components import connected_components
 from eventmill.plans.scratch import discard, materialize
-from eventmill.plans.skew import heavy_keys, join_by_cells, skew_join
+from eventmill.plans.skew import heavy_keys, join_by_cells, partitions, skew_join
 
 K, LEAST = 5, 0.8
 LENGTH, COUNT = 3, 48
@@ -351,8 +351,10 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFra
     mixed = materialize(mixed.join(sequences, "rid"), "mixed")
     common = _commonness(sequences.join(mixed.select("rid").distinct(), "rid"))
     hub = sequences.select(F.col("rid").alias("centre"), F.col("seq").alias("hub"))
-    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).select("cell", "rid", "n", "root", F.posexplode(_first_words(F.col("seq"), F.col("hub"), common, mixed.sparkSession)).alias("p", "g"))
-    prefix = materialize(begun, "prefixes")
+    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).select("cell", "rid", "n", "root", _first_words(F.col("seq"), F.col("hub"), common, mixed.sparkSession).alias("words"))
+    # a large cell's documents are spread over tasks before their words are
+    spread = begun.repartition(partitions(begun), "rid", "cell").select("cell", "rid", "n", "root", F.posexplode("words").alias("p", "g"))
+    prefix = materialize(spread, "prefixes")
     classes = prefix.groupBy("cell", "g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("p") - F.col("n")).alias("slack"))
 
     def side(k: str) -> DataFrame:
