@@ -366,13 +366,17 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFra
 
     alike = (F.col("lo1") * LEAST <= F.col("hi2")) & (F.col("lo2") * LEAST <= F.col("hi1"))
     room = fits(F.col("lo1") + F.col("lo2"), F.greatest("slack1", "slack2"))
-    met = side("1").join(side("2"), ["cell", "g"]).where((F.col("root1") < F.col("root2")) & alike & room).select("cell", "g", "root1", "root2")
+    met = side("1").join(side("2"), ["cell", "g"]).where((F.col("root1") < F.col("root2")) & alike & room)
+    met = met.select("cell", "g", "root1", "root2", F.col("lo2").alias("other_lo"), F.col("hi2").alias("other_hi"), F.col("slack2").alias("other_slack"))
     met = materialize(met, "met")
 
     def member(k: str, name: str) -> DataFrame:
         return prefix.select("cell", "g", F.col("root").alias("root" + k), F.col("rid").alias(name), F.col("n").alias("n" + k), (F.col("p") - F.col("n")).alias("slack" + k))
 
-    pairs = met.join(member("1", "a"), ["cell", "g", "root1"]).join(member("2", "b"), ["cell", "g", "root2"])
+    # a member of the first class is kept only if it can match some member of the other
+    first = met.join(member("1", "a"), ["cell", "g", "root1"])
+    first = first.where((F.col("n1") * LEAST <= F.col("other_hi")) & (F.col("other_lo") * LEAST <= F.col("n1")) & fits(F.col("n1") + F.col("other_lo"), F.greatest("slack1", "other_slack")))
+    pairs = first.join(member("2", "b"), ["cell", "g", "root2"])
     return pairs.where(_alike(F.col("n1"), F.col("n2")) & fits(F.col("n1") + F.col("n2"), F.greatest("slack1", "slack2"))).select("a", "b")
 
 
