@@ -3,8 +3,7 @@
 A document is a sequence of words. Its word 5-grams, each labelled with its occurrence
 number so that all are distinct, are sketched: one sketch takes the ``LENGTH`` labelled
 k-mers that are least under a hash and keeps them in the order of the text, so it collides
-in proportion to shared and equally ordered content. Short documents also take ``BRIEF``
-sketches of one k-mer, as a single edit leaves them few.
+in proportion to shared and equally ordered content. Documents of all lengths are sketched alike.
 
 Documents that share a sketch are candidates. A pair is verified by aligning its words: the
 longest common subsequence inside the band of diagonals that similarity 0.8 allows.
@@ -48,10 +47,8 @@ from eventmill.plans.scratch import discard, materialize
 from eventmill.plans.skew import heavy_keys, join_by_cells, partitions, skew_join
 
 K, LEAST = 5, 0.8
-LENGTH, COUNT = 3, 48
-#: Sketches of one k-mer, for documents of few k-mers; those from ``LENGTH_FROM`` on have the others.
-BRIEF, BRIEF_TO, LENGTH_FROM = 24, 24, 18
-ROUNDS, WORD_BUCKETS, COUNT_PARTS = 3, 1 << 14, 16
+LENGTH, COUNT = 2, 96
+ROUNDS, WORD_BUCKETS, COUNT_PARTS = 3, 1 << 14, (1024, 16)
 #: A member of this similarity to a centre or more may be linked to one that the centre is linked to.
 NEAR = 1 - 2 * (1 - LEAST)
 
@@ -146,12 +143,7 @@ def _ordered(h: np.ndarray, length: int, count: int, seed: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    kinds = []
-    if 0 < len(h) <= BRIEF_TO:
-        kinds.append(_ordered(h, 1, BRIEF, 101))
-    if len(h) >= LENGTH_FROM:
-        kinds.append(_ordered(h, LENGTH, COUNT, 202))
-    return np.concatenate(kinds).view(np.int64) if kinds else np.zeros(0, np.int64)
+    return _ordered(h, LENGTH, COUNT, 202).view(np.int64) if len(h) else np.zeros(0, np.int64)
 
 
 def matched_words(x: np.ndarray, y: np.ndarray, band: float) -> int:
@@ -249,14 +241,16 @@ def _commonness(sequences: DataFrame) -> np.ndarray:
         for b in batches:
             for x in b["seq"]:
                 held += np.bincount((labelled(np.frombuffer(x, "<u8")) % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % COUNT_PARTS], "n": [held.tobytes()]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [held.tobytes()]})
 
-    def summed(rows: pd.DataFrame) -> pd.DataFrame:  # one row a task
-        return pd.DataFrame({"n": [sum(np.frombuffer(x, np.int64) for x in rows["n"]).tobytes()]})
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "n": [sum(np.frombuffer(x, np.int64) for x in rows["n"]).tobytes()]})
 
-    parts = sequences.select("seq").mapInPandas(counted, "part int, n binary").groupBy("part").applyInPandas(summed, "n binary")
+    parts = sequences.select("seq").mapInPandas(counted, "part int, n binary")  # one row a task
+    for few in COUNT_PARTS:  # summed as a tree
+        parts = parts.groupBy((F.col("part") % few).alias("few")).applyInPandas(summed, "part int, n binary")
     out = np.zeros(WORD_BUCKETS, np.int64)
-    for r in parts.toLocalIterator():  # COUNT_PARTS rows
+    for r in parts.select("n").toLocalIterator():  # 16 rows
         out += np.frombuffer(r.n, np.int64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
@@ -335,8 +329,8 @@ def _alike(n: Column, m: Column) -> Column:
     return F.least(n, m) >= LEAST * F.greatest(n, m)
 
 
-def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of a cell, of different classes, that may be similar: exact, by the first words of each.
+def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame, links: _Links) -> DataFrame:
+    """The classes after comparing the members of each cell that are of different ones: exact, by the first words of each.
 
     Documents of n and m words match t = 0.8 (n + m) / 1.8 of them at least. So each has at
     most n - t and m - t labelled words before the first common one, in any order that is the
@@ -355,10 +349,10 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFra
     # a large cell's documents are spread over tasks before their words are
     spread = begun.repartition(partitions(begun), "rid", "cell").select("cell", "rid", "n", "root", F.posexplode("words").alias("p", "g"))
     prefix = materialize(spread, "prefixes")
-    classes = prefix.groupBy("cell", "g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("p") - F.col("n")).alias("slack"))
+    classes = prefix.groupBy("cell", "g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("p") - F.col("n")).alias("slack"), F.min(F.struct((F.col("p") - F.col("n")).alias("slack"), "rid")).alias("head"))
 
     def side(k: str) -> DataFrame:
-        return classes.select("cell", "g", *[F.col(c).alias(c + k) for c in ("root", "lo", "hi", "slack")])
+        return classes.select("cell", "g", *[F.col(c).alias(c + k) for c in ("root", "lo", "hi", "slack", "head")])
 
     def fits(least: Column, slack: Column) -> Column:
         """``slack``, the words before the common one less all words, leaves room for the matches of ``least`` words of both."""
@@ -367,8 +361,14 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFra
     alike = (F.col("lo1") * LEAST <= F.col("hi2")) & (F.col("lo2") * LEAST <= F.col("hi1"))
     room = fits(F.col("lo1") + F.col("lo2"), F.greatest("slack1", "slack2"))
     met = side("1").join(side("2"), ["cell", "g"]).where((F.col("root1") < F.col("root2")) & alike & room)
-    met = met.select("cell", "g", "root1", "root2", F.col("lo2").alias("other_lo"), F.col("hi2").alias("other_hi"), F.col("slack2").alias("other_slack"))
+    met = met.select("cell", "g", "root1", "root2", F.col("head1"), F.col("head2"), F.col("lo2").alias("other_lo"), F.col("hi2").alias("other_hi"), F.col("slack2").alias("other_slack"))
     met = materialize(met, "met")
+    # one pair of each two classes settles most of them; members follow only where classes stay apart
+    roots = _roots(links.add(met.groupBy("root1", "root2").agg(F.min(F.struct("head1", "head2")).alias("h")).select(F.col("h.head1.rid").alias("a"), F.col("h.head2.rid").alias("b"))), roots)
+    now = roots.select(F.col("rid").alias("__rid"), F.col("root").alias("__now"))
+    for side in ("root1", "root2"):
+        met = met.join(now, F.col(side) == F.col("__rid"), "left").withColumn(f"{side}_now", F.coalesce("__now", side)).drop("__rid", "__now")
+    met = materialize(met.where("root1_now <> root2_now").drop("root1_now", "root2_now", "head1", "head2"), "apart")
 
     def member(k: str, name: str) -> DataFrame:
         return prefix.select("cell", "g", F.col("root").alias("root" + k), F.col("rid").alias(name), F.col("n").alias("n" + k), (F.col("p") - F.col("n")).alias("slack" + k))
@@ -377,7 +377,8 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFra
     first = met.join(member("1", "a"), ["cell", "g", "root1"])
     first = first.where((F.col("n1") * LEAST <= F.col("other_hi")) & (F.col("other_lo") * LEAST <= F.col("n1")) & fits(F.col("n1") + F.col("other_lo"), F.greatest("slack1", "other_slack")))
     pairs = first.join(member("2", "b"), ["cell", "g", "root2"])
-    return pairs.where(_alike(F.col("n1"), F.col("n2")) & fits(F.col("n1") + F.col("n2"), F.greatest("slack1", "slack2"))).select("a", "b")
+    pairs = pairs.where(_alike(F.col("n1"), F.col("n2")) & fits(F.col("n1") + F.col("n2"), F.greatest("slack1", "slack2"))).select("a", "b")
+    return _roots(links.add(pairs), roots)
 
 
 def _roots(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -428,10 +429,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for more in cells[1:]:
         together = together.unionByName(more)
     roots = _roots(links.known)
-    roots = _roots(links.add(_across(together, roots, sequences)), roots)
+    roots = _across(together, roots, sequences, links)
 
-    placed = join_by_cells(rows.select("rid", "doc_id", "k1", "k2"), copies.drop("copies"), ["k1", "k2"], F.col("rid"), heavy_keys(copies, ["k1", "k2"], "copies", rows.count()))
-    placed = materialize(placed.join(roots.withColumnRenamed("rid", "copy_of"), "copy_of", "left").withColumn("root", F.coalesce("root", "copy_of")), "placed")
+    rooted = copies.join(roots.withColumnRenamed("rid", "copy_of"), "copy_of", "left").select("k1", "k2", F.coalesce("root", "copy_of").alias("root"))
+    placed = join_by_cells(rows.select("rid", "doc_id", "k1", "k2"), rooted, ["k1", "k2"], F.col("rid"), heavy_keys(copies, ["k1", "k2"], "copies", rows.count()))
+    placed = materialize(placed, "placed")
     discard(sequences)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     heads = materialize(placed.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("class_size")), "heads")

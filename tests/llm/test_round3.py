@@ -217,3 +217,41 @@ def test_parentheses_close_where_a_stack_says():
         opens = np.flatnonzero(np.array(signs) > 0)
         for block in (4, 64):
             assert prefix_trie.Excess(np.array(signs, np.int8), block).find_close(opens, 100).tolist() == [close[i] for i in opens.tolist()]
+
+
+# --- recall of the sketches
+
+
+def _edited(rng, words, kind, how, share):
+    n = len(words)
+    k = max(1, round(share * n))
+    at = set(rng.sample(range(n), k)) if how == "scattered" else set(range(s := rng.randrange(n - k + 1), s + k))
+    out = []
+    for i, w in enumerate(words):
+        if i in at and kind == "deleted":
+            continue
+        if i in at:
+            out.append(rng.getrandbits(60))
+        if i not in at or kind == "inserted":
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["deleted", "inserted", "substituted"])
+@pytest.mark.parametrize("how", ["scattered", "together"])
+def test_sketches_meet_at_the_threshold(kind, how):
+    """Pairs of 20 to 2,000 words with a similarity of 0.8 to 0.9: at least 0.9 share a sketch, at every length alike."""
+    from eventmill.llm import minhash
+
+    rng = random.Random(4)
+    met = pairs = 0
+    for n in (20, 30, 60, 200, 600, 2000):
+        for _ in range(25):
+            words = [rng.getrandbits(60) for _ in range(n)]
+            similar = rng.uniform(0.8, 0.9)
+            share = {"deleted": 1 - similar, "inserted": 1 / similar - 1, "substituted": (1 - similar) / (1 + similar)}[kind]
+            x, y = (np.array(v, np.uint64) for v in (words, _edited(rng, words, kind, how, share)))
+            if minhash.aligned(x, y)[0]:
+                pairs += 1
+                met += bool(np.intersect1d(minhash.sketch(minhash.kmers(x)), minhash.sketch(minhash.kmers(y))).size)
+    assert pairs > 60 and met >= 0.9 * pairs, (met, pairs)
