@@ -54,7 +54,7 @@ def _upward(vertices: list[tuple[float, float]]) -> list[dict[str, float]]:
     return sides
 
 
-def polygon(x: Column, y: Column, vertices: list[tuple[float, float]]) -> Column:
+def polygon(x: Column, y: Column, vertices: list[tuple[float, float]], written_out: int = WRITTEN_OUT) -> Column:
     """Even-odd rule, the boundary included.
 
     A point is inside if a ray to the right meets an odd number of sides, each of which owns
@@ -70,7 +70,7 @@ def polygon(x: Column, y: Column, vertices: list[tuple[float, float]]) -> Column
         off = (y - e["ly"]) * e["run"] - (x - e["lx"]) * e["rise"]
         return (F.abs(off) <= e["slack"]) & x.between(e["west"] - e["slack"], e["east"] + e["slack"]) & y.between(e["ly"] - e["slack"], e["uy"] + e["slack"])
 
-    if len(sides) <= WRITTEN_OUT:
+    if len(sides) <= written_out:
         crossings = reduce(lambda a, b: a + b, [meets(e).cast("int") for e in sides if e["rise"]], F.lit(0))
         edge = reduce(lambda a, b: a | b, map(on, sides))
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventmill.operators import estimation as E, mixtures as M
+from eventmill.operators import estimation as E, mixtures as M, scatter as S
 from eventmill.queries.registry import registered, rounded as _r, table as _table
 
 _ROLE = "CASE WHEN l_quantity >= 35 THEN 'positive' WHEN l_quantity < 10 THEN 'negative' END"
@@ -132,3 +132,16 @@ def generation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of dye generations, from the highest values as undivided control."""
     e = _table(spark, sf_dir, "events").withColumn("sample", F.col("event_type"))
     return M.part_counts(M.proliferation(e, "sample", F.col("value"), F.col("value") > 100, 4, 128, -4.0, 10.0))
+
+
+def _scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("control"), (F.col("l_extendedprice") / 100).alias("x"), (F.col("l_quantity") * 20 + F.col("l_tax") * 100).alias("y"))
+
+
+@registered(None)
+def scatter_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in and out of each control's density clean-up gate; the tests hold it against a plain version of the whole table."""
+    rows = _scatter(spark, sf_dir)
+    gates = S.scatter_cleanup(rows, "control", F.col("x"), F.col("y"), (1200.0, 1200.0))
+    inside = S.cleaned(F.col("control"), F.col("x"), F.col("y"), gates)
+    return rows.groupBy("control").agg(F.count("*").alias("events"), F.count_if(inside).alias("kept"))

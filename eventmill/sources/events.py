@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventmill.functions.columns import is_finite
 from eventmill.operators.tables import safe_text
+from eventmill.sources.acquisition_files import fcs_datasets, fcs_events
+
+__all__ = ["audit", "checked", "fcs_datasets", "fcs_events", "read_csv_events", "to_documents", "write_gated"]
 
 MOST_CHANNELS = 512
 
@@ -55,109 +55,3 @@ def write_gated(events: DataFrame, sample: str, mask: Column, channels: dict[str
 def to_documents(rows: DataFrame, name: str = "document") -> DataFrame:
     """Each row as one JSON document, missing values with their keys."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias(name))
-
-
-def _ints(raw: np.ndarray, bits: list[int], ranges: list[int], big: bool) -> np.ndarray:
-    """Whole numbers of whole bytes, masked by their range."""
-    out, at = np.zeros((len(raw), len(bits))), 0
-    for k, b in enumerate(bits):
-        width = b // 8
-        part = raw[:, at : at + width].astype(np.uint64)
-        order = range(width) if big else reversed(range(width))
-        v = np.zeros(len(raw), np.uint64)
-        for j in order:
-            v = (v << np.uint64(8)) | part[:, j]
-        top = max(1, ranges[k] - 1).bit_length()
-        if top < b:
-            v &= np.uint64((1 << top) - 1)
-        if len(v) and int(v.max()) > 1 << 53:
-            raise ValueError("a whole number is too large to be exact")
-        out[:, k], at = v.astype(float), at + width
-    return out
-
-
-def fcs_keywords(content: bytes, start: int = 0) -> tuple[dict[str, str], int, int]:
-    """Keywords in upper case of the dataset that begins at ``start``, and where its data begin and end."""
-    if content[start : start + 3] != b"FCS":
-        raise ValueError("this is no FCS dataset")
-    at = [int(content[start + k : start + k + 8].strip() or 0) for k in (10, 18, 26, 34)]
-    text = content[start + at[0] : start + at[1] + 1].decode("latin-1")
-    mark = text[0]
-    # a doubled delimiter stands for itself
-    parts = [p.replace("\x00", mark) for p in text[1:].replace(mark * 2, "\x00").split(mark)]
-    words = {k.strip().upper(): v for k, v in zip(parts[::2], parts[1::2])}
-    first = at[2] or int(words.get("$BEGINDATA", 0))
-    last = at[3] or int(words.get("$ENDDATA", 0))
-    return words, start + first, start + last + 1
-
-
-def _fcs_datasets(content: bytes) -> Iterator[tuple[int, dict[str, str], int, int]]:
-    start, seen = 0, 0
-    while True:
-        words, a, b = fcs_keywords(content, start)
-        yield seen, words, a, b
-        after = int(words.get("$NEXTDATA", "0").strip() or 0)
-        if after <= 0:
-            return
-        start, seen = start + after, seen + 1
-
-
-def _decoded(words: dict[str, str], data: memoryview, rows: slice) -> np.ndarray:
-    n, kind, big = int(words["$PAR"]), words["$DATATYPE"].upper(), words["$BYTEORD"].strip() in ("4,3,2,1", "2,1")
-    if kind in "FD":
-        dtype = np.dtype({"F": "f4", "D": "f8"}[kind]).newbyteorder(">" if big else "<")
-        width = dtype.itemsize * n
-        return np.frombuffer(data[rows.start * width : rows.stop * width], dtype).reshape(-1, n).astype(float)
-    bits = [int(words[f"$P{k}B"]) for k in range(1, n + 1)]
-    if kind != "I" or any(b % 8 for b in bits):
-        raise ValueError("values are floats, doubles or whole numbers of whole bytes")
-    width = sum(bits) // 8
-    raw = np.frombuffer(data[rows.start * width : rows.stop * width], np.uint8).reshape(-1, width)
-    return _ints(raw, bits, [int(float(words[f"$P{k}R"])) for k in range(1, n + 1)], big)
-
-
-def fcs_datasets(spark: SparkSession, path: str) -> DataFrame:
-    """``path, dataset, event_count, channels, metadata`` of all datasets in FCS files, from any store that Spark reads."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                for k, words, _, _ in _fcs_datasets(content):
-                    n = int(words["$PAR"])
-                    channels = [words.get(f"$P{j}N", f"P{j}") for j in range(1, n + 1)]
-                    yield pd.DataFrame({"path": [p], "dataset": [k], "event_count": [int(words["$TOT"])], "channels": [channels], "metadata": [words]})
-
-    return files.mapInPandas(told, "path string, dataset int, event_count long, channels array<string>, metadata map<string,string>")
-
-
-def fcs_events(spark: SparkSession, path: str, rows_a_batch: int = 65_536) -> DataFrame:
-    """``path, dataset, event_id, values`` of all events of FCS files, as measurements: time by its step, log amplifiers undone, gains taken off.
-
-    A file is read by one task, in batches of rows; a dataset of another length than its ``$TOT`` is refused.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                for k, words, first, last in _fcs_datasets(content):
-                    n, total = int(words["$PAR"]), int(words["$TOT"])
-                    size = {"F": 4 * n, "D": 8 * n}.get(words["$DATATYPE"].upper()) or sum(int(words[f"$P{j}B"]) for j in range(1, n + 1)) // 8
-                    if last - first < size * total:
-                        raise ValueError("the dataset ends before its last event")
-                    data = memoryview(content)[first:last]
-                    for a in range(0, total, rows_a_batch):
-                        v = _decoded(words, data, slice(a, min(total, a + rows_a_batch)))
-                        for j in range(1, n + 1):
-                            name = words.get(f"$P{j}N", "")
-                            decades, zero = (float(x) for x in (words.get(f"$P{j}E", "0,0").split(",") + ["0"])[:2])
-                            if name.lower() == "time" and "$TIMESTEP" in words:
-                                v[:, j - 1] *= float(words["$TIMESTEP"])
-                            elif decades > 0:
-                                v[:, j - 1] = 10 ** (decades * v[:, j - 1] / float(words[f"$P{j}R"])) * (zero or 1.0)
-                            else:
-                                v[:, j - 1] /= float(words.get(f"$P{j}G", 1) or 1)
-                        yield pd.DataFrame({"path": p, "dataset": np.int32(k), "event_id": np.arange(a, a + len(v)), "values": list(v)})
-
-    return files.mapInPandas(read, "path string, dataset int, event_id long, values array<double>")
