@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmill.functions.columns import is_finite
-from eventmill.plans.scratch import materialize
+from eventmill.operators.graphs import communities, modularity, neighbour_graph
+from eventmill.operators.neighbours import nearest_neighbours
 
-#: Rows of a fitted subset, whose features are broadcast.
-MOST_FITTED = 50_000
+__all__ = [
+    "cluster_counts", "communities", "consensus_clusters", "eligible", "feature_statistics", "log_variances", "modularity", "moments", "nearest_code", "nearest_neighbours",
+    "neighbour_graph", "principal_components", "self_organizing_map", "with_metaclusters",
+]
 
 
 def feature_statistics(events: DataFrame, features: dict[str, Column]) -> DataFrame:
@@ -174,116 +177,6 @@ def cluster_counts(labelled: DataFrame, sample: str, label: str) -> DataFrame:
     return c.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("sample")))  # clusters of a sample
 
 
-def nearest_neighbours(fitted: DataFrame, id_col: str, features: Column, k: int) -> DataFrame:
-    """``id, neighbour, rank``: the k closest others of each event of a fitted subset, ties by id.
-
-    The subset's features, ``MOST_FITTED`` rows at most, are broadcast, and each task searches for its own rows in blocks.
-    """
-    rows = fitted.select(F.col(id_col).cast("long").alias("id"), features.cast("array<double>").alias("x"))
-    held = rows.limit(MOST_FITTED + 1).toPandas()
-    if len(held) > MOST_FITTED:
-        raise ValueError(f"the fitted subset is over {MOST_FITTED} events; sample it first")
-    held = held.sort_values("id")
-    ids, all_x = held["id"].to_numpy(), np.array(held["x"].tolist(), float)
-    if not 1 <= k < len(ids):
-        raise ValueError("there are fewer events than neighbours")
-    shared = fitted.sparkSession.sparkContext.broadcast((ids, all_x))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, all_x = shared.value
-        for b in batches:
-            for a in range(0, len(b), 256):
-                part = b.iloc[a : a + 256]
-                x, own = np.array(part["x"].tolist(), float), part["id"].to_numpy()
-                d = np.stack([((all_x - row) ** 2).sum(1) for row in x])
-                d[own[:, None] == ids[None, :]] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"id": np.repeat(own, k), "neighbour": ids[order].ravel(), "rank": np.tile(np.arange(1, k + 1), len(own))})
-
-    return rows.mapInPandas(search, "id long, neighbour long, rank int")
-
-
-def neighbour_graph(neighbours: DataFrame, k: int) -> DataFrame:
-    """``u, v, weight`` with u < v: the share of common neighbours of each edge, averaged over its two directions; 0 is left out.
-
-    Common neighbours are counted by joining edges on them; an event has k of them, so nothing grows with its fame
-    but the lists of those that name it.
-    """
-    sets = neighbours.select("id", "neighbour")
-    a = sets.select(F.col("id").alias("u"), F.col("neighbour").alias("v"))
-    mine = a.join(sets.select(F.col("id").alias("u"), F.col("neighbour").alias("w")), "u")
-    both = mine.join(sets.select(F.col("id").alias("v"), F.col("neighbour").alias("w")), ["v", "w"])
-    shared = both.groupBy("u", "v").agg(F.count("*").alias("common"))
-    directed = shared.select("u", "v", (F.col("common") / (2 * k - F.col("common"))).alias("x"))
-    return directed.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg((F.sum("x") / 2).alias("weight")).where("weight > 0")
-
-
-def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
-    """Of ``labels(id, label)`` on ``edges(u, v, weight)``."""
-    la = labels.select(F.col("id").alias("u"), F.col("label").alias("a"))
-    lb = labels.select(F.col("id").alias("v"), F.col("label").alias("b"))
-    e = edges.join(la, "u").join(lb, "v")
-    total = e.agg(F.sum("weight")).first()[0]
-    if not total:
-        return 0.0
-    inside = e.where("a = b").agg(F.sum("weight")).first()[0] or 0.0
-    ends = e.select(F.col("a").alias("label"), "weight").unionByName(e.select(F.col("b").alias("label"), "weight"))
-    squares = ends.groupBy("label").agg(F.sum("weight").alias("d")).agg(F.sum(F.pow(F.col("d") / (2 * total), F.lit(2.0)))).first()[0]
-    return inside / total - resolution * squares
-
-
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, minimum: int = 10, most_moves: int = 20, most_levels: int = 10) -> DataFrame:
-    """``id, label``: communities of a weighted graph by rounds of moves that gain modularity, each level on the graph of the last one's communities.
-
-    In a round a hashed half of the nodes move to the neighbouring community of the largest gain, so that two
-    neighbours rarely swap; a round that loses is undone and a smaller share moves, and after some a level ends. Labels are 1, 2, ... by size, then least member;
-    communities of fewer than ``minimum`` events are 0.
-    """
-    level = materialize(edges.select("u", "v", "weight"), "graph")
-    where = materialize(nodes.select(F.col("id"), F.col("id").alias("label")), "labels")
-    best = modularity(edges, where, resolution)
-    for _ in range(most_levels):
-        own = level.select(F.col("u").alias("id")).unionByName(level.select(F.col("v").alias("id"))).distinct()
-        labels = materialize(own.select("id", F.col("id").alias("label")), "labels")
-        both = materialize(level.where("u <> v").select(F.col("u").alias("id"), F.col("v").alias("other"), "weight").unionByName(level.where("u <> v").select(F.col("v").alias("id"), F.col("u").alias("other"), "weight")), "both")
-        ends = level.select(F.col("u").alias("id"), "weight").unionByName(level.select(F.col("v").alias("id"), "weight"))
-        degree = materialize(ends.groupBy("id").agg(F.sum("weight").alias("k")), "degrees")
-        two_m = degree.agg(F.sum("k")).first()[0] or 0.0
-        if not two_m:
-            break
-        reached, idle = modularity(level, labels, resolution), 0
-        for move in range(most_moves):
-            held = degree.join(labels, "id")
-            totals = held.groupBy("label").agg(F.sum("k").alias("tot"))
-            links = both.join(labels.withColumnsRenamed({"id": "other", "label": "to"}), "other").groupBy("id", "to").agg(F.sum("weight").alias("w"))
-            me = held.join(totals, "label").select("id", "label", "k", "tot")
-            stay = links.join(me, "id").where("to = label").select("id", F.col("w").alias("w_own"))
-            options = links.join(me, "id").join(totals.withColumnsRenamed({"label": "to", "tot": "tot_to"}), "to").join(stay, "id", "left")
-            gain = (F.col("w") - F.coalesce("w_own", F.lit(0.0))) - resolution * F.col("k") * (F.col("tot_to") - (F.col("tot") - F.col("k"))) / two_m
-            turn = F.pmod(F.xxhash64("id", F.lit(move)), F.lit(2 + 2 * idle)) == 0
-            chosen = options.where((F.col("to") != F.col("label")) & turn).withColumn("gain", gain).where("gain > 1e-12").groupBy("id").agg(F.min(F.struct(-F.col("gain"), "to")).alias("b"))
-            moved = labels.join(chosen, "id", "left").select("id", F.coalesce("b.to", "label").alias("label"))
-            moved = materialize(moved, "labels")
-            after = modularity(level, moved, resolution)
-            if after > reached + 1e-9:
-                labels, reached, idle = moved, after, 0
-            else:
-                idle += 1
-                if idle >= 4:
-                    break
-        if reached <= best + 1e-9:
-            break
-        best = reached
-        step = labels.select(F.col("id").alias("label"), F.col("label").alias("new"))
-        where = materialize(where.join(step, "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
-        la, lb = labels.withColumnsRenamed({"id": "u", "label": "a"}), labels.withColumnsRenamed({"id": "v", "label": "b"})
-        merged = level.join(la, "u").join(lb, "v")
-        level = materialize(merged.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("weight").alias("weight")), "graph")
-    sizes = where.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= minimum)
-    ranked = sizes.select("label", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("rank"))  # one row a community
-    return where.join(ranked, "label", "left").select("id", F.coalesce("rank", F.lit(0)).alias("label"))
-
-
 def log_variances(events: DataFrame, columns: list[str]) -> DataFrame:
     """``feature, log_variance`` of finite values, scaled first so that nothing overflows; NULL without variation."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.when(is_finite(F.col(c)), F.col(c).cast("double")).alias("v")) for c in columns]))

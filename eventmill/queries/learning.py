@@ -85,7 +85,7 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the neighbour graph; the tests recover separated groups."""
     v = _table(spark, sf_dir, "embeddings")
     graph = L.neighbour_graph(_neighbours(spark, sf_dir), 6)
-    return L.communities(graph, v.select(F.col("vec_id").alias("id")), minimum=5, most_moves=6, most_levels=3)
+    return L.communities(graph, v.select(F.col("vec_id").alias("id")), minimum=5, restarts=5)
 
 
 @registered(None)
