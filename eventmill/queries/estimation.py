@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventmill.operators import estimation as E, mixtures as M, scatter as S
+from eventmill.operators import estimation as E, mixtures as M, peak_models as P, scatter as S
 from eventmill.queries.registry import registered, rounded as _r, table as _table
 
 _ROLE = "CASE WHEN l_quantity >= 35 THEN 'positive' WHEN l_quantity < 10 THEN 'negative' END"
@@ -145,3 +145,20 @@ def scatter_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gates = S.scatter_cleanup(rows, "control", F.col("x"), F.col("y"), (1200.0, 1200.0))
     inside = S.cleaned(F.col("control"), F.col("x"), F.col("y"), gates)
     return rows.groupBy("control").agg(F.count("*").alias("events"), F.count_if(inside).alias("kept"))
+
+
+@registered(None)
+def constrained_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected and assigned events of each phase under linked widths and a synchronous wave; the tests recover known shares and check that no event is lost."""
+    e = _table(spark, sf_dir, "events").withColumn("sample", F.col("event_type"))
+    out = P.cell_cycle(e, "sample", F.col("value"), 0.5, 120.0, 128, P.CycleModel(wave=True))
+    return M.part_counts(out).join(out.groupBy("sample").agg(F.max(F.col("parameters")["outside"]).cast("long").alias("outside")), "sample")
+
+
+@registered(None)
+def background_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of dye generations, calibrated from the highest values as undivided and the lowest as unstained control."""
+    e = _table(spark, sf_dir, "events").withColumn("sample", F.col("event_type"))
+    v = F.col("value")
+    out = P.dye_generations(e, "sample", v, -50.0, 600.0, 20.0, P.DyeModel(generations=4), v > 100, v < 3, 128)
+    return M.part_counts(out).join(out.groupBy("sample").agg(F.max(F.col("parameters")["outside"]).cast("long").alias("outside")), "sample")
