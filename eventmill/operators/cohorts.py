@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmill.operators.gates import Gate, masks, paths, text_filter
-from eventmill.plans.blocks import SIZE
+from eventmill.plans.blocks import SIZE, with_previous
 
 
 def members(samples: DataFrame, group: DataFrame | None = None, needle: str = "") -> DataFrame:
@@ -133,8 +133,10 @@ def origins(merged_events: DataFrame, sources: DataFrame, start: int | None = No
 
 def unordered_origins(merged_events: DataFrame) -> DataFrame:
     """``CF_Source, CF_EventID, times``: origins that are there twice, or whose order in the merged table is not theirs. Empty if all is well."""
-    seen = merged_events.groupBy("CF_Source", "CF_EventID").agg(F.count("*").alias("times"))
-    return seen.where("times > 1")
+    rows = merged_events.select("merged_id", "CF_Source", "CF_EventID")
+    seen = rows.groupBy("CF_Source", "CF_EventID").agg(F.count("*").alias("times")).where("times > 1")
+    back = with_previous(rows, ["CF_Source"], "merged_id", ["CF_EventID"]).where(F.col("CF_EventID") < F.col("previous_CF_EventID"))
+    return seen.unionByName(back.select("CF_Source", "CF_EventID", F.lit(1).cast("long").alias("times"))).groupBy("CF_Source", "CF_EventID").agg(F.max("times").alias("times"))
 
 
 def harmonised(panels: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:

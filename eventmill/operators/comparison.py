@@ -46,15 +46,33 @@ def against_control(events: DataFrame, population: str, value: Column, control:
 
 
 def leave_one_out(controls: DataFrame, sample: str, value: Column) -> DataFrame:
-    """``population, v, c, t``: each control sample against all others, whose counts are those of all less its own."""
+    """``population, v, below, upto, c, t, c_total, t_total``: each control sample at its own values, against all others.
+
+    The others' counts are those of all less its own: sums below a value of all are taken once and read at
+    the sample's values, so a sample does not meet the values of the others. ``below`` and ``upto`` are the others' events
+    under a value and up to it.
+    """
     rows = controls.select(F.col(sample).alias("population"), finite(value).alias("v")).where("v IS NOT NULL")
-    own = rows.groupBy("population", "v").agg(F.count("*").alias("t"))
-    pooled = own.groupBy("v").agg(F.sum("t").alias("n"))
-    names = own.select("population").distinct()
-    # samples are few; every one of them meets the values of the pool
-    grid = names.crossJoin(pooled).join(own, ["population", "v"], "left")
-    told = grid.select("population", "v", (F.col("n") - F.coalesce("t", F.lit(0))).alias("c"), F.coalesce("t", F.lit(0)).alias("t"))
-    return told.where("c > 0 OR t > 0")
+    own = materialize(rows.groupBy("population", "v").agg(F.count("*").alias("t")), "own")
+    mine = with_sums_below(own, ["population"], "v", ["t"])
+    every = with_sums_below(own.select("v", F.col("t").alias("a")), [], "v", ["a"]).select("v", "a", "a_below", "a_total")
+    told = mine.join(every, "v")
+    below = F.col("a_below") - F.col("t_below")
+    return told.select("population", "v", below.alias("below"), (below + F.col("a") - F.col("t")).alias("upto"), (F.col("a") - F.col("t")).alias("c"), "t", (F.col("a_total") - F.col("t_total")).alias("c_total"), "t_total", "t_below")
+
+
+def leave_one_out_distances(controls: DataFrame, sample: str, value: Column) -> DataFrame:
+    """``population, n_control, n, ks_distance, ks_p_value, reason``: each control sample against the pool of all others.
+
+    Two step functions are farthest apart at a value of one of them or right below it; between two values of the
+    sample the pool only rises, so the sample's own values, from both sides, are enough. Without others there is a reason.
+    """
+    r = leave_one_out(controls, sample, value)
+    here = F.abs(F.col("upto") / F.col("c_total") - (F.col("t_below") + F.col("t")) / F.col("t_total"))
+    before = F.abs(F.col("below") / F.col("c_total") - F.col("t_below") / F.col("t_total"))
+    g = r.groupBy("population").agg(F.max("c_total").alias("n_control"), F.max("t_total").alias("n"), F.max(F.when(F.col("c_total") > 0, F.greatest(here, before))).alias("ks_distance"))
+    chance = F.when(F.col("n_control") > 0, prob.ks_p_value(F.col("ks_distance"), F.col("n_control"), F.col("n")))
+    return g.select("population", "n_control", "n", "ks_distance", chance.alias("ks_p_value"), F.when(F.col("n_control") == 0, "no other control has finite events").alias("reason"))
 
 
 def pooled_controls(events: DataFrame, ids: list[str], masks: list[Column]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from eventmill.functions.columns import finite, is_finite, linear_unmix, tempered_root
 from eventmill.functions.scales import NaturalSpline, biex_table
 from eventmill.operators.comparison import linear_fits
+from eventmill.plans.joins import null_safe_join
 from eventmill.plans.order_statistics import percentiles
 from eventmill.plans.scratch import materialize
 
@@ -28,9 +29,11 @@ def control_statistics(events: DataFrame, control: str, role: str, detectors: di
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("detector"), c.cast("double").alias("v"), F.lit((ranges or {}).get(n)).cast("double").alias("range")) for n, c in detectors.items()]))
     rows = events.where(ok).select(F.col(control).alias("control"), F.col(role).alias("role"), cells.alias("c")).select("control", "role", "c.*")
     keys = ["control", "role", "detector"]
-    m = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("v", 0.5).alias("median"), F.count_if(F.col("v") >= F.col("range") * 0.9999).alias("saturated"))
-    d = rows.join(m.select(*keys, "median"), keys).groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col("v") - F.col("median")), 0.5)).alias("robust_sd"))
-    return m.join(d, keys).where(F.col("n") >= minimum_events).select(*keys, "n", "median", "robust_sd", "saturated")
+    m = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("v") >= F.col("range") * 0.9999).alias("saturated"))
+    q = materialize(percentiles(rows, keys, F.col("v"), [0.5]).select(*keys, F.col("q")[0].alias("median")), "medians")
+    off = F.abs(F.col("v") - F.col("median"))
+    d = percentiles(null_safe_join(rows, q, keys), keys, off, [0.5]).select(*keys, (1.4826 * F.col("q")[0]).alias("robust_sd"))
+    return null_safe_join(null_safe_join(m, q, keys), d, keys).where(F.col("n") >= minimum_events).select(*keys, "n", "median", "robust_sd", "saturated")
 
 
 def separations(stats: DataFrame, primaries: DataFrame) -> DataFrame:

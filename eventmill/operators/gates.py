@@ -170,6 +170,11 @@ def quality_gate(flags: Column, bin_id: Column, exclusions: tuple[str, ...] = ()
     return (flags.bitwiseAND(F.lit(OUTSIDE)) == 0) & (~rejected if keep else rejected)
 
 
+def quality_population(name: str, flags: Column, bin_id: Column, parent: str | None = None, **review) -> Gate:
+    """``quality_gate`` as a population; it belongs to its acquisition and is not copied to other samples."""
+    return Gate(name, quality_gate(flags, bin_id, **review), parent, acquisition_bound=True)
+
+
 def control_selection(gate: Column, detector: Column, low: float | None, high: float | None, detectors: list[Column]) -> Column:
     """A control's events: in the gate, within raw limits of its detector, and finite in all detectors."""
     return gate & interval(detector, low, high) & _all([is_finite(d) for d in detectors])
@@ -201,6 +206,7 @@ class Gate:
     operands: tuple[str, ...] = field(default=())
     op: str = "and"  # of operands: and, or, xor, not
     operand_complements: tuple[bool, ...] = field(default=())
+    acquisition_bound: bool = False  # holds event or bin numbers of one acquisition
 
 
 def linked_family(name: str, axes: list[tuple[Column, float]], parent: str | None = None) -> list[Gate]:
@@ -257,17 +263,40 @@ def paths(gates: list[Gate]) -> dict[str, tuple[str, ...]]:
     return {g.name: of(g) for g in gates}
 
 
+def _bound(gates: list[Gate]) -> list[str]:
+    return [g.name for g in gates if g.acquisition_bound]
+
+
+def mapped_tree(gates: list[Gate], own: list[Gate], replace_existing: bool = False) -> list[Gate]:
+    """``own`` with the populations of ``gates`` copied into it by path.
+
+    A population of the same path stays, or gives way where it is to be replaced; so a copied child hangs below the population that has
+    its parent's path here. A copied gate whose name another path has here gets a new one; parents and operands follow.
+    """
+    if names := _bound(gates):
+        raise ValueError(f"these belong to one acquisition: {names}")
+    there, mine = paths(own), paths(gates)
+    at = {path: name for name, path in there.items()}
+    kept = [g for g in own if not (replace_existing and there[g.name] in set(mine.values()))]
+    taken, renamed = {g.name for g in own}, {}
+    for g in gates:
+        here = at.get(mine[g.name])
+        if here is not None:
+            renamed[g.name] = here
+            continue
+        name, k = g.name, 2
+        while name in taken:
+            name, k = f"{g.name} ({k})", k + 1
+        taken.add(name)
+        renamed[g.name] = name
+    copies = [
+        replace(g, name=renamed[g.name], parent=renamed[g.parent] if g.parent else None, operands=tuple(renamed[o] for o in g.operands))
+        for g in gates
+        if replace_existing or mine[g.name] not in at
+    ]
+    return [*kept, *copies]
+
+
 def propagated(gates: list[Gate], targets: dict[str, list[Gate]], replace_existing: bool = False) -> dict[str, list[Gate]]:
-    """The tree copied to other samples' trees; a population of the same path stays unless it is to be replaced."""
-    if any(g.test is not None and "quality_flags" in str(g.test) for g in gates):
-        raise ValueError("quality gates belong to one acquisition")
-    out = {}
-    for sample, own in targets.items():
-        there, mine = paths(own), paths(gates)
-        taken = set(there.values())
-        if replace_existing:
-            kept = [g for g in own if there[g.name] not in set(mine.values())]
-            out[sample] = [*kept, *[replace(g) for g in gates]]
-        else:
-            out[sample] = [*own, *[replace(g) for g in gates if mine[g.name] not in taken]]
-    return out
+    """The tree copied to other samples' trees, see ``mapped_tree``; gates that belong to one acquisition are refused."""
+    return {sample: mapped_tree(gates, own, replace_existing) for sample, own in targets.items()}

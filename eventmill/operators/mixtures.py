@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmill.operators.grids import cell
+from eventmill.plans.order_statistics import percentiles
 
 MOST_BINS = 1024
 PHASES = ("G1", "S", "G2")
@@ -147,9 +148,10 @@ def proliferation(events: DataFrame, sample: str, dye: Column, control: Column,
     """The same of generations 0, 1, ... of a dye that halves with each division; ``control`` marks undivided events, whose
     log2 median and robust deviation begin the fit."""
     log2 = F.when(dye > 0, F.log2(dye))
-    m = events.where(control).agg(F.percentile(log2, [0.5, 0.1587, 0.8413]).alias("q")).first().q
-    if m is None:
+    told = percentiles(events.where(control), [], log2, [0.5, 0.1587, 0.8413]).first()
+    if told is None or not told["n"]:
         raise ValueError("the control has no events")
+    m = told["q"]
     start, sd = m[0], max(0.05, (m[2] - m[1]) / 2)
     return _fitted(histograms(events, sample, log2, low, high, bins), low, high, bins, [], lambda e, c: fit_generations(e, c, start, sd, generations))
 

@@ -15,6 +15,9 @@ MIXED = "<mixed>"
 _WELL = r"^\s*([A-Za-z]{1,2})[\s_:-]*0*([1-9][0-9]{0,2})\s*$"
 
 
+#: Columns of an export of measures.
+MOST_MEASURES = 64
+
 def well_row(well: Column) -> Column:
     """The row of a well's letters, from 0: A to Z, then AA on; NULL if it is no well."""
     letters = F.upper(F.nullif(F.regexp_extract(well, _WELL, 1), F.lit("")))
@@ -221,6 +224,8 @@ def normalised(measures: DataFrame, domains: DataFrame | None = None) -> DataFra
 
 
 def measurement_table(measures: DataFrame) -> DataFrame:
-    """``well`` and a column for each measure: the rows of an export."""
-    names = [r[0] for r in measures.select("measure").distinct().orderBy("measure").limit(65).collect()]
+    """``well`` and a column for each measure, 64 at most: the rows of an export."""
+    names = [r[0] for r in measures.select("measure").distinct().orderBy("measure").limit(MOST_MEASURES + 1).collect()]
+    if len(names) > MOST_MEASURES:
+        raise ValueError(f"there are more than {MOST_MEASURES} measures")
     return measures.groupBy("well").pivot("measure", names).agg(F.first("value"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmill.functions.columns import finite
 from eventmill.operators.gates import Gate, masks
+from eventmill.plans.joins import null_safe_join
+from eventmill.plans.order_statistics import percentiles
+from eventmill.plans.scratch import materialize
 
 
 def gate_counts(events: DataFrame, sample: str, gates: list[Gate]) -> DataFrame:
@@ -31,15 +34,16 @@ def summary(events: DataFrame, keys: list[str], value: Column) -> DataFrame:
         F.count("*").alias("n"),
         F.count("v").alias("n_finite"),
         F.avg("v").alias("mean"),
-        F.percentile("v", [0.05, 0.5, 0.95]).alias("q"),
         F.stddev_samp("v").alias("sd"),
         F.min("v").alias("least"),
         F.max("v").alias("most"),
         F.avg(F.when(F.col("v") > 0, F.log("v"))).alias("log_mean"),
     )
-    mad = rows.join(first.select(*keys, F.col("q")[1].alias("m")), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("v") - F.col("m")), 0.5).alias("mad"))
+    quantiles = materialize(percentiles(rows, keys, F.col("v"), [0.05, 0.5, 0.95]).drop("n"), "quantiles")
+    far = null_safe_join(rows, quantiles.select(*keys, F.col("q")[1].alias("m")), keys)
+    mad = percentiles(far, keys, F.abs(F.col("v") - F.col("m")), [0.5]).select(*keys, F.col("q")[0].alias("mad"))
     m = F.col("q")[1]
-    return first.join(mad, keys).select(
+    return null_safe_join(null_safe_join(first, quantiles, keys, "left"), mad, keys, "left").select(
         *keys,
         "n",
         "n_finite",

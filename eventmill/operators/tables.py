@@ -1,7 +1,7 @@
 """Statistics tables: rows are populations of samples, columns are statistics, keywords and formulas.
 
-Statistics come from one scan, in which an event is repeated for each population that holds
-it, and one more where a median has to be known first. Tables have a row for each sample and
+Moments come from one aggregation of the events that each set of populations holds, order
+statistics from ``plans.order_statistics``, each figure once however many columns show it. Tables have a row for each sample and
 population; everything after the statistics works on these.
 """
 
@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from eventmill.functions.columns import finite
 from eventmill.functions.formulas import compile_formula, references
 from eventmill.operators.gates import Gate, masks, paths
+from eventmill.plans.joins import null_safe_join
+from eventmill.plans.order_statistics import percentiles
+from eventmill.plans.scratch import materialize
 
 ROOT = "All events"
 
@@ -39,7 +42,6 @@ ONE_PASS = {
     "finite_count": lambda v, p: F.count(v),
     "nonfinite_count": lambda v, p: F.count("*") - F.count(v),
     "mean": lambda v, p: F.avg(v),
-    "median": lambda v, p: F.percentile(v, 0.5),
     "std": lambda v, p: F.stddev_samp(v),
     "variance": lambda v, p: F.var_samp(v),
     "cv": lambda v, p: 100.0 * F.stddev_samp(v) / F.nullif(F.abs(F.avg(v)), F.lit(0.0)),
@@ -47,15 +49,16 @@ ONE_PASS = {
     "geometric_std": lambda v, p: _geometric(v, F.exp(F.stddev_samp(F.log(F.when(v > 0, v))))),
     "min": lambda v, p: F.min(v),
     "max": lambda v, p: F.max(v),
-    "percentile": lambda v, p: F.percentile(v, p / 100),
 }
+#: Statistics of order, with the share of values below.
+ORDER = {"median": lambda p: 0.5, "percentile": lambda p: p / 100}
 #: Statistics that need the median first.
 TWO_PASS = {
     "mad": lambda mad, median: mad,
     "robust_cv": lambda mad, median: 148.26 * mad / F.nullif(F.abs(median), F.lit(0.0)),
 }
 OF_EVENTS = ("count", "percent_parent", "percent_total")
-STATISTICS = (*OF_EVENTS, *ONE_PASS, *TWO_PASS)
+STATISTICS = (*OF_EVENTS, *ONE_PASS, *ORDER, *TWO_PASS)
 
 
 def default_columns(channel: Column | None = None) -> list[Statistic]:
@@ -79,22 +82,44 @@ def statistics_table(events: DataFrame, sample: str, gates: list[Gate], columns:
     order = [ROOT, *by] if root else [*by]
     parents = {ROOT: None} | {g.name: g.parent or ROOT for g in gates}
     held = F.array_compact(F.array(*[F.lit(ROOT)] * 1, *[F.when(m, F.lit(n)) for n, m in by.items()]))
-    channels = {f"__c{k}": c.channel for k, c in enumerate(columns) if c.channel is not None}
-    rows = events.select(F.col(sample).alias("sample"), F.explode(held).alias("population"), *[finite(c).alias(n) for n, c in channels.items()])
+    # each channel once, by what it is
+    channels: dict[str, str] = {}
+    for c in columns:
+        if c.channel is not None:
+            channels.setdefault(str(c.channel), f"__c{len(channels)}")
+    of = {k: channels[str(c.channel)] for k, c in enumerate(columns) if c.channel is not None}
+    values = {channels[str(c.channel)]: c.channel for c in columns if c.channel is not None}
+    rows = materialize(events.select(F.col(sample).alias("sample"), held.alias("held"), *[finite(c).alias(n) for n, c in values.items()]), "channels")
     keys = ["sample", "population"]
-    one = [ONE_PASS[c.statistic](F.col(f"__c{k}"), c.percentile).alias(f"__v{k}") for k, c in enumerate(columns) if c.statistic in ONE_PASS]
+    spread = rows.select("sample", F.explode("held").alias("population"), *values)
+    one = [ONE_PASS[c.statistic](F.col(of[k]), c.percentile).alias(f"__v{k}") for k, c in enumerate(columns) if c.statistic in ONE_PASS]
+    first = spread.groupBy(*keys).agg(F.count("*").alias("__n"), *one)
     two = {k: c for k, c in enumerate(columns) if c.statistic in TWO_PASS}
-    first = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *one, *[F.percentile(F.col(f"__c{k}"), 0.5).alias(f"__m{k}") for k in two])
-    if two:
-        far = rows.join(first.select(*keys, *[f"__m{k}" for k in two]), keys)
-        mads = far.groupBy(*keys).agg(*[F.percentile(F.abs(F.col(f"__c{k}") - F.col(f"__m{k}")), 0.5).alias(f"__d{k}") for k in two])
-        first = first.join(mads, keys)
+    for n in values:
+        shares = sorted({ORDER[c.statistic](c.percentile) for k, c in enumerate(columns) if c.statistic in ORDER and of[k] == n} | ({0.5} if any(of[k] == n for k in two) else set()))
+        if not shares:
+            continue
+        q = percentiles(spread, keys, F.col(n), shares).select(*keys, F.col("q").alias(f"__q{n}"))
+        q = materialize(q, "quantiles")
+        middle = F.col(f"__q{n}")[shares.index(0.5)] if 0.5 in shares else None
+        first = null_safe_join(first, q, keys, "left")
+        for k, c in enumerate(columns):
+            if c.statistic in ORDER and of[k] == n:
+                first = first.withColumn(f"__v{k}", F.col(f"__q{n}")[shares.index(ORDER[c.statistic](c.percentile))])
+        if any(of[k] == n for k in two):
+            far = null_safe_join(spread.select(*keys, n), q.select(*keys, middle.alias("__m")), keys)
+            mads = percentiles(far, keys, F.abs(F.col(n) - F.col("__m")), [0.5]).select(*keys, F.col("q")[0].alias("__mad"))
+            first = null_safe_join(first, mads, keys, "left")
+            for k in (k for k in two if of[k] == n):
+                first = first.withColumns({f"__d{k}": F.col("__mad"), f"__m{k}": middle})
+            first = first.drop("__mad")
+    first = materialize(first, "statistics")
     places = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(n).alias("population"), F.lit(parents[n]).alias("parent"), F.array(*map(F.lit, () if n == ROOT else names[n])).cast("array<string>").alias("path")) for k, n in enumerate(order)])).alias("p")
-    grid = events.select(F.col(sample).alias("sample")).distinct().select("sample", places).select("sample", "p.*")
-    told = grid.join(first, keys, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    grid = rows.select("sample").distinct().select("sample", places).select("sample", "p.*")
+    told = null_safe_join(grid, first, keys, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
     # counts of parents and totals, by conditional sums over the few rows of a sample
     every = first.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("population", "__n"))).alias("__of"))
-    told = told.join(every, "sample", "left")
+    told = null_safe_join(told, every, ["sample"], "left")
     count_of = lambda name: F.coalesce(F.try_element_at("__of", name), F.lit(0))
     out = []
     for k, c in enumerate(columns):
@@ -120,7 +145,7 @@ def statistics_table(events: DataFrame, sample: str, gates: list[Gate], columns:
 
 def of_control(table: DataFrame, column: str, control: object) -> DataFrame:
     """``table`` where a column has the value of the control sample's row of the same path; NULL if there is none or several."""
-    held = table.where(F.col("sample") == F.lit(control)).groupBy("path").agg(F.max(f"`{column}`").alias("__v"), F.count("*").alias("__k"))
+    held = table.where(F.col("sample").eqNullSafe(F.lit(control))).groupBy("path").agg(F.max(f"`{column}`").alias("__v"), F.count("*").alias("__k"))
     told = table.join(held.withColumnRenamed("path", "__path"), F.col("path") == F.col("__path"), "left")
     return told.withColumn(column, F.when(F.col("__k") == 1, F.col("__v"))).drop("__path", "__v", "__k")
 

@@ -1,14 +1,15 @@
 """Exact percentiles and ranks of groups of which one may hold most rows.
 
-``percentile`` gathers all distinct values of a group in one task. Here a group is cut into
-cells at approximate quantiles, each cell is counted, and only cells that hold a wanted
-position are looked into. Equal values are counted before anything is sorted.
+``percentile`` gathers all distinct values of a group in one task. Here sums below each value are
+taken in cells between approximate quantiles, and percentiles between two of them.
+Equal values are counted before anything is sorted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from eventmill.plans.joins import null_safe_join
 from eventmill.plans.scratch import materialize
 
 CELLS, ACCURACY = 64, 1000
@@ -50,15 +51,35 @@ def with_sums_below(rows: DataFrame, keys: list[str], value: str, weights: list[
     return out.drop("__cell", "__at", *[f"__{k}" for k in keys], *[f"__start_{w}" for w in weights])
 
 
+#: Ranks are told apart by sketches to this share of a group.
+BRACKET = 10_000
+
+
 def percentiles(rows: DataFrame, keys: list[str], value: Column, shares: list[float]) -> DataFrame:
-    """``keys, n, q``: the count of the values that are not NULL, and their percentiles by linear interpolation, as ``percentile`` gives them."""
-    told = with_sums_below(rows.select(*keys, value.alias("__v"), F.lit(1).alias("c")), keys, "__v", ["c"])
-    upto = F.col("c_below") + F.col("c")
-    at = [F.lit(s) * (F.col("c_total") - 1) for s in shares]
-    picked = [F.max(F.when((F.col("c_below") <= F.floor(p)) & (upto > F.floor(p)), F.col("__v"))).alias(f"__lo{k}") for k, p in enumerate(at)]
-    picked += [F.max(F.when((F.col("c_below") <= F.ceil(p)) & (upto > F.ceil(p)), F.col("__v"))).alias(f"__hi{k}") for k, p in enumerate(at)]
-    got = told.groupBy(*keys).agg(F.max("c_total").alias("n"), *picked)
-    part = [F.lit(s) * (F.col("n") - 1) - F.floor(F.lit(s) * (F.col("n") - 1)) for s in shares]
+    """``keys, n, q``: the count of the values that are not NULL, and their percentiles by linear interpolation, as ``percentile`` gives them.
+
+    A sketch brackets each wanted rank; one more pass counts what lies below the brackets and the values inside them.
+    A group hands on a few ten-thousandths of its values, equal ones as one.
+    """
+    told = rows.select(*keys, value.alias("__v")).where("__v IS NOT NULL")
+    around = [min(1.0, max(0.0, s + d)) for s in shares for d in (-2 / BRACKET, 2 / BRACKET)]
+    cuts = told.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__v", around, BRACKET).alias("__cuts"))
+    placed = null_safe_join(told, cuts.drop("n"), keys)
+    v = F.col("__v")
+    each = [F.struct(F.lit(k).alias("s"), F.when(v < F.col("__cuts")[2 * k], -1).when(v > F.col("__cuts")[2 * k + 1], 1).otherwise(0).alias("side")) for k in range(len(shares))]
+    sided = placed.select(*keys, "__v", F.explode(F.array(*each)).alias("e")).select(*keys, "__v", "e.*")
+    counted = sided.groupBy(*keys, "s", "side", F.when(F.col("side") == 0, v).alias("__at")).agg(F.count("*").alias("c"), F.min("__v").alias("least"), F.max("__v").alias("most"))
+    # of what lies below only the greatest can be wanted, of what lies above the least
+    counted = counted.select(*keys, "s", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")).alias("v"), "c")
+    up = Window.partitionBy(*keys, "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe_join(counted.withColumn("upto", F.sum("c").over(up)), cuts.drop("__cuts"), keys)
+    share = F.element_at(F.array(*[F.lit(float(x)) for x in shares]), F.col("s") + 1)
+    place = share * (F.col("n") - 1)
+    low, high = (f(place) + 1 for f in (F.floor, F.ceil))
+    held = lambda r: F.max(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("c") < r), F.col("v")))
+    got = ranked.groupBy(*keys, "s").agg(F.max("n").alias("n"), held(low).alias("lo"), held(high).alias("hi"))
+    part = share * (F.col("n") - 1) - F.floor(share * (F.col("n") - 1))
     # weights as Spark's percentile takes them
-    mixed = [F.when(p == 0, F.col(f"__lo{k}")).otherwise((1 - p) * F.col(f"__lo{k}") + p * F.col(f"__hi{k}")) for k, p in enumerate(part)]
-    return got.select(*keys, "n", F.array(*mixed).alias("q"))
+    mixed = F.when(part == 0, F.col("lo")).otherwise((1 - part) * F.col("lo") + part * F.col("hi"))
+    found = got.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("s", mixed.alias("q")))).alias("__q"))
+    return found.select(*keys, "n", F.transform("__q", lambda x: x.q).alias("q"))

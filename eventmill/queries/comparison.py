@@ -84,8 +84,7 @@ f AS (SELECT population, nc, nt, sum(c) OVER w / nc AS fc, sum(t) OVER w / nt AS
 SELECT population, CAST(max(nc) AS BIGINT) AS n_control, CAST(max(nt) AS BIGINT) AS n, round(max(abs(fc - ft)), 9) AS ks_distance FROM f GROUP BY 1""")
 def control_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each control sample against the pool of all others."""
-    counts = K.leave_one_out(_table(spark, sf_dir, "events"), "event_type", F.col("value"))
-    return K.distribution_effects(counts, ["population"]).select("population", "n_control", "n", _r("ks_distance", 9).alias("ks_distance"))
+    return K.leave_one_out_distances(_table(spark, sf_dir, "events"), "event_type", F.col("value")).select("population", "n_control", "n", _r("ks_distance", 9).alias("ks_distance"))
 
 
 @registered("""
