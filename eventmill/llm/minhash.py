@@ -47,7 +47,7 @@ from eventmill.plans.scratch import discard, materialize
 from eventmill.plans.skew import heavy_keys, join_by_cells, partitions, skew_join
 
 K, LEAST = 5, 0.8
-LENGTH, COUNT = 2, 96
+LENGTH, COUNT = 2, 72
 ROUNDS, WORD_BUCKETS, COUNT_PARTS = 3, 1 << 14, (1024, 16)
 #: A member of this similarity to a centre or more may be linked to one that the centre is linked to.
 NEAR = 1 - 2 * (1 - LEAST)
@@ -312,16 +312,20 @@ def _centre_round(members: DataFrame, links: _Links, number: int) -> tuple[DataF
     told = put.withColumns({"a": F.least("rid", "centre"), "b": F.greatest("rid", "centre")}).join(links.known, ["a", "b"], "left")
     bound = F.coalesce("bound", F.least("n", "cn") / F.greatest("n", "cn"))
     told = materialize(told.select("bucket", "centre", "rid", "n", "score", F.coalesce("linked", F.lit(False)).alias("linked"), bound.alias("bound")), "told")
-    discard(put)
-    left = told.where("not linked").select("bucket", "centre", "rid", "n", "score")
+    left = materialize(told.where("not linked").select("bucket", "centre", "rid", "n", "score"), "left")
+    # the same two documents meet in many buckets
+    met = materialize(told.select("centre", "rid", "n", "linked", "bound").distinct(), "compared")
+    discard(put, centres, told, members)
     # distances to the centre of two linked documents differ by 1 - LEAST at most
     close = ~F.col("linked") & (F.col("bound") >= NEAR)
-    most = told.groupBy("centre").agg(F.max(F.when(close, F.col("bound"))).alias("most"), F.count("*").alias("size")).where("most IS NOT NULL")
+    most = met.groupBy("centre").agg(F.max(F.when(close, F.col("bound"))).alias("most"), F.count("*").alias("size")).where("most IS NOT NULL")
     most = materialize(most, "near")
-    beside = join_by_cells(told, most.drop("size"), ["centre"], F.col("rid"), heavy_keys(most, ["centre"], "size", told.count()))
+    beside = join_by_cells(met, most.drop("size"), ["centre"], F.col("rid"), heavy_keys(most, ["centre"], "size", met.count()))
     kept = beside.where(close | (F.col("linked") & (F.col("bound") <= F.col("most") + (1 - LEAST))))
     aside = kept.select(F.xxhash64("centre", F.lit(number)).alias("cell"), "centre", "rid", "n", F.col("linked").alias("aside")).distinct()
-    return left, materialize(aside, "aside")
+    aside = materialize(aside, "aside")
+    discard(met, most)
+    return left, aside
 
 
 def _alike(n: Column, m: Column) -> Column:
@@ -342,10 +346,11 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame, links: _Li
     kinds = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("aside").alias("aside"), F.count("*").alias("size"))
     kinds = materialize(kinds.where("lo <> hi AND aside").select("cell", "size"), "kinds")
     mixed = join_by_cells(placed, kinds, ["cell"], F.col("rid"), heavy_keys(kinds, ["cell"], "size", placed.count()), "left_semi")
-    mixed = materialize(mixed.join(sequences, "rid"), "mixed")
+    mixed = materialize(mixed, "mixed")
+    discard(placed)
     common = _commonness(sequences.join(mixed.select("rid").distinct(), "rid"))
     hub = sequences.select(F.col("rid").alias("centre"), F.col("seq").alias("hub"))
-    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).select("cell", "rid", "n", "root", _first_words(F.col("seq"), F.col("hub"), common, mixed.sparkSession).alias("words"))
+    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).join(sequences, "rid").select("cell", "rid", "n", "root", _first_words(F.col("seq"), F.col("hub"), common, mixed.sparkSession).alias("words"))
     # a large cell's documents are spread over tasks before their words are
     spread = begun.repartition(partitions(begun), "rid", "cell").select("cell", "rid", "n", "root", F.posexplode("words").alias("p", "g"))
     prefix = materialize(spread, "prefixes")
@@ -401,7 +406,9 @@ def _members(base: DataFrame) -> DataFrame:
     total = base.agg(F.sum(F.size("sketches"))).first()[0] or 0
     members = materialize(join_by_cells(spread, shared, ["bucket"], F.col("rid"), heavy_keys(shared, ["bucket"], "size", total)), "buckets")
     scores = members.groupBy("rid").agg(F.sum("size").alias("score"))
-    return materialize(members.drop("size").join(scores, "rid").withColumn("centre", F.lit(None).cast("long")), "members")
+    scored = materialize(members.drop("size").join(scores, "rid").withColumn("centre", F.lit(None).cast("long")), "members")
+    discard(shared, members)
+    return scored
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -411,11 +418,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumns(_address(F.col("text")))
     rows = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "k1", "k2", _sketches(F.col("text")).alias("s"))
-    rows = materialize(rows.select("rid", "doc_id", "k1", "k2", "s.*"), "sketches")
+    sketched = materialize(rows.select("rid", "doc_id", "k1", "k2", "s.*"), "sketches")
+    rows = materialize(sketched.select("rid", "doc_id", "k1", "k2"), "rows")
     copies = materialize(rows.groupBy("k1", "k2").agg(F.min("rid").alias("copy_of"), F.count("*").alias("copies")), "copies")
-    base = rows.join(copies.select(F.col("copy_of").alias("rid")), "rid", "left_semi")
+    base = sketched.join(copies.select(F.col("copy_of").alias("rid")), "rid", "left_semi")
 
     members = _members(base)
+    discard(sketched)
     wanted = members.select("rid").distinct().join(rows.select("rid", "doc_id", "k1", "k2"), "rid")
     texts = source.join(wanted, [source.doc_id.eqNullSafe(wanted.doc_id), source.k1 == wanted.k1, source.k2 == wanted.k2]).select(wanted.rid, "text").dropDuplicates(["rid"])
     sequences = materialize(texts.select("rid", _sequence(F.col("text")).alias("seq")), "sequences")
