@@ -5,7 +5,8 @@ from it, into blocks of bounded size: rings of a ball. A block is one row with i
 packed. First each block is compared with itself and the rings around its events, which
 bounds how far the kth neighbour of each event can be. By the triangle inequality a block can
 hold a nearer one only if its ring comes within that bound of the event; the remaining pairs of
-blocks follow from it, and only they are joined and compared. Of identical events only the
+blocks follow from it, and only they are joined and compared: a task holds one block and reads the
+others past it. (In many dimensions bounds tell little apart, and the pairs of blocks grow with the square.) Of identical events only the
 k + 1 of least id take part, which is all that can be a neighbour; the others have the first k of
 them. Neither events nor blocks reach the driver; what is broadcast are pivots, at most ``PIVOTS``.
 
@@ -27,7 +28,7 @@ from eventmill.plans.scratch import discard, materialize
 from eventmill.plans.skew import partitions, skew_join
 
 #: Events of a block at most, pivots at most, and rings on either side that give the first bound.
-BLOCK, PIVOTS, AROUND = 2048, 1024, 1
+BLOCK, PIVOTS, AROUND = 4096, 1024, 1
 #: What rounding may add to a bound.
 SLACK = 1e-9
 _BLOCK = "part int, k int, pivot int, low double, high double, n int, ids binary, x binary"
@@ -101,25 +102,31 @@ def _blocks(rows: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
     return out
 
 
-def _compared(pairs: DataFrame, k: int) -> DataFrame:
-    """``part, k, at, id, neighbour, square`` of the block pairs: rows with ``ids, x``, ``bounds`` and ``other_ids, other_x``."""
+def _compared(pairs: DataFrame, blocks: DataFrame, bounds: DataFrame | None, k: int) -> DataFrame:
+    """``part, k, at, id, neighbour, square`` of the block pairs ``part, k, other_part, other_k``.
+
+    Each block comes before the others that it meets, with the ``bounds`` of its events if there are any.
+    """
+    own = blocks.select("part", "k", "ids", "x") if bounds is None else blocks.select("part", "k", "ids", "x").join(bounds.select("part", "k", "bounds"), ["part", "k"])
+    first = own.select("part", "k", F.lit(0).alias("turn"), "ids", "x", F.lit(None).cast("binary").alias("bounds") if bounds is None else F.col("bounds"))
+    others = blocks.select(F.col("part").alias("other_part"), F.col("k").alias("other_k"), "ids", "x")
+    met = pairs.join(others, ["other_part", "other_k"]).select("part", "k", F.lit(1).alias("turn"), "ids", "x", F.lit(None).cast("binary").alias("bounds"))
+    dealt = first.unionByName(met).repartition("part", "k").sortWithinPartitions("part", "k", "turn")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = x = bound = None
         for b in batches:
             for r in b.itertuples(index=False):
-                ids, others = np.frombuffer(r.ids, np.int64), np.frombuffer(r.other_ids, np.int64)
-                x, y = np.frombuffer(r.x).reshape(len(ids), -1), np.frombuffer(r.other_x).reshape(len(others), -1)
-                bound = np.full(len(ids), np.inf) if r.bounds is None else np.frombuffer(r.bounds)
-                row, neighbour, square = closest(x, ids, y, others, k, bound)
+                theirs = np.frombuffer(r.ids, np.int64)
+                y = np.frombuffer(r.x).reshape(len(theirs), -1)
+                if r.turn == 0:
+                    ids, x = theirs, y
+                    bound = np.full(len(ids), np.inf) if r.bounds is None else np.frombuffer(r.bounds)
+                    continue
+                row, neighbour, square = closest(x, ids, y, theirs, k, bound)
                 yield pd.DataFrame({"part": np.int32(r.part), "k": np.int32(r.k), "at": row.astype(np.int32), "id": ids[row], "neighbour": neighbour, "square": square})
 
-    return pairs.mapInPandas(search, "part int, k int, at int, id long, neighbour long, square double")
-
-
-def _paired(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``pairs(part, k, other_part, other_k, bounds)`` with the features of both blocks."""
-    others = blocks.select(F.col("part").alias("other_part"), F.col("k").alias("other_k"), F.col("ids").alias("other_ids"), F.col("x").alias("other_x"))
-    return pairs.join(blocks.select("part", "k", "ids", "x"), ["part", "k"]).join(others, ["other_part", "other_k"])
+    return dealt.mapInPandas(search, "part int, k int, at int, id long, neighbour long, square double")
 
 
 def nearest_neighbours(events: DataFrame, id_col: str, features: Column, k: int, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
@@ -130,7 +137,7 @@ def nearest_neighbours(events: DataFrame, id_col: str, features: Column, k: int,
     copy = F.row_number().over(Window.partitionBy("x").orderBy("id"))  # a task hands on k + 1 rows of each at most
     rows = materialize(every.withColumn("copy", copy).where(F.col("copy") <= k + 1), "told_apart")
     n = rows.count()
-    near = _nearest(rows.select("id", "x"), k, block, pivots or min(PIVOTS, -(-4 * n // block)))
+    near = _nearest(rows.select("id", "x"), k, block, pivots or min(PIVOTS, -(-n // block)))
     rest = every.join(rows.select("id"), "id", "left_anti")
     if rest.isEmpty():
         return near
@@ -149,9 +156,9 @@ def _nearest(rows: DataFrame, k: int, block: int, wanted: int) -> DataFrame:
     near = blocks.select("part", "k", "pivot", F.row_number().over(Window.partitionBy("pivot").orderBy("part", "k")).alias("ring"))  # a row a block
     near = materialize(near, "rings")
     beside = near.select("part", "k", "pivot", F.explode(F.sequence(F.col("ring") - AROUND, F.col("ring") + AROUND)).alias("ring"))
-    first = beside.join(near.select(F.col("part").alias("other_part"), F.col("k").alias("other_k"), "pivot", "ring"), ["pivot", "ring"]).select("part", "k", "other_part", "other_k", F.lit(None).cast("binary").alias("bounds"))
+    first = beside.join(near.select(F.col("part").alias("other_part"), F.col("k").alias("other_k"), "pivot", "ring"), ["pivot", "ring"]).select("part", "k", "other_part", "other_k")
     first = materialize(first, "pairs")
-    found = materialize(_compared(_paired(first, blocks), k), "found")
+    found = materialize(_compared(first, blocks, None, k), "found")
 
     kth = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("square", "neighbour"))).where(F.col("rank") == k).select("part", "k", "at", F.sqrt("square").alias("far"))
     bounds = kth.groupBy("part", "k").agg(F.collect_list(F.struct("at", "far")).alias("far"))  # a block's events
@@ -176,8 +183,8 @@ def _nearest(rows: DataFrame, k: int, block: int, wanted: int) -> DataFrame:
     wide = told.select("part", "k", F.posexplode(F.arrays_zip("least", "most")).alias("pivot", "z")).select("part", "k", "pivot", "z.*")
     rings = blocks.select("pivot", "low", "high", F.col("part").alias("other_part"), F.col("k").alias("other_k"))
     pairs = wide.join(rings, "pivot").where((F.col("high") >= F.col("least")) & (F.col("low") <= F.col("most"))).select("part", "k", "other_part", "other_k")
-    pairs = pairs.join(first.drop("bounds"), ["part", "k", "other_part", "other_k"], "left_anti").join(told.select("part", "k", "bounds"), ["part", "k"])
-    rest = _compared(_paired(materialize(pairs, "pairs"), blocks), k)
+    pairs = materialize(pairs.join(first, ["part", "k", "other_part", "other_k"], "left_anti"), "pairs")
+    rest = _compared(pairs, blocks, told, k)
     every = found.select("id", "neighbour", "square").unionByName(rest.select("id", "neighbour", "square"))
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("square", "neighbour"))).where(F.col("rank") <= k)
     return materialize(ranked.select("id", "neighbour", "rank"), "neighbours")
