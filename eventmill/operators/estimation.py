@@ -9,11 +9,9 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventmill.functions.columns import finite, is_finite, linear_unmix, tempered_root
-from eventmill.functions.scales import NaturalSpline, biex_table
+from eventmill.functions.columns import finite, is_finite, tempered_root
 from eventmill.operators.comparison import linear_fits
 from eventmill.plans.joins import null_safe_join
 from eventmill.plans.order_statistics import percentiles
@@ -159,122 +157,57 @@ def trimmed_pairs(rows: DataFrame, keys: list[str], x: str, y: str, fraction: fl
     return rows.where(kept).drop("n", "__x", "__y", "__tied", "__few", "__enough", *[f"{p}_{a}" for p in ("lo", "hi", "flat", "count") for a in (x, y)])
 
 
+#: Huber's constant, the median residual of a normal variable, and the change of residuals that settles a line.
+HUBER, NORMAL_MEDIAN, SETTLED = 1.345, 0.6745, 1e-4
+
+
 def huber_lines(rows: DataFrame, keys: list[str], x: str, y: str, rounds: int = 100) -> DataFrame:
     """``keys, n, intercept, slope, iterations, converged``: lines with Huber's weights, k 1.345 times a scale from the median residual.
 
-    Each round is one pass over all groups: medians of residuals, then weighted moments. Groups that have settled keep
+    A round takes the medians of residuals and then one sum of weighted moments, over all groups at once; how far residuals have moved
+    follows from the lines and the moments of the rows, which do not change. Groups that have settled keep
     their line; those that do not in ``rounds`` get the least-squares line.
     """
-    z = rows.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    line = z.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    line = materialize(line.withColumns({"slope0": F.col("slope"), "intercept0": F.col("intercept"), "iterations": F.lit(0), "settled": F.col("slope").isNull()}), "lines")
+    z = materialize(rows.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
+    fixed = z.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"))
+    slope = F.col("vxy") / F.nullif(F.col("vx"), F.lit(0.0))
+    # height: the line at the mean of x
+    line = fixed.withColumns({"slope": slope, "height": F.when(slope.isNotNull(), F.col("my")), "iterations": F.lit(0), "settled": slope.isNull()})
+    line = materialize(line.withColumn("slope0", F.col("slope")), "lines")
     for k in range(1, rounds + 1):
-        open_lines = line.where("NOT settled")
-        if open_lines.isEmpty():
+        still = line.where("NOT settled")
+        if still.isEmpty():
             break
-        r = z.join(open_lines.select(*keys, "slope", "intercept"), keys).withColumn("r", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
-        mid = percentiles(r, keys, F.abs("r"), [0.5]).select(*keys, (F.col("q")[0] / 0.6745).alias("scale"))
-        r = r.join(mid, keys)
-        w = F.when(F.col("scale") > 0, F.least(F.lit(1.0), 1.345 * F.col("scale") / F.greatest(F.abs("r"), F.lit(1e-300)))).otherwise(1.0)
-        r = r.withColumn("w", w)
-        s = r.groupBy(*keys).agg(F.max("scale").alias("scale"), F.sum("w").alias("sw"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"))
-        c = r.join(s.select(*keys, "mx", "my"), keys)
         dx = F.col("x") - F.col("mx")
-        fit = c.groupBy(*keys).agg((F.sum(F.col("w") * dx * (F.col("y") - F.col("my"))) / F.nullif(F.sum(F.col("w") * dx * dx), F.lit(0.0))).alias("new_slope"), F.max("mx").alias("mx"), F.max("my").alias("my"))
-        fit = fit.withColumn("new_intercept", F.col("my") - F.col("new_slope") * F.col("mx"))
-        moved = c.join(fit.select(*keys, "new_slope", "new_intercept"), keys).withColumn("after", F.col("y") - F.col("new_intercept") - F.col("new_slope") * F.col("x"))
-        change = moved.groupBy(*keys).agg(F.sqrt(F.sum(F.pow(F.col("after") - F.col("r"), F.lit(2.0))) / F.greatest(F.lit(1e-20), F.sum(F.col("r") * F.col("r")))).alias("change"), F.max("scale").alias("scale"), F.max("new_slope").alias("new_slope"), F.max("new_intercept").alias("new_intercept"))
-        told = line.join(change, keys, "left")
-        still = ~F.col("settled")
+        r = null_safe_join(z, still.select(*keys, "mx", "slope", "height"), keys).withColumn("r", F.col("y") - F.col("height") - F.col("slope") * dx)
+        scale = percentiles(r, keys, F.abs("r"), [0.5]).select(*keys, (F.col("q")[0] / NORMAL_MEDIAN).alias("scale"))
+        w = F.when(F.col("scale") > 0, F.least(F.lit(1.0), HUBER * F.col("scale") / F.greatest(F.abs("r"), F.lit(1e-300)))).otherwise(1.0)
+        m = null_safe_join(r, scale, keys).select(*keys, "scale", w.alias("w"), dx.alias("u"), F.col("r"))
+        # the line of residuals, which adds to the last one
+        s = m.groupBy(*keys).agg(F.max("scale").alias("scale"), *[F.sum(e).alias(n) for n, e in {"s0": F.col("w"), "s1": F.col("w") * F.col("u"), "s2": F.col("w") * F.col("u") * F.col("u"), "t0": F.col("w") * F.col("r"), "t1": F.col("w") * F.col("u") * F.col("r")}.items()])
+        more = (F.col("t1") - F.col("s1") * F.col("t0") / F.col("s0")) / F.nullif(F.col("s2") - F.col("s1") * F.col("s1") / F.col("s0"), F.lit(0.0))
+        step = s.select(*keys, "scale", more.alias("more"), ((F.col("t0") - more * F.col("s1")) / F.col("s0")).alias("lift"))
+        told = null_safe_join(line, step, keys, "left")
+        open_ = ~F.col("settled")
+        off = F.col("my") - F.col("height")
+        before = off * off + F.col("vy") - 2 * F.col("slope") * F.col("vxy") + F.col("slope") * F.col("slope") * F.col("vx")
+        change = F.sqrt((F.col("lift") * F.col("lift") + F.col("more") * F.col("more") * F.col("vx")) / F.greatest(F.lit(1e-20) / F.col("n"), before))
         exact = F.col("scale") <= 2.220446049250313e-16 * F.greatest(F.lit(1.0), F.abs("slope"))
+        moves = open_ & ~exact & F.col("more").isNotNull()
         line = materialize(
             told.select(
-                *keys, "n",
-                F.when(still & ~exact, F.col("new_slope")).otherwise(F.col("slope")).alias("slope"),
-                F.when(still & ~exact, F.col("new_intercept")).otherwise(F.col("intercept")).alias("intercept"),
-                "slope0", "intercept0",
-                F.when(still, k).otherwise(F.col("iterations")).alias("iterations"),
-                (F.col("settled") | exact | (F.col("change") <= 1e-4)).alias("settled"),
+                *keys, "n", "mx", "my", "vx", "vy", "vxy", "slope0",
+                F.when(moves, F.col("slope") + F.col("more")).otherwise(F.col("slope")).alias("slope"),
+                F.when(moves, F.col("height") + F.col("lift")).otherwise(F.col("height")).alias("height"),
+                F.when(open_, k).otherwise(F.col("iterations")).alias("iterations"),
+                (F.col("settled") | exact | F.coalesce(change <= SETTLED, F.lit(False))).alias("settled"),
             ),
             "lines",
         )
-    return line.select(*keys, "n", F.when(F.col("settled"), F.col("intercept")).otherwise(F.col("intercept0")).alias("intercept"), F.when(F.col("settled"), F.col("slope")).otherwise(F.col("slope0")).alias("slope"), "iterations", F.col("settled").alias("converged"))
-
-
-def _regressions(events: DataFrame, control: str, detectors: list[str], matrix: np.ndarray, trim: float, biex: bool, top: float) -> np.ndarray:
-    """Slopes of every detector on the stain of each control, on events compensated by ``matrix``: the error of each coefficient."""
-    clean = linear_unmix([F.col(d) for d in detectors], np.linalg.inv(matrix))
-    rows = events.select(F.col(control).alias("control"), *[c.alias(d) for c, d in zip(clean, detectors)])
-    if biex:
-        raw, at = biex_table(single=True, steps=256, top=top)
-        spline = NaturalSpline(raw, at)
-
-        @F.pandas_udf("double")
-        def scaled(v: pd.Series) -> pd.Series:
-            return pd.Series(spline(v.to_numpy(dtype=float)))
-
-        rows = rows.select("control", *[scaled(F.col(d)).alias(d) for d in detectors])
-    own = F.when(F.lit(False), F.lit(None).cast("double"))
-    for d in detectors:
-        own = own.when(F.col("control") == d, F.col(d))
-    long = rows.select("control", own.alias("x"), F.explode(F.array(*[F.struct(F.lit(d).alias("secondary"), F.col(d).alias("y")) for d in detectors])).alias("c")).select("control", "x", "c.*").where("secondary <> control")
-    keys = ["control", "secondary"]
-    pairs = materialize(long.where("x IS NOT NULL"), "pairs")
-    if trim > 0:
-        pairs = materialize(trimmed_pairs(pairs, keys, "x", "y", trim), "pairs")
-    out = np.zeros(matrix.shape)
-    for r in huber_lines(pairs, keys, "x", "y").collect():  # detectors squared
-        out[detectors.index(r.control), detectors.index(r.secondary)] = r.slope
-    return out
-
-
-def refined_spillover(events: DataFrame, control: str, detectors: list[str], start: np.ndarray | None = None, rounds: int = 10, damping: float = 1.0, tolerance: float = 1e-4, trim: float = 0.01, biex_rounds: int = 0, top: float = 262144.0) -> tuple[np.ndarray, list[float]]:
-    """The spillover matrix that leaves no slope between a control's stain and the other detectors, and the largest slope of each round.
-
-    A control is named by its detector. Each round compensates, fits a robust line to every pair in one job, and moves
-    the matrix by damping x error x matrix, its rows scaled to 1 on the diagonal; the damping halves when the error
-    grows. Rounds on the refinement's biexponential scale may follow.
-    """
-    matrix = np.eye(len(detectors)) if start is None else np.asarray(start, float).copy()
-    history: list[float] = []
-    for k in range(rounds + biex_rounds):
-        error = _regressions(events, control, detectors, matrix, trim, k >= rounds, top)
-        worst = float(np.abs(error).max())
-        if history and worst > history[-1]:
-            damping /= 2
-        history.append(worst)
-        if worst <= tolerance:
-            if k >= rounds or not biex_rounds:
-                break
-            continue
-        matrix = matrix + damping * (error @ matrix)
-        matrix /= np.diag(matrix)[:, None]
-    return matrix, history
-
-
-def refined_signatures(events: DataFrame, control: str, controls: list[str], detectors: list[str], rounds: int = 10, tolerance: float = 1e-4) -> np.ndarray:
-    """Spectral signatures, outputs by detectors: each round unmixes by least squares, fits the residue of every detector
-    on the control's own output, and adds it to the signature, scaled to a peak of 1."""
-    rows = events.where(F.col(control).isin(*controls))
-    med = rows.groupBy(F.col(control).alias("control")).agg(*[F.percentile(d, 0.98).alias(d) for d in detectors])
-    held = {r["control"]: np.array([r[d] for d in detectors], float) for r in med.collect()}
-    signatures = np.array([held[c] / held[c].max() for c in controls])
-    for _ in range(rounds):
-        unmixed = linear_unmix([F.col(d) for d in detectors], np.linalg.pinv(signatures))
-        own = F.when(F.lit(False), F.lit(None).cast("double"))
-        parts = {d: F.col(d) for d in detectors}
-        for c, u in zip(controls, unmixed):
-            own = own.when(F.col(control) == c, u)
-        told = rows.select(F.col(control).alias("control"), own.alias("x"), F.explode(F.array(*[F.struct(F.lit(d).alias("detector"), v.alias("v")) for d, v in parts.items()])).alias("c")).select("control", "x", "c.*")
-        moved = np.zeros(signatures.shape)
-        for r in huber_lines(told.where("x IS NOT NULL"), ["control", "detector"], "x", "v").collect():  # outputs x detectors
-            moved[controls.index(r.control), detectors.index(r.detector)] = r.slope
-        moved /= moved.max(axis=1, keepdims=True)
-        change = float(np.abs(moved - signatures).max())
-        signatures = moved
-        if change <= tolerance:
-            break
-    return signatures
+    own = F.col("settled") & F.col("slope").isNotNull()
+    final = F.when(own, F.col("slope")).otherwise(F.col("slope0"))
+    at_mean = F.when(own, F.col("height")).otherwise(F.col("my"))
+    return line.select(*keys, "n", (at_mean - final * F.col("mx")).alias("intercept"), final.alias("slope"), "iterations", F.col("settled").alias("converged"))
 
 
 def embedded_matrix(keyword: Column) -> Column:

@@ -84,7 +84,9 @@ def polygon(x: Column, y: Column, vertices: list[tuple[float, float]], written_o
 
 
 def polygon_with_holes(x: Column, y: Column, outer: list[tuple[float, float]], holes: list[list[tuple[float, float]]]) -> Column:
-    return reduce(lambda a, h: a & ~polygon(x, y, h), holes, polygon(x, y, outer))
+    # many sides in one expression stay small as arrays
+    written_out = WRITTEN_OUT if len(outer) + sum(map(len, holes)) <= WRITTEN_OUT else 0
+    return reduce(lambda a, h: a & ~polygon(x, y, h, written_out), holes, polygon(x, y, outer, written_out))
 
 
 def ellipse(x: Column, y: Column, center: tuple[float, float], radii: tuple[float, float], angle: float = 0.0) -> Column:
@@ -120,40 +122,46 @@ def _arm(angle: float) -> tuple[float, float]:
     return math.cos(angle), math.sin(angle)
 
 
+def _turn(dx, dy, size, when):
+    """How far a direction is turned from the first axis, 0 to 4: it grows with the angle, and is whole for cardinal ones."""
+    part = dy / size
+    return when((dx >= 0) & (dy >= 0), part, when(dx < 0, 2.0 - part, 4.0 + part))
+
+
 def spider_label(x: Column, y: Column, center: tuple[float, float], scale: tuple[float, float] = (1.0, 1.0), angles: tuple[float, ...] = QUARTERS) -> Column:
     """The sector of a point between four arms from a centre, by angles in radians on axes of ``scale``; NULL if not finite.
 
-    Each point has one label: an arm and the centre belong to a stated sector.
+    Each point has one label: an arm and the centre belong to a stated sector. The sector is the rank of the point's
+    direction among the arms, counted counter-clockwise from the first.
     """
     dx, dy = (x - center[0]) / scale[0], (y - center[1]) / scale[1]
-    arms = [_arm(a) for a in angles]
-    turn = [dy * c - dx * s for c, s in arms]  # above 0 counter-clockwise of the arm
-    ahead = [dx * c + dy * s > 0 for c, s in arms]
+    plain = lambda condition, a, b: a if condition else b
+    arms = [_turn(c, s, abs(c) + abs(s), plain) for c, s in map(_arm, angles)]
+    own = _turn(dx, dy, F.nullif(F.abs(dx) + F.abs(dy), F.lit(0.0)), lambda condition, a, b: F.when(condition, a).otherwise(b))
+    past = F.pmod(own - arms[0], F.lit(4.0))
+    ahead = [(a - arms[0]) % 4.0 for a in arms]
     label = F.when((dx == 0) & (dy == 0), CENTRE_OWNER)
-    for k, owner in enumerate(ARM_OWNERS):
-        label = label.when((turn[k] == 0) & ahead[k], owner)
-    for k, sector in enumerate(SECTORS):
-        after = (k + 1) % 4
-        left_of, right_of = turn[k] > 0, turn[after] < 0
-        narrow = (angles[after] - angles[k]) % (2 * math.pi) < math.pi
-        label = label.when((left_of & right_of) if narrow else (left_of | right_of), sector)
+    for k in reversed(range(4)):
+        label = label.when(own == arms[k], ARM_OWNERS[k]).when(past >= ahead[k], SECTORS[k])
     return F.when(is_finite(x) & is_finite(y), label)
 
 
 def curly_label(x: Column, y: Column, center: tuple[float, float], coefficients: tuple[float, float] = (1.0, 1.0), scaled: tuple[Column, ...] = ()) -> Column:
     """Quadrants, numbered as in ``quadrant``, whose thresholds rise with the root of the other intensity; NULL if not finite.
 
-    ``coefficients`` are of the threshold of x and of y. ``scaled`` are the axes as displayed, which must be finite too.
+    ``coefficients``, not negative, are of the threshold of x and of y. ``scaled`` are the axes as displayed, which must be finite too.
     """
+    if min(coefficients) < 0:
+        raise ValueError("thresholds rise: their coefficients are not negative")
 
-    def rise(c: Column, at: float) -> Column:
-        base = max(at, 0.0)
-        over = F.greatest(c, F.lit(base))
-        roots = F.sqrt(over) + math.sqrt(base)
-        return F.when(over > base, (over - base) / F.nullif(roots, F.lit(0.0))).otherwise(0.0)
+    def reaches(v: Column, at: float, k: float, other: Column, other_at: float) -> Column:
+        """v - at >= k (sqrt(other) - sqrt(base)), with the root of ``other`` alone on its side and both sides squared."""
+        base = max(other_at, 0.0)
+        left = (v - at) + k * math.sqrt(base)
+        return F.when(other <= base, v >= at).otherwise((left >= 0) & (left * left >= k * k * other))
 
-    right = x - center[0] >= coefficients[0] * rise(y, center[1])
-    upper = y - center[1] >= coefficients[1] * rise(x, center[0])
+    right = reaches(x, center[0], coefficients[0], y, center[1])
+    upper = reaches(y, center[1], coefficients[1], x, center[0])
     label = F.when(~right & upper, 1).when(right & upper, 2).when(right, 3).otherwise(4)
     return F.when(_all([is_finite(c) for c in (x, y, *scaled)]), label)
 

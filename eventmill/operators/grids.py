@@ -158,11 +158,47 @@ def connected_region(included: np.ndarray, seed: tuple[int, int]) -> np.ndarray:
         region = grown
 
 
-def density_gate(events: DataFrame, x: Column, y: Column, bounds: tuple[float, float, float, float], bins: int, coverage: float, seed: tuple[float, float], sigma: float = 0.0) -> Column:
-    """Membership in the highest-density region of a share of events that holds a seed point, its holes left out.
+def region_rings(region: np.ndarray, bounds: tuple[float, float, float, float]) -> tuple[list[tuple[float, float]], list[list[tuple[float, float]]]]:
+    """The outer ring and the holes of cells [by, bx] that hang together side by side, as corners in the axes' units.
 
-    A region is a set of cells: the one that holds the seed and those side by side with it.
+    The sides between a cell of the region and one outside are laid end to end, the region on their left. Where two cells touch
+    at a corner alone, a ring stays with its cell, so rings do not cross. Straight corners are left out.
     """
+    rows, columns = region.shape
+    padded = np.pad(region, 1)
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for j, i in zip(*np.nonzero(region), strict=True):
+        sides = (((i, j), (i + 1, j), (j, i + 1)), ((i + 1, j), (i + 1, j + 1), (j + 1, i + 2)), ((i + 1, j + 1), (i, j + 1), (j + 2, i + 1)), ((i, j + 1), (i, j), (j + 1, i)))
+        for start, end, neighbour in sides:
+            if not padded[neighbour]:
+                after.setdefault((int(start[0]), int(start[1])), []).append((int(end[0]), int(end[1])))
+    rings = []
+    while after:
+        at = next(iter(after))
+        ring, way = [], (0, 0)
+        while at in after:
+            ways = after[at]
+            # the sharpest turn to the left keeps to the same cell
+            turn = max(range(len(ways)), key=lambda k: way[0] * (ways[k][1] - at[1]) - way[1] * (ways[k][0] - at[0]))
+            to = ways.pop(turn)
+            if not ways:
+                del after[at]
+            step = (to[0] - at[0], to[1] - at[1])
+            if step != way:
+                ring.append(at)
+            at, way = to, step
+        rings.append(ring)
+    width, height = (bounds[1] - bounds[0]) / columns, (bounds[3] - bounds[2]) / rows
+    area = [sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]], strict=True)) for r in rings]
+    real = [[(bounds[0] + x * width, bounds[2] + y * height) for x, y in r] for r in rings]
+    outer = [r for r, a in zip(real, area, strict=True) if a > 0]
+    if len(outer) != 1:
+        raise ValueError("the cells do not hang together")
+    return outer[0], [r for r, a in zip(real, area, strict=True) if a < 0]
+
+
+def dense_region(events: DataFrame, x: Column, y: Column, bounds: tuple[float, float, float, float], bins: int, coverage: float, seed: tuple[float, float], sigma: float = 0.0) -> np.ndarray:
+    """The cells [by, bx] of the highest-density region of a share of events that hang together with a seed point's."""
     cells = grid_counts(events, [], x, y, bounds, bins)
     value = "n"
     if sigma > 0:
@@ -173,12 +209,28 @@ def density_gate(events: DataFrame, x: Column, y: Column, bounds: tuple[float, f
         raise ValueError("the view holds too few events for this coverage")
     grid = to_array(cells, bins, value)
     at = tuple(min(bins - 1, max(0, int((v - lo) / (hi - lo) * bins))) for v, lo, hi in ((seed[1], *bounds[2:]), (seed[0], *bounds[:2])))
-    region = connected_region(grid >= level.threshold, at)
+    return connected_region(grid >= level.threshold, at)
+
+
+def density_gate(events: DataFrame, x: Column, y: Column, bounds: tuple[float, float, float, float], bins: int, coverage: float, seed: tuple[float, float], sigma: float = 0.0) -> Column:
+    """Membership in the cells of ``dense_region``."""
+    region = dense_region(events, x, y, bounds, bins, coverage, seed, sigma)
     inside = [int(j) * bins + int(i) for j, i in zip(*np.nonzero(region))]
     where = cell(y, bounds[2], bounds[3], bins) * bins + cell(x, bounds[0], bounds[1], bins)
     return F.coalesce(where.isin(inside), F.lit(False))
 
 
+def density_polygon(events: DataFrame, x: Column, y: Column, bounds: tuple[float, float, float, float], bins: int, coverage: float, seed: tuple[float, float], sigma: float = 0.0) -> tuple[list[tuple[float, float]], list[list[tuple[float, float]]]]:
+    """``dense_region`` as outer ring and holes, for ``gates.polygon_with_holes``: a gate that can be kept, shown and copied.
+
+    It holds the events of the cells, but for such that lie exactly on a side.
+    """
+    region = dense_region(events, x, y, bounds, bins, coverage, seed, sigma)
+    if not region.any():
+        raise ValueError("the seed lies outside the region")
+    return region_rings(region, bounds)
+
+
 def magnetic_shift(events: DataFrame, shape: Callable[[Column, Column], Column], x: Column, y: Column, center: tuple[float, float], size: tuple[float, float], most_shift: float, divisions: int = 32) -> tuple[float, float]:
     """How far a gate's shape moves to the nearest local maximum of its own counts, within ``most_shift`` sizes; (0, 0) if none is better.
 

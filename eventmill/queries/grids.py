@@ -110,3 +110,21 @@ def density_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lineitem(spark, sf_dir)
     inside = D.density_gate(rows, F.col("x"), F.col("y"), (1.0, 50.0, 0.0, 120.0), 24, 0.5, (10.0, 12.0))
     return rows.groupBy("sample").agg(F.count_if(inside).alias("n"))
+
+
+@registered("""
+WITH RECURSIVE e AS (SELECT event_type, CAST(least(floor((value + 0.003) / 491 * 16), 15) AS INT) AS cx, CAST(least(floor((user_id - 0.3) / 150.6 * 16), 15) AS INT) AS cy FROM events WHERE value BETWEEN -0.003 AND 490.997 AND user_id BETWEEN 0.3 AND 150.9),
+c AS (SELECT cx, cy, count(*) AS n FROM e GROUP BY 1, 2), l AS (SELECT n, sum(n * k) OVER (ORDER BY n DESC) AS run FROM (SELECT n, count(*) AS k FROM c GROUP BY 1)),
+t AS (SELECT max(n) AS level FROM l WHERE run >= 0.6 * (SELECT count(*) FROM events WHERE isfinite(value)) - 1e-9),
+i AS (SELECT cx, cy FROM c, t WHERE n >= level),
+r(cx, cy) AS (SELECT cx, cy FROM i WHERE (cx, cy) = (SELECT (cx, cy) FROM c ORDER BY n DESC, cy, cx LIMIT 1) UNION SELECT i.cx, i.cy FROM r JOIN i ON abs(i.cx - r.cx) + abs(i.cy - r.cy) = 1)
+SELECT event_type, count(*) AS n, count(r.cx) AS inside FROM e LEFT JOIN r USING (cx, cy) GROUP BY 1""")
+def density_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events inside the rings of the dense region around the fullest cell."""
+    e = _table(spark, sf_dir, "events")
+    x, y, bounds = F.col("value"), F.col("user_id").cast("double"), (-0.003, 490.997, 0.3, 150.9)
+    top = D.grid_counts(e, [], x, y, bounds, 16).orderBy(F.desc("n"), "by", "bx").first()
+    seed = (bounds[0] + (top["bx"] + 0.5) * 491 / 16, bounds[2] + (top["by"] + 0.5) * 150.6 / 16)
+    outer, holes = D.density_polygon(e, x, y, bounds, 16, 0.6, seed)
+    inside = G.polygon_with_holes(x, y, outer, holes)
+    return e.groupBy("event_type").agg(F.count_if(x.between(*bounds[:2]) & y.between(*bounds[2:])).alias("n"), F.count_if(inside).alias("inside"))
