@@ -307,15 +307,16 @@ def _centre_round(members: DataFrame, links: _Links, number: int) -> tuple[DataF
     centres = members.groupBy("bucket").agg(best, F.count("*").alias("size")).where("size > 1")
     centres = materialize(centres.select("bucket", "size", F.col("c.rid").alias("centre"), F.col("c.n").alias("cn")), "centres")
     heavy = heavy_keys(centres, ["bucket"], "size", members.count())
-    put = materialize(join_by_cells(members.drop("centre"), centres.drop("size"), ["bucket"], F.col("rid"), heavy).where("rid <> centre"), "put")
-    links.add(put.where(_alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b")))
-    told = put.withColumns({"a": F.least("rid", "centre"), "b": F.greatest("rid", "centre")}).join(links.known, ["a", "b"], "left")
-    bound = F.coalesce("bound", F.least("n", "cn") / F.greatest("n", "cn"))
-    told = materialize(told.select("bucket", "centre", "rid", "n", "score", F.coalesce("linked", F.lit(False)).alias("linked"), bound.alias("bound")), "told")
-    left = materialize(told.where("not linked").select("bucket", "centre", "rid", "n", "score"), "left")
+    put = join_by_cells(members.drop("centre"), centres.drop("size"), ["bucket"], F.col("rid"), heavy).where("rid <> centre")
     # the same two documents meet in many buckets
-    met = materialize(told.select("centre", "rid", "n", "linked", "bound").distinct(), "compared")
-    discard(put, centres, told, members)
+    pairs = materialize(put.select("centre", "rid", "n", "cn").distinct(), "met")
+    links.add(pairs.where(_alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b")))
+    met = pairs.withColumns({"a": F.least("rid", "centre"), "b": F.greatest("rid", "centre")}).join(links.known, ["a", "b"], "left")
+    bound = F.coalesce("bound", F.least("n", "cn") / F.greatest("n", "cn"))
+    met = materialize(met.select("centre", "rid", "n", F.coalesce("linked", F.lit(False)).alias("linked"), bound.alias("bound")), "compared")
+    linked = met.where("linked").select("centre", "rid")
+    left = materialize(put.drop("cn").join(linked, ["centre", "rid"], "left_anti").select("bucket", "centre", "rid", "n", "score"), "left")
+    discard(pairs, centres, members)
     # distances to the centre of two linked documents differ by 1 - LEAST at most
     close = ~F.col("linked") & (F.col("bound") >= NEAR)
     most = met.groupBy("centre").agg(F.max(F.when(close, F.col("bound"))).alias("most"), F.count("*").alias("size")).where("most IS NOT NULL")
