@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventmill.plans.scratch import materialize
-
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -15,28 +13,30 @@ def partitions(df: DataFrame) -> int:
 EASY = 10_000
 
 
-def heavy_keys(counts: DataFrame, on: list[str], count: str, total: int) -> DataFrame | None:
-    """The keys with more than a quarter of a partition's share of ``total`` rows, with ``__parts``, the cells to cut each into.
+def heavy_keys(counts: DataFrame, on: list[str], count: str, total: int) -> dict[int, int] | None:
+    """The cells to cut each key into that has more than a quarter of a partition's share of ``total`` rows, by the key's hash.
 
     At most 4 x partitions keys can be so heavy, and their cells are 8 x partitions at most:
-    this is the proven bound of what is broadcast and replicated. None if there is no need to cut.
+    this is the proven bound of what the driver holds and of what is replicated. None if there is no need to cut.
     """
     if total <= EASY:
         return None
     most = max(1, total // (4 * partitions(counts)))
-    heavy = counts.where(F.col(count) > most).select(*on, F.ceil(F.col(count) / most).cast("int").alias("__parts"))
-    return materialize(heavy.coalesce(1), "heavy")
+    heavy = counts.where(F.col(count) > most).select(F.xxhash64(*on).alias("key"), F.ceil(F.col(count) / most).cast("int").alias("parts"))
+    return {r.key: r.parts for r in heavy.toLocalIterator()} or None
+
 
+def join_by_cells(many: DataFrame, one: DataFrame, on: list[str], salt: Column, heavy: dict[int, int] | None, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, at most one row a key, where ``heavy`` keys are dealt into cells by ``salt``.
 
-def join_by_cells(many: DataFrame, one: DataFrame, on: list[str], salt: Column, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one``, at most one row a key, where ``heavy`` keys are dealt into cells by ``salt``."""
-    if heavy is None or heavy.isEmpty():
+    Keys of one hash are cut alike on both sides, whether heavy or not.
+    """
+    if not heavy:
         return many.join(one, on, how)
-    heavy = F.broadcast(heavy)
-    cell = F.coalesce(F.pmod(F.xxhash64(salt), F.col("__parts")), F.lit(0)).cast("int")
-    cells = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))
-    dealt = many.join(heavy, on, "left").withColumn("__cell", cell).drop("__parts")
-    spread = one.join(heavy, on, "left").withColumn("__cell", cells).drop("__parts")
+    table = F.create_map(*[F.lit(v) for pair in heavy.items() for v in pair])
+    parts = F.coalesce(F.try_element_at(table, F.xxhash64(*on)), F.lit(1))
+    dealt = many.withColumn("__cell", F.pmod(F.xxhash64(salt), parts).cast("int"))
+    spread = one.withColumn("__cell", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(spread, [*on, "__cell"], how).drop("__cell")
 
 
