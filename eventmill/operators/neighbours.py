@@ -114,17 +114,33 @@ def _compared(pairs: DataFrame, blocks: DataFrame, bounds: DataFrame | None, k:
     dealt = first.unionByName(met).repartition("part", "k").sortWithinPartitions("part", "k", "turn")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = x = bound = None
+        name = ids = x = bound = None
+        best = none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # row, id and square of what is nearest so far
+
+        def told() -> pd.DataFrame:
+            row, neighbour, square = best
+            return pd.DataFrame({"part": np.int32(name[0]), "k": np.int32(name[1]), "at": row.astype(np.int32), "id": ids[row], "neighbour": neighbour, "square": square})
+
         for b in batches:
             for r in b.itertuples(index=False):
                 theirs = np.frombuffer(r.ids, np.int64)
                 y = np.frombuffer(r.x).reshape(len(theirs), -1)
                 if r.turn == 0:
-                    ids, x = theirs, y
-                    bound = np.full(len(ids), np.inf) if r.bounds is None else np.frombuffer(r.bounds)
+                    if name is not None:
+                        yield told()
+                    name, ids, x, best = (r.part, r.k), theirs, y, none
+                    bound = np.full(len(ids), np.inf) if r.bounds is None else np.frombuffer(r.bounds).copy()
                     continue
-                row, neighbour, square = closest(x, ids, y, theirs, k, bound)
-                yield pd.DataFrame({"part": np.int32(r.part), "k": np.int32(r.k), "at": row.astype(np.int32), "id": ids[row], "neighbour": neighbour, "square": square})
+                more = closest(x, ids, y, theirs, k, bound)
+                row, neighbour, square = (np.concatenate(v) for v in zip(best, more, strict=True))
+                order = np.lexsort((neighbour, square, row))
+                row, neighbour, square = row[order], neighbour[order], square[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(ids)))[row]
+                best = row[rank < k], neighbour[rank < k], square[rank < k]
+                full = rank == k - 1
+                bound[row[full]] = np.minimum(bound[row[full]], np.sqrt(square[full]))
+        if name is not None:
+            yield told()
 
     return dealt.mapInPandas(search, "part int, k int, at int, id long, neighbour long, square double")
 
