@@ -12,7 +12,8 @@ all labels. Words in fewer than ``LEAST`` sampled documents, and weights that th
 leaves at zero, are no features. Prediction reads whole texts.
 
 Defined results: a text that is null or has no word has the severity of an empty feature
-set; without labels every document has severity 0; repeated rows are scored each for itself.
+set; without labels every document has severity 0; repeated rows and null ids are scored each for itself;
+texts of any length are read whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +28,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmill.llm.bpe import Remembered
+from eventmill.llm.texts import pieces
 
 SAMPLE, LEAST, GRADES = 1500, 8, 3
 EPOCHS, RATE, L1, DECISION = 300, 0.05, 1e-4, 0.3
 
 _WORD = re.compile(r"\w+")
-_SLICE = re.compile(r"[\s\S]{1,1000000}\w*")
+_EDGE = re.compile(r"\W")
 
 
 def words(text: str | None) -> set[str]:
-    """The distinct words of the whole text, in lower case; long texts slice by slice."""
-    text = text or ""
-    if len(text) <= 1_000_000:
-        return set(_WORD.findall(text.lower()))
+    """The distinct words of the whole text, in lower case; a long text is lower-cased whole and then read in pieces."""
+    text = (text or "").lower()
     out: set[str] = set()
-    for m in _SLICE.finditer(text):
-        out.update(_WORD.findall(m[0].lower()))
+    for a, b in pieces(text, _EDGE):
+        out.update(_WORD.findall(text, a, b))
     return out
 
 

@@ -255,3 +255,44 @@ def test_sketches_meet_at_the_threshold(kind, how):
                 pairs += 1
                 met += bool(np.intersect1d(minhash.sketch(minhash.kmers(x)), minhash.sketch(minhash.kmers(y))).size)
     assert pairs > 60 and met >= 0.9 * pairs, (met, pairs)
+
+
+# --- toxicity
+
+
+def test_severities_equal_a_plain_evaluation(spark):
+    """Fitted on labelled rows, then each text scored by hand: features once each, three thresholds, expected severity."""
+    from eventmill.llm import toxicity
+
+    rng = random.Random(2)
+    clean, bad = [f"word{k}" for k in range(300)], [f"vile{k:02d}x" for k in range(12)]
+    rows, labels = [], []
+    for i in range(160):
+        toxic = i % 4 == 0
+        text = [rng.choice(clean) for _ in range(30)] + ([rng.choice(bad) for _ in range(rng.randint(2, 9))] if toxic else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text).title(), "s"))
+        labels.append((i, int(toxic)))
+    # \u03a3 at the end of a word is lower-cased by what follows, so slices must not be lower-cased for themselves
+    long = "\u0391" * 999_999 + "\u03a3.\u0391 VILE01X " + "word3 " * 50_000
+    rows += [(900, None, "s"), (901, "", "s"), (902, "...", "s"), (903, long, "s"), (None, "vile01x vile02x vile03x", "s"), (0, rows[0][1], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, severity string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit_documents(docs.where("doc_id <> 0 OR severity IS NOT NULL"), known)
+    assert model.weights and min(model.weights.values()) > 0 and model.thresholds == sorted(model.thresholds)
+
+    def plain(text):
+        found = set(re.findall(r"\w+", (text or "").lower()))
+        score = sum(model.weights.get(f, 0.0) for w in found for f in [w, *[f"{k}{w[:k]}" for k in (4, 5, 6) if len(w) >= k]])
+        up = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        each = [1 - up[0], up[0] - up[1], up[1] - up[2], up[2]]
+        return round(sum(k * p for k, p in enumerate(each)), 9), each.index(max(each)), round(up[0], 9), up[0] >= toxicity.DECISION
+
+    told = docs.select("doc_id", toxicity.predict(F.col("text"), model, spark).alias("p")).select("doc_id", "p.*").collect()
+    got = Counter((r.doc_id, round(r.severity, 9), r.grade, round(r.p_toxic, 9), r.p_toxic >= toxicity.DECISION) for r in told)
+    assert got == Counter((i, *plain(t)) for i, t, _ in rows)
+    assert toxicity.words(long) == set(re.findall(r"\w+", long.lower()))
+    whole = toxicity.severities(docs, known)
+    assert whole.count() == len(rows) and toxicity.severities(docs.limit(0), known).collect() == []
+    caught = {r.doc_id for r in whole.where("toxic").collect()}
+    assert len(caught & {i for i, y in labels if y}) >= 36 and not caught & {i for i, y in labels if not y}
