@@ -91,10 +91,10 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(None)
 def map_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors by metacluster of a self-organizing map, for each label; the tests recover separated groups."""
-    v = _vectors(spark, sf_dir)
-    columns = [f"x{k}" for k in range(8)]
-    codes = L.self_organizing_map(v, columns, 4, 5)
-    out = L.with_metaclusters(L.nearest_code(v, columns, codes), L.consensus_clusters(codes, 4, 20))
+    v = _vectors(spark, sf_dir, 64)
+    columns = [f"x{k}" for k in range(64)]
+    codes = L.self_organizing_map(v, columns)
+    out = L.with_metaclusters(L.nearest_code(v, columns, codes), L.consensus_clusters(codes, 10))
     return L.cluster_counts(out, "label", "metacluster")
 
 
