@@ -7,6 +7,7 @@ events of the parts are the best that are not negative. Standard errors of share
 information of all free parameters; they are missing where these are not told apart or lie at a bound.
 
 Defined results: events outside the view or not finite are counted in the parameter ``outside``;
+an event in a bin that no part reaches belongs to all parts alike;
 a sample without events in view has no rows; a NULL sample is a sample.
 """
 
@@ -134,6 +135,12 @@ def _share_errors(counts: np.ndarray, w: np.ndarray, parts: np.ndarray, groups:
     return out
 
 
+def _posteriors(mixed: np.ndarray) -> np.ndarray:
+    """Each part's share of a bin; where no part reaches, equal shares, so that no event is lost."""
+    total = mixed.sum(0)
+    return np.where(total > 0, mixed / np.where(total > 0, total, 1.0), 1 / len(mixed))
+
+
 def fit_cycle(edges: np.ndarray, counts: np.ndarray, model: CycleModel = CycleModel()) -> tuple[dict[str, float], np.ndarray]:
     """Parameters with shares and their errors, and the phases' posteriors by bin, of one DNA histogram."""
     middle = (edges[1:] + edges[:-1]) / 2
@@ -166,7 +173,7 @@ def fit_cycle(edges: np.ndarray, counts: np.ndarray, model: CycleModel = CycleMo
     told |= {f"se_{name}": e for name, e in zip(PHASES, errors, strict=True)}
     if model.wave:
         told["wave"] = float(w[4] / total)
-    return told, mixed / np.maximum(mixed.sum(0), 1e-300)
+    return told, _posteriors(mixed)
 
 
 # --- dye generations
@@ -230,8 +237,7 @@ def fit_dye(edges: np.ndarray, counts: np.ndarray, model: DyeModel, background:
     total = max(w.sum(), 1e-300)
     told = {**p, "background": background.mean, "background_sd": background.sd, "deviance": fit["deviance"], "settled": float(fit["settled"])}
     told |= {f"g{k}": float(v / total) for k, v in enumerate(w)} | {f"se_g{k}": e for k, e in enumerate(errors)}
-    mixed = w[:, None] * parts
-    return told, mixed / np.maximum(mixed.sum(0), 1e-300)
+    return told, _posteriors(w[:, None] * parts)
 
 
 # --- on tables
