@@ -20,6 +20,10 @@ from eventmill.plans.order_statistics import percentiles
 MOST_BINS = 512
 
 
+class Uncovered(ValueError):
+    """The view holds less than the wanted share of all events, so no region of it does."""
+
+
 def extents(events: DataFrame, keys: list[str], value: Column, full: bool = False) -> DataFrame:
     """``keys, low, high``: the view of an axis, 0.1 to 99.9 % or all of the finite values, padded by 4 %; without values 0 to 1."""
     rows = events.select(*keys, finite(value).alias("v"))
@@ -206,7 +210,7 @@ def dense_region(events: DataFrame, x: Column, y: Column, bounds: tuple[float, f
     total = events.agg(F.count_if(is_finite(x) & is_finite(y)).alias("total"))
     level = highest_density(cells, [], [coverage], total, value).first()
     if level is None or level.threshold is None:
-        raise ValueError("the view holds too few events for this coverage")
+        raise Uncovered("the view holds too few events for this coverage")
     grid = to_array(cells, bins, value)
     at = tuple(min(bins - 1, max(0, int((v - lo) / (hi - lo) * bins))) for v, lo, hi in ((seed[1], *bounds[2:]), (seed[0], *bounds[:2])))
     return connected_region(grid >= level.threshold, at)

@@ -120,11 +120,16 @@ i AS (SELECT cx, cy FROM c, t WHERE n >= level),
 r(cx, cy) AS (SELECT cx, cy FROM i WHERE (cx, cy) = (SELECT (cx, cy) FROM c ORDER BY n DESC, cy, cx LIMIT 1) UNION SELECT i.cx, i.cy FROM r JOIN i ON abs(i.cx - r.cx) + abs(i.cy - r.cy) = 1)
 SELECT event_type, count(*) AS n, count(r.cx) AS inside FROM e LEFT JOIN r USING (cx, cy) GROUP BY 1""")
 def density_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events inside the rings of the dense region around the fullest cell."""
+    """Events of the view inside the rings of the dense region around the fullest cell; none if the view does not hold the region's share of all events."""
     e = _table(spark, sf_dir, "events")
     x, y, bounds = F.col("value"), F.col("user_id").cast("double"), (-0.003, 490.997, 0.3, 150.9)
     top = D.grid_counts(e, [], x, y, bounds, 16).orderBy(F.desc("n"), "by", "bx").first()
-    seed = (bounds[0] + (top["bx"] + 0.5) * 491 / 16, bounds[2] + (top["by"] + 0.5) * 150.6 / 16)
-    outer, holes = D.density_polygon(e, x, y, bounds, 16, 0.6, seed)
-    inside = G.polygon_with_holes(x, y, outer, holes)
-    return e.groupBy("event_type").agg(F.count_if(x.between(*bounds[:2]) & y.between(*bounds[2:])).alias("n"), F.count_if(inside).alias("inside"))
+    bx, by = (top["bx"], top["by"]) if top else (0, 0)
+    seed = (bounds[0] + (bx + 0.5) * 491 / 16, bounds[2] + (by + 0.5) * 150.6 / 16)
+    try:
+        outer, holes = D.density_polygon(e, x, y, bounds, 16, 0.6, seed)
+        inside = G.polygon_with_holes(x, y, outer, holes)
+    except D.Uncovered:
+        inside = F.lit(False)
+    seen = e.where(x.between(*bounds[:2]) & y.between(*bounds[2:]))
+    return seen.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"))
