@@ -46,3 +46,13 @@ def test_a_view_with_too_few_events_has_no_dense_region(spark, tmp_path, outside
 def test_a_view_without_events(spark, tmp_path):
     _, told, wanted = both(spark, tmp_path, "density_rings", [event(k, 10.0, 5000) for k in range(9)])
     assert told == wanted == []
+
+
+@pytest.mark.parametrize("least", [0.0, -2.5, 0.5])
+def test_a_geometric_mean_is_of_positive_values(spark, tmp_path, least):
+    rows = [event(k, 3.0 + k % 7, kind="ab"[k % 2]) for k in range(1, 60)] + [event(62, least)]
+    columns, told, wanted = both(spark, tmp_path, "population_summary", rows)
+    same(told, wanted)
+    at = columns.index("geometric_mean")
+    means = {r[columns.index("sample")]: r[at] for r in told}
+    assert means["b"] > 0 and (means["a"] is not None) == (least > 0)
