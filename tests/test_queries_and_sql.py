@@ -56,3 +56,14 @@ def test_a_geometric_mean_is_of_positive_values(spark, tmp_path, least):
     at = columns.index("geometric_mean")
     means = {r[columns.index("sample")]: r[at] for r in told}
     assert means["b"] > 0 and (means["a"] is not None) == (least > 0)
+
+
+def test_steps_are_between_valid_times(spark, tmp_path):
+    # the clock falls by 1e6 each 2500 ids, so that of the last ids is negative
+    ids = [*range(4_256_990, 4_257_020), *range(4_259_990, 4_260_030), *range(4_400_000, 4_400_040)]
+    rows = [event(k, kind="ab"[i % 2], second=i * 1.5 + (i % 3)) for i, k in enumerate(ids)]
+    columns, told, wanted = both(spark, tmp_path, "time_diagnostics", rows)
+    same(told, wanted)
+    assert [r[columns.index("n")] for r in told] == [55, 55]
+    _, told, wanted = both(spark, tmp_path, "time_report", rows)
+    same(told, wanted)
