@@ -28,10 +28,8 @@ def control_statistics(events: DataFrame, control: str, role: str, detectors: di
     rows = events.where(ok).select(F.col(control).alias("control"), F.col(role).alias("role"), cells.alias("c")).select("control", "role", "c.*")
     keys = ["control", "role", "detector"]
     m = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("v") >= F.col("range") * 0.9999).alias("saturated"))
-    q = materialize(percentiles(rows, keys, F.col("v"), [0.5]).select(*keys, F.col("q")[0].alias("median")), "medians")
-    off = F.abs(F.col("v") - F.col("median"))
-    d = percentiles(null_safe_join(rows, q, keys), keys, off, [0.5]).select(*keys, (1.4826 * F.col("q")[0]).alias("robust_sd"))
-    return null_safe_join(null_safe_join(m, q, keys), d, keys).where(F.col("n") >= minimum_events).select(*keys, "n", "median", "robust_sd", "saturated")
+    q = percentiles(rows, keys, F.col("v"), [0.5], deviation=True).select(*keys, F.col("q")[0].alias("median"), (1.4826 * F.col("mad")).alias("robust_sd"))
+    return null_safe_join(m, q, keys).where(F.col("n") >= minimum_events).select(*keys, "n", "median", "robust_sd", "saturated")
 
 
 def separations(stats: DataFrame, primaries: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from eventmill.functions.columns import finite
 from eventmill.operators.gates import Gate, masks
 from eventmill.plans.joins import null_safe_join
 from eventmill.plans.order_statistics import percentiles
-from eventmill.plans.scratch import materialize
 
 
 def gate_counts(events: DataFrame, sample: str, gates: list[Gate]) -> DataFrame:
@@ -24,10 +23,7 @@ def gate_counts(events: DataFrame, sample: str, gates: list[Gate]) -> DataFrame:
 
 
 def summary(events: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Counts, moments and quantiles of the finite values of each group; undefined ones are NULL.
-
-    The robust figures need the median first: the second pass joins it by key.
-    """
+    """Counts, moments and quantiles of the finite values of each group; undefined ones are NULL."""
     v = finite(value)
     rows = events.select(*keys, v.alias("v"))
     first = rows.groupBy(*keys).agg(
@@ -39,11 +35,9 @@ def summary(events: DataFrame, keys: list[str], value: Column) -> DataFrame:
         F.max("v").alias("most"),
         F.avg(F.when(F.col("v") > 0, F.log("v"))).alias("log_mean"),
     )
-    quantiles = materialize(percentiles(rows, keys, F.col("v"), [0.05, 0.5, 0.95]).drop("n"), "quantiles")
-    far = null_safe_join(rows, quantiles.select(*keys, F.col("q")[1].alias("m")), keys)
-    mad = percentiles(far, keys, F.abs(F.col("v") - F.col("m")), [0.5]).select(*keys, F.col("q")[0].alias("mad"))
+    quantiles = percentiles(rows, keys, F.col("v"), [0.05, 0.5, 0.95], deviation=True).drop("n")
     m = F.col("q")[1]
-    return null_safe_join(null_safe_join(first, quantiles, keys, "left"), mad, keys, "left").select(
+    return null_safe_join(first, quantiles, keys, "left").select(
         *keys,
         "n",
         "n_finite",

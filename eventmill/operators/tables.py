@@ -99,17 +99,14 @@ def statistics_table(events: DataFrame, sample: str, gates: list[Gate], columns:
         shares = sorted({ORDER[c.statistic](c.percentile) for k, c in enumerate(columns) if c.statistic in ORDER and of[k] == n} | ({0.5} if any(of[k] == n for k in two) else set()))
         if not shares:
             continue
-        q = percentiles(spread, keys, F.col(n), shares).select(*keys, F.col("q").alias(f"__q{n}"))
-        q = materialize(q, "quantiles")
+        twice = any(of[k] == n for k in two)
+        q = percentiles(spread, keys, F.col(n), shares, twice).select(*keys, F.col("q").alias(f"__q{n}"), *[F.col("mad").alias("__mad")] * twice)
         middle = F.col(f"__q{n}")[shares.index(0.5)] if 0.5 in shares else None
         first = null_safe_join(first, q, keys, "left")
         for k, c in enumerate(columns):
             if c.statistic in ORDER and of[k] == n:
                 first = first.withColumn(f"__v{k}", F.col(f"__q{n}")[shares.index(ORDER[c.statistic](c.percentile))])
-        if any(of[k] == n for k in two):
-            far = null_safe_join(spread.select(*keys, n), q.select(*keys, middle.alias("__m")), keys)
-            mads = percentiles(far, keys, F.abs(F.col(n) - F.col("__m")), [0.5]).select(*keys, F.col("q")[0].alias("__mad"))
-            first = null_safe_join(first, mads, keys, "left")
+        if twice:
             for k in (k for k in two if of[k] == n):
                 first = first.withColumns({f"__d{k}": F.col("__mad"), f"__m{k}": middle})
             first = first.drop("__mad")
