@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmill.functions.columns import finite, is_finite, tempered_root
 from eventmill.operators.comparison import linear_fits
-from eventmill.plans.joins import null_safe_join
-from eventmill.plans.order_statistics import percentiles
+from eventmill.plans.joins import null_safe_join, with_groups
+from eventmill.plans.order_statistics import order_statistics, percentiles
 from eventmill.plans.scratch import materialize
 
 
@@ -132,27 +132,26 @@ def trimmed_pairs(rows: DataFrame, keys: list[str], x: str, y: str, fraction: fl
 
     A constant axis is not trimmed. Where too few are left by the second axis, its ends stay inside.
     """
-    count = F.rint(F.col("n") * fraction).cast("long")
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = rows.join(n, keys)
-    ends = {}
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    rows = rows.where(named)
+    many = lambda n: F.rint(n * fraction).cast("long")
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     for axis in (x, y):
-        from eventmill.plans.order_statistics import with_sums_below
-
-        told = with_sums_below(rows.select(*keys, F.col(axis).alias("v"), F.lit(1).alias("c")), keys, "v", ["c"]).withColumn("n", F.col("c_total"))
-        upto = F.col("c_below") + F.col("c")
-        at = lambda p: F.max(F.when((F.col("c_below") <= p) & (upto > p), F.col("v")))
-        ends[axis] = told.groupBy(*keys).agg(at(count - 1).alias(f"lo_{axis}"), at(F.col("n") - count).alias(f"hi_{axis}"), (F.min("v") == F.max("v")).alias(f"flat_{axis}"), F.max(count).alias(f"count_{axis}"))
-    for axis in (x, y):
-        rows = rows.join(ends[axis], keys)
+        ends = order_statistics(rows, keys, F.col(axis), [fraction, 1 - fraction, 0.0, 1.0], [lambda n: many(n) - 1, lambda n: n - many(n), lambda n: F.lit(0), lambda n: n - 1])
+        q, n = F.col("q"), F.col("n")
+        ends = ends.select(*keys, q[0].alias(f"lo_{axis}"), q[1].alias(f"hi_{axis}"), (q[2] == q[3]).alias(f"flat_{axis}"), many(n).alias(f"count_{axis}"))
+        groups = groups.join(ends, keys)
+    groups = materialize(groups, "ends")
+    bare = rows.columns
     free = lambda a: (F.col(f"count_{a}") == 0) | F.col(f"flat_{a}")
     open_ = lambda a: (F.col(a) > F.col(f"lo_{a}")) & (F.col(a) < F.col(f"hi_{a}"))
     closed = lambda a: F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}"))
-    rows = rows.withColumns({"__x": free(x) | open_(x), "__y": free(y) | open_(y), "__tied": free(y) | closed(y)})
-    few = rows.groupBy(*keys).agg((F.count_if(F.col("__x") & F.col("__y")) < minimum).alias("__few"), (F.count_if(F.col("__x") & F.col("__tied")) >= minimum).alias("__enough"))
-    rows = rows.join(few, keys)
-    kept = F.col("__x") & F.when(F.col("__few") & F.col("__enough"), F.col("__tied")).otherwise(F.col("__y"))
-    return rows.where(kept).drop("n", "__x", "__y", "__tied", "__few", "__enough", *[f"{p}_{a}" for p in ("lo", "hi", "flat", "count") for a in (x, y)])
+    inside = {"__x": free(x) | open_(x), "__y": free(y) | open_(y), "__tied": free(y) | closed(y)}
+    told = with_groups(rows, groups, keys, "n").withColumns(inside)
+    few = told.groupBy(*keys).agg((F.count_if(F.col("__x") & F.col("__y")) < minimum).alias("__few"), (F.count_if(F.col("__x") & F.col("__tied")) >= minimum).alias("__enough"))
+    groups = materialize(groups.join(few, keys), "ends")
+    told = with_groups(rows, groups, keys, "n").withColumns(inside)
+    return told.where(F.col("__x") & F.when(F.col("__few") & F.col("__enough"), F.col("__tied")).otherwise(F.col("__y"))).select(*bare)
 
 
 #: Huber's constant, the median residual of a normal variable, and the change of residuals that settles a line.

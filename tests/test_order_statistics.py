@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventmill.plans import order_statistics as O
+from eventmill.operators import estimation as E
+from eventmill.plans import joins as J, order_statistics as O
 
 SHARES = [0.0, 0.05, 0.5, 0.9, 1.0]
 
@@ -47,3 +48,28 @@ def test_no_task_gathers_a_large_group(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # a sort merge join on the groups brings a group's rows to one task
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 2, 50_000])
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_trimmed_pairs_without_gathering_a_group(spark, monkeypatch, most, few):
+    monkeypatch.setattr(O, "SMALL", most)
+    monkeypatch.setattr(J, "FEW", few or 1)
+    rng = np.random.default_rng(5)
+    told = {"a": rng.normal(size=(900, 2)), "b": rng.integers(0, 30, (700, 2)).astype(float), "c": np.column_stack([np.full(250, 3.0), rng.normal(size=250)]), "d": rng.normal(size=(20, 2))}
+    df = spark.createDataFrame([(g, float(x), float(y)) for g, v in told.items() for x, y in v], "g string, x double, y double").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = E.trimmed_pairs(df, ["g"], "x", "y")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = {g: sorted((r.x, r.y) for r in kept.where(F.col("g") == g).collect()) for g in told}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert few != 50_000 or "SortMergeJoin" not in plan
+    for g, v in told.items():
+        count, inside = round(len(v) * 0.01), np.ones(len(v), bool)
+        for axis in v.T:
+            at = np.sort(axis)
+            if count and at[0] < at[-1]:
+                inside &= (axis > at[count - 1]) & (axis < at[len(v) - count])
+        assert got[g] == sorted(map(tuple, v[inside].tolist()))
