@@ -36,7 +36,9 @@ def join_by_cells(many: DataFrame, one: DataFrame, on: list[str], salt: Column,
     table = F.create_map(*[F.lit(v) for pair in heavy.items() for v in pair])
     parts = F.coalesce(F.try_element_at(table, F.xxhash64(*on)), F.lit(1))
     dealt = many.withColumn("__cell", F.pmod(F.xxhash64(salt), parts).cast("int"))
-    spread = one.withColumn("__cell", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # only the heavy keys' rows are repeated
+    light = one.where(parts == 1).withColumn("__cell", F.lit(0))
+    spread = light.unionByName(one.where(parts > 1).withColumn("__cell", F.explode(F.sequence(F.lit(0), parts - 1))))
     return dealt.join(spread, [*on, "__cell"], how).drop("__cell")
 
 
