@@ -31,7 +31,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventmill.llm.bpe import REMEMBERED
 from eventmill.llm.texts import pieces
 
 UND = "und"
@@ -45,6 +44,8 @@ _EDGE = re.compile(r"[\W\d_]")
 
 #: Letters from which a word's features are summed in steps, so that memory stays bounded.
 LONG_WORD, STEP = 1000, 50_000
+#: Words whose scores a worker remembers, words whose features are listed at once, and words of texts that are told at once.
+REMEMBERED, LISTED, TOLD = 100_000, 5_000, 100_000
 
 
 def _parts(word: str, lexicons: dict[str, int]) -> Iterator[str]:
@@ -290,9 +291,11 @@ class _Scores(dict):
         n = len(self)
         if n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(n, len(self.rows)), self.rows.shape[1]), np.float32)])
-        if self.new:
-            self.rows[n - len(self.new) : n] = self.model.emissions(self.new)
-            self.new = []
+        at = n - len(self.new)
+        for k in range(0, len(self.new), LISTED):  # a word has some dozens of features
+            words = self.new[k : k + LISTED]
+            self.rows[at + k : at + k + len(words)] = self.model.emissions(words)
+        self.new = []
         return self.rows[index]
 
     def trim(self) -> None:
@@ -336,7 +339,7 @@ def _share(x: float) -> float:
     return float(min(1.0, max(0.0, x)))
 
 
-def label(texts: list[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = 400_000, runs: bool = False) -> list[tuple]:
+def label(texts: list[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = TOLD, runs: bool = False) -> list[tuple]:
     """Language, score and sureness of each text; with ``runs`` also its runs."""
     none = (UND, 0.0, 0.0, []) if runs else (UND, 0.0, 0.0)
     if model is None:
