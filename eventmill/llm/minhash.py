@@ -10,7 +10,7 @@ longest common subsequence inside the band of diagonals that similarity 0.8 allo
 Similarity is matched / (n + m - matched); 1 minus it is a metric.
 
 Copies collapse before sketching counts. A bucket is not expanded into pairs. In each of
-some rounds its members are compared with one centre, the member that shares most sketches
+some rounds, as long as one leaves half of the rows or less, its members are compared with one centre, the member that shares most sketches
 with others. The members that are linked to the centre, and the centre, need no further
 comparison in that bucket, since a link to one of them means a distance of at most 0.4 from
 the centre; where another member is so near without being linked, the linked ones that
@@ -33,14 +33,13 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventmill.llm.bpe import Remembered
 from eventmill.llm.texts import pieces
 from eventmill.plans.components import connected_components
 from eventmill.plans.scratch import discard, materialize
@@ -52,10 +51,11 @@ ROUNDS, WORD_BUCKETS, COUNT_PARTS = 3, 1 << 14, (1024, 16)
 #: A member of this similarity to a centre or more may be linked to one that the centre is linked to.
 NEAR = 1 - 2 * (1 - LEAST)
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w")
 _EDGE = re.compile(r"\W")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_words = Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), most=100_000)
+#: Characters from which a text is read in pieces.
+PIECE = 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,15 +71,37 @@ def _odd(count: int, seed: int) -> np.ndarray:
 _POWERS = _odd(K, 5)
 
 
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """For each code point, whether ``\\w`` matches it."""
+    told = np.zeros(0x110000, bool)
+    told[[m.start() for m in _WORD.finditer("".join(map(chr, range(0x110000))))]] = True
+    return told
+
+
+@lru_cache(maxsize=1)
+def _weights(doublings: int) -> np.ndarray:
+    return _odd(64 << doublings, 17)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words of the whole text, in order."""
+    """Hashes of the words of the whole text, in order: sums of code points, weighted by their place in the word."""
     text = (text or "").lower()
     rows = []
-    for a, b in pieces(text, _EDGE):
-        ws = _WORD.findall(text, a, b)
-        rows.append(np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws)))
-        _words.trim()
-    return np.concatenate(rows)
+    for a, b in pieces(text, _EDGE, PIECE):
+        c = np.frombuffer(text[a:b].encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.zeros(len(c) + 2, bool)
+        inside[1:-1] = _in_words()[c]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, size = edges[::2], edges[1::2] - edges[::2]
+        if not len(first):
+            continue
+        begins = np.cumsum(size) - size
+        letters = c[inside[1:-1]]
+        place = np.arange(len(letters)) - np.repeat(begins, size)
+        weights = _weights(max(0, int(size.max() - 1).bit_length() - 6))
+        rows.append(_mix(np.add.reduceat(weights[place] * (letters + np.uint64(1)), begins) + size.astype(np.uint64) * _M1))
+    return np.concatenate(rows) if rows else np.zeros(0, np.uint64)
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
@@ -108,37 +130,44 @@ def kmers(w: np.ndarray) -> np.ndarray:
     return labelled(_mix(h))
 
 
-def _least(values: np.ndarray, length: int) -> np.ndarray:
-    """Columns of the ``length`` least values of each row."""
-    rows, n = values.shape
-    if n > 16 * length:  # first the values under a bound that about 4 * length of a row pass
-        passed = values < np.uint64(4 * length * (2**64 // n))
-        count = passed.sum(1)
-        if count.min() >= length:
-            row, column = np.nonzero(passed)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            few = np.full((rows, count.max()), np.uint64(2**64 - 1))
-            where = np.zeros(few.shape, np.int64)
-            few[row, place], where[row, place] = values[row, column], column
-            return np.take_along_axis(where, np.argpartition(few, length - 1, axis=1)[:, :length], axis=1)
-    return np.argpartition(values, length - 1, axis=1)[:, :length]
+def _least(h: np.ndarray, factors: np.ndarray, length: int) -> np.ndarray:
+    """Places of the ``length`` least of the products of ``h`` with each factor, in order; of equal products the first."""
+    n, rows = len(h), len(factors)
+    values = (h[None, :] * factors[:, None]).ravel()
+    # first the products under a bound that about 4 * length of a row pass
+    flat = np.flatnonzero(values < np.uint32(4 * length * (2**32 // n))) if n > 16 * length else np.arange(values.size)
+    row = flat // n
+    count = np.bincount(row, minlength=rows)
+    if (short := np.flatnonzero(count < length)).size:
+        flat = np.sort(np.concatenate([flat[count[row] >= length], (short[:, None] * n + np.arange(n)).ravel()]))
+        row = flat // n
+        count = np.bincount(row, minlength=rows)
+    keyed = values[flat].astype(np.uint64) << np.uint64(32) | (flat - row * n).astype(np.uint64)
+    starts = np.cumsum(count) - count
+    out = np.empty((rows, length), np.int64)
+    for k in range(length):
+        least = np.minimum.reduceat(keyed, starts)
+        out[:, k] = least & np.uint64(2**32 - 1)
+        keyed[keyed == least[row]] = np.uint64(2**64 - 1)
+    return np.sort(out, axis=1)
+
+
+_factors = lru_cache(maxsize=4)(_odd)
 
 
 def _ordered(h: np.ndarray, length: int, count: int, seed: int) -> np.ndarray:
     """One number for each sketch: the ``length`` least k-mers under its hash, in text order."""
-    factors = _odd(count, seed)
-    out = np.empty(count, np.uint64)
-    step = max(1, min(count, 2_000_000 // max(1, len(h))))
-    for a in range(0, count, step):
-        f = factors[a : a + step]
-        if len(h) > length:
-            chosen = h[np.sort(_least(h[None, :] * f[:, None], length), axis=1)]
-        else:
-            chosen = np.broadcast_to(h, (len(f), len(h)))
-        x = f.copy()
-        for j in range(chosen.shape[1]):
-            x = _mix(x * _M1 + chosen[:, j])
-        out[a : a + step] = x
+    factors = _factors(count, seed)
+    if len(h) > length:
+        # the upper halves order the k-mers; products of 32 bits are much faster
+        high, narrow = (h >> np.uint64(32)).astype(np.uint32), (factors >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        step = max(1, min(count, 1_000_000 // len(h)))
+        chosen = h[np.concatenate([_least(high, narrow[a : a + step], length) for a in range(0, count, step)])]
+    else:
+        chosen = np.broadcast_to(h, (count, len(h)))
+    out = factors.copy()
+    for j in range(chosen.shape[1]):
+        out = _mix(out * _M1 + chosen[:, j])
     return out
 
 
@@ -250,26 +279,30 @@ def _commonness(sequences: DataFrame) -> np.ndarray:
     for few in COUNT_PARTS:  # summed as a tree
         parts = parts.groupBy((F.col("part") % few).alias("few")).applyInPandas(summed, "part int, n binary")
     out = np.zeros(WORD_BUCKETS, np.int64)
-    for r in parts.select("n").toLocalIterator():  # 16 rows
+    for r in parts.select("n").collect():  # 16 rows
         out += np.frombuffer(r.n, np.int64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def first_words(w: np.ndarray, hub: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first floor(0.2 n) + 1 of a document's labelled words: those that ``hub`` lacks before the others, then by commonness and hash."""
+def first_words(w: np.ndarray, hub: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """The first of a document's labelled words: those that ``hub`` lacks before the others, then by commonness and hash.
+
+    As many as can precede the first common one with a document of ``least`` words or more: floor(0.2 n) + 1 at most, half of it where all are as long.
+    """
     own = labelled(w)
     order = np.lexsort((own, common[(own % np.uint64(len(common))).astype(np.int64)], np.isin(own, labelled(hub))))
-    return own[order[: int((1 - LEAST) * len(own) + 1e-9) + 1]]
+    before = len(own) - LEAST / (1 + LEAST) * (len(own) + max(LEAST * len(own), least))
+    return own[order[: int(before + 1e-9) + 1]]
 
 
-def _first_words(seq: Column, hub: Column, common: np.ndarray, spark) -> Column:
+def _first_words(seq: Column, hub: Column, least: Column, common: np.ndarray, spark) -> Column:
     shared = spark.sparkContext.broadcast(common)
 
     @F.pandas_udf("array<long>")
-    def made(seq: pd.Series, hub: pd.Series) -> pd.Series:
-        return pd.Series([first_words(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), shared.value).view(np.int64) for x, y in zip(seq, hub)], dtype=object)
+    def made(seq: pd.Series, hub: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([first_words(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), shared.value, k).view(np.int64) for x, y, k in zip(seq, hub, least)], dtype=object)
 
-    return made(seq, hub)
+    return made(seq, hub, least)
 
 
 def _address(text: Column) -> dict[str, Column]:
@@ -308,14 +341,14 @@ def _centre_round(members: DataFrame, links: _Links, number: int) -> tuple[DataF
     centres = materialize(centres.select("bucket", "size", F.col("c.rid").alias("centre"), F.col("c.n").alias("cn")), "centres")
     heavy = heavy_keys(centres, ["bucket"], "size", members.count())
     put = join_by_cells(members.drop("centre"), centres.drop("size"), ["bucket"], F.col("rid"), heavy).where("rid <> centre")
-    # the same two documents meet in many buckets
-    pairs = materialize(put.select("centre", "rid", "n", "cn").distinct(), "met")
+    # the same two documents meet in many buckets, at most COUNT
+    pairs = materialize(put.groupBy("centre", "cn", "rid", "n", "score").agg(F.collect_list("bucket").alias("buckets")), "met")
     links.add(pairs.where(_alike(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rid").alias("b")))
     met = pairs.withColumns({"a": F.least("rid", "centre"), "b": F.greatest("rid", "centre")}).join(links.known, ["a", "b"], "left")
     bound = F.coalesce("bound", F.least("n", "cn") / F.greatest("n", "cn"))
-    met = materialize(met.select("centre", "rid", "n", F.coalesce("linked", F.lit(False)).alias("linked"), bound.alias("bound")), "compared")
-    linked = met.where("linked").select("centre", "rid")
-    left = materialize(put.drop("cn").join(linked, ["centre", "rid"], "left_anti").select("bucket", "centre", "rid", "n", "score"), "left")
+    compared = materialize(met.select("centre", "rid", "n", "score", "buckets", F.coalesce("linked", F.lit(False)).alias("linked"), bound.alias("bound")), "compared")
+    left = materialize(compared.where("NOT linked").select(F.explode("buckets").alias("bucket"), "centre", "rid", "n", "score"), "left")
+    met = compared.select("centre", "rid", "n", "linked", "bound")
     discard(pairs, centres, members)
     # distances to the centre of two linked documents differ by 1 - LEAST at most
     close = ~F.col("linked") & (F.col("bound") >= NEAR)
@@ -325,7 +358,7 @@ def _centre_round(members: DataFrame, links: _Links, number: int) -> tuple[DataF
     kept = beside.where(close | (F.col("linked") & (F.col("bound") <= F.col("most") + (1 - LEAST))))
     aside = kept.select(F.xxhash64("centre", F.lit(number)).alias("cell"), "centre", "rid", "n", F.col("linked").alias("aside")).distinct()
     aside = materialize(aside, "aside")
-    discard(met, most)
+    discard(compared, most)
     return left, aside
 
 
@@ -339,19 +372,19 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame, links: _Li
 
     Documents of n and m words match t = 0.8 (n + m) / 1.8 of them at least. So each has at
     most n - t and m - t labelled words before the first common one, in any order that is the
-    same for both, and m is 0.8 n at least. The words that the cell's centre lacks come
+    same for both, and m is 0.8 n and the cell's least length at least. The words that the cell's centre lacks come
     first: what makes a cell large, a passage or a common original, is in its centre. Then
     rare words come before common ones.
     """
     placed = materialize(cells.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "placed")
-    kinds = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("aside").alias("aside"), F.count("*").alias("size"))
-    kinds = materialize(kinds.where("lo <> hi AND aside").select("cell", "size"), "kinds")
-    mixed = join_by_cells(placed, kinds, ["cell"], F.col("rid"), heavy_keys(kinds, ["cell"], "size", placed.count()), "left_semi")
+    kinds = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("aside").alias("aside"), F.min("n").alias("least"), F.count("*").alias("size"))
+    kinds = materialize(kinds.where("lo <> hi AND aside").select("cell", "least", "size"), "kinds")
+    mixed = join_by_cells(placed, kinds.drop("size"), ["cell"], F.col("rid"), heavy_keys(kinds, ["cell"], "size", placed.count()))
     mixed = materialize(mixed, "mixed")
     discard(placed)
     common = _commonness(sequences.join(mixed.select("rid").distinct(), "rid"))
     hub = sequences.select(F.col("rid").alias("centre"), F.col("seq").alias("hub"))
-    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).join(sequences, "rid").select("cell", "rid", "n", "root", _first_words(F.col("seq"), F.col("hub"), common, mixed.sparkSession).alias("words"))
+    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).join(sequences, "rid").select("cell", "rid", "n", "root", _first_words(F.col("seq"), F.col("hub"), F.col("least"), common, mixed.sparkSession).alias("words"))
     # a large cell's documents are spread over tasks before their words are
     spread = begun.repartition(partitions(begun), "rid", "cell").select("cell", "rid", "n", "root", F.posexplode("words").alias("p", "g"))
     prefix = materialize(spread, "prefixes")
@@ -431,9 +464,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sequences = materialize(texts.select("rid", _sequence(F.col("text")).alias("seq")), "sequences")
 
     links, cells = _Links(sequences), []
+    held = members.count()
     for k in range(rounds):
         members, aside = _centre_round(members, links, k)
         cells.append(aside)
+        before, held = held, members.count()
+        if 2 * held > before:  # so the rows of all rounds are at most twice those of the first, and the last
+            break
     cells.append(members.select(F.col("centre").alias("cell"), "centre", "rid", "n", F.lit(True).alias("aside")).distinct())
     together = cells[0]
     for more in cells[1:]:

@@ -17,25 +17,27 @@ def heavy_keys(counts: DataFrame, on: list[str], count: str, total: int) -> dict
     """The cells to cut each key into that has more than a quarter of a partition's share of ``total`` rows, by the key's hash.
 
     At most 4 x partitions keys can be so heavy, and their cells are 8 x partitions at most:
-    this is the proven bound of what the driver holds and of what is replicated. None if there is no need to cut.
+    this is the proven bound of what the driver holds and of what is replicated. None if all rows are few.
     """
     if total <= EASY:
         return None
     most = max(1, total // (4 * partitions(counts)))
     heavy = counts.where(F.col(count) > most).select(F.xxhash64(*on).alias("key"), F.ceil(F.col(count) / most).cast("int").alias("parts"))
-    return {r.key: r.parts for r in heavy.toLocalIterator()} or None
+    return {r.key: r.parts for r in heavy.collect()}  # toLocalIterator would run a job for each partition
 
 
 def join_by_cells(many: DataFrame, one: DataFrame, on: list[str], salt: Column, heavy: dict[int, int] | None, how: str = "inner") -> DataFrame:
     """``many`` joined with ``one``, at most one row a key, where ``heavy`` keys are dealt into cells by ``salt``.
 
-    Keys of one hash are cut alike on both sides, whether heavy or not.
+    Keys of one hash are cut alike on both sides, whether heavy or not. With an empty ``heavy`` the plan is the same, of one cell a key.
     """
-    if not heavy:
+    if heavy is None:
         return many.join(one, on, how)
-    table = F.create_map(*[F.lit(v) for pair in heavy.items() for v in pair])
+    table = F.create_map(*[F.lit(v) for pair in (heavy or {0: 1}).items() for v in pair])
     parts = F.coalesce(F.try_element_at(table, F.xxhash64(*on)), F.lit(1))
     dealt = many.withColumn("__cell", F.pmod(F.xxhash64(salt), parts).cast("int"))
+    if not heavy:
+        return dealt.join(one.withColumn("__cell", parts - 1), [*on, "__cell"], how).drop("__cell")
     # only the heavy keys' rows are repeated
     light = one.where(parts == 1).withColumn("__cell", F.lit(0))
     spread = light.unionByName(one.where(parts > 1).withColumn("__cell", F.explode(F.sequence(F.lit(0), parts - 1))))
