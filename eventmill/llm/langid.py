@@ -350,8 +350,8 @@ def label(texts: list[str | None], model: Crf | None, known: _Scores | None = No
     places: list[np.ndarray] = []
 
     def flush() -> None:
-        sizes = np.array([len(h) for h in held])
-        index = np.concatenate(held) if held else np.zeros(0, np.int64)
+        sizes = np.array([len(h) for h in held], np.int64)
+        index = np.concatenate(held)
         heads = np.zeros(len(index), bool)
         starts = np.cumsum(sizes) - sizes
         heads[starts[sizes > 0]] = True
@@ -385,7 +385,8 @@ def label(texts: list[str | None], model: Crf | None, known: _Scores | None = No
         if count >= most_words:
             flush()
             count = 0
-    flush()
+    if held:
+        flush()
     return out
 
 

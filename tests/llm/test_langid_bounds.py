@@ -16,3 +16,16 @@ def test_features_of_few_words_are_held_at_once(monkeypatch):
     got = langid.label([text, "one two", text], model)
     assert max(sizes) <= 5_000 and sum(sizes) >= len(set(words))
     assert got[0] == (got[2][0], pytest.approx(got[2][1]), pytest.approx(got[2][2])) and got[0][0] in ("de", "en") and got[1][0] == "en"
+
+
+@pytest.mark.parametrize("runs", [False, True])
+def test_the_last_text_of_a_batch_can_fill_it(runs):
+    model = langid.fit([(["one", "two", "of"], "en"), (["eins", "zwei", "der"], "de")] * 4)
+    texts = ["one two of", "", "eins zwei", None, "der zwei of one two", "12", "one"]
+    plain = [langid.label([t], model, runs=runs)[0] for t in texts]
+    for most in range(1, 16):  # words told at once; some leave no text for the end
+        for n in range(len(texts) + 1):
+            got = langid.label(texts[:n], model, most_words=most, runs=runs)
+            assert [g[0] for g in got] == [p[0] for p in plain[:n]]
+            assert [g[1:3] for g in got] == [pytest.approx(p[1:3]) for p in plain[:n]]
+            assert [[(r["start"], r["end"], r["lang"]) for s in g[3:] for r in s] for g in got] == [[(r["start"], r["end"], r["lang"]) for s in p[3:] for r in s] for p in plain[:n]]
