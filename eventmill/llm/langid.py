@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 from zlib import crc32
 
@@ -70,6 +71,72 @@ def word_features(word: str, lexicons: dict[str, int]) -> list[int]:
     return [crc32(p.encode("utf-8", "replace")) % BUCKETS for p in _parts(word, lexicons)]
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+
+
+class _Letters:
+    """The letters of a string as the bytes that ``crc32`` reads, for many checksums at once."""
+
+    def __init__(self, text: str):
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        size = 1 + (c >= 0x80).astype(np.int64) + ((c >= 0x800) & (c >> 11 != 0x1B)) + (c >= 0x10000)
+        size[c >> 11 == 0x1B] = 1  # a surrogate is read as "?"
+        self.size, self.begins = size, np.cumsum(size) - size
+        self.bytes = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+
+    def read(self, state: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The states of checksums after the letters ``at``."""
+        begins, size = self.begins[at], self.size[at]
+        state = _CRC[(state ^ self.bytes[begins]) & 255] ^ state >> 8
+        for k in range(1, int(size.max(initial=1))):
+            more = np.flatnonzero(size > k)
+            state[more] = _CRC[(state[more] ^ self.bytes[begins[more] + k]) & 255] ^ state[more] >> 8
+        return state
+
+
+def features_of(words: list[str], lexicons: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_features`` of each word one after the other, and where they end."""
+    n = np.array([len(w) for w in words], np.int64)
+    letters = _Letters("".join(f"<{w}>" for w in words) + "ps")
+    first, last = np.cumsum(n + 2) - n - 1, np.cumsum(n + 2) - 2
+    places = np.arange(len(letters.size))
+    one = letters.read(np.full(len(places), 0xFFFFFFFF, np.uint32), places)
+    two = letters.read(one[:-1], places[1:])
+    three = letters.read(two[:-1], places[2:])
+
+    held = [lexicons.get(w, 0) for w in words]
+    edges, pairs = np.minimum(n, 3), np.maximum(n - 1, 0)
+    sizes = 1 + 2 * edges + n + pairs + np.array([h.bit_count() for h in held], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
+    out[begins] = [crc32(f"w{w}".encode("utf-8", "replace")) ^ 0xFFFFFFFF for w in words]
+    head = np.full(len(words), one[-2])
+    for k in range(3):
+        long = np.flatnonzero(n > k)
+        head[long] = letters.read(head[long], first[long] + k)
+        tail = np.full(len(long), one[-1])
+        for j in range(k, -1, -1):
+            tail = letters.read(tail, last[long] - j)
+        out[begins[long] + 1 + 2 * k], out[begins[long] + 2 + 2 * k] = head[long], tail
+    for to, count, source, at in ((begins + 1 + 2 * edges, n, three, first - 1), (begins + 1 + 2 * edges + n, pairs, two, first)):
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(to, count) + step] = source[np.repeat(at, count) + step]
+    out ^= np.uint32(0xFFFFFFFF)
+    for j, h in enumerate(held):
+        if h:
+            own = [crc32(f"x{k}".encode()) for k in range(h.bit_length()) if h >> k & 1]
+            out[ends[j] - len(own) : ends[j]] = own
+    return (out % BUCKETS).astype(np.int64), ends
+
+
 @dataclass
 class Crf:
     languages: list[str]
@@ -80,11 +147,9 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Log scores of each word by language."""
-        rows = [word_features(w if len(w) < LONG_WORD else "", self.lexicons) for w in words]
-        if not rows:
+        if not words:
             return np.zeros((0, len(self.languages)), np.float32)
-        ends = np.cumsum([len(r) for r in rows])
-        flat = np.fromiter((f for r in rows for f in r), np.int64, ends[-1])
+        flat, ends = features_of([w if len(w) < LONG_WORD else "" for w in words], self.lexicons)
         scores = np.add.reduceat(self.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0)
         scores = scores / np.sqrt(np.diff(ends, prepend=0))[:, None]
         for k, w in enumerate(words):
@@ -311,6 +376,15 @@ def _words(text: str) -> Iterator[list[str]]:
         yield _WORD.findall(lower, a, b)
 
 
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """For each code point, whether a word can hold it."""
+    told = np.zeros(0x110000, bool)
+    for m in _WORD.finditer("".join(map(chr, range(0x110000)))):
+        told[m.start() : m.end()] = True
+    return told
+
+
 def _placed(text: str) -> Iterator[tuple[list[str], np.ndarray]]:
     """As ``_words``, with the first and the end character of each word in ``text``."""
     lower = text.lower()
@@ -318,11 +392,12 @@ def _placed(text: str) -> Iterator[tuple[list[str], np.ndarray]]:
     if len(lower) != len(text):  # a character's lower case can be two
         source = np.repeat(np.arange(len(text), dtype=np.int32), [len(c.lower()) for c in text])
     for a, b in pieces(lower, _EDGE):
-        found = [(w[0], *w.span()) for w in _WORD.finditer(lower, a, b)]
-        at = np.array([w[1:] for w in found], np.int64).reshape(-1, 2)
+        inside = np.zeros(b - a + 2, bool)
+        inside[1:-1] = _in_words()[np.frombuffer(lower[a:b].encode("utf-32-le", "surrogatepass"), "<u4")]
+        at = a + np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)  # words are as long as they can be
         if source is not None:
             at = np.stack([source[at[:, 0]], source[at[:, 1] - 1] + 1], axis=1).astype(np.int64)
-        yield [w[0] for w in found], at
+        yield _WORD.findall(lower, a, b), at
 
 
 def _runs(p: np.ndarray, at: np.ndarray, languages: list[str]) -> list[dict]:

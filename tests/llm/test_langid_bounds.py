@@ -29,3 +29,29 @@ def test_the_last_text_of_a_batch_can_fill_it(runs):
             assert [g[0] for g in got] == [p[0] for p in plain[:n]]
             assert [g[1:3] for g in got] == [pytest.approx(p[1:3]) for p in plain[:n]]
             assert [[(r["start"], r["end"], r["lang"]) for s in g[3:] for r in s] for g in got] == [[(r["start"], r["end"], r["lang"]) for s in p[3:] for r in s] for p in plain[:n]]
+
+
+def test_features_of_many_words_are_those_of_each():
+    rng = np.random.default_rng(6)
+    ranges = [(97, 123), (0xE0, 0x17F), (0x7F0, 0x810), (0x4E00, 0x4E40), (0xFFF0, 0x10020), (0x20000, 0x20020), (0xD7F8, 0xE008)]
+    words = ["", "a", "ab", "abc", "abcd", "e\u0301", "\ud800x", "z" * 999]
+    for _ in range(4000):
+        lows = [ranges[k] for k in rng.integers(0, len(ranges), rng.integers(1, 3))]
+        words.append("".join(chr(rng.integers(*lows[k % len(lows)])) for k in range(rng.integers(0, 14))))
+    lexicons = {w: int(k) for w, k in zip(words[::7], rng.integers(0, 1 << 5, len(words)))}
+    flat, ends = langid.features_of(words, lexicons)
+    want = [langid.word_features(w, lexicons) for w in words]
+    assert ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+    assert flat.tolist() == [f for x in want for f in x]
+    assert [x.tolist() for x in langid.features_of([], lexicons)] == [[], []]
+    assert langid.features_of([""], {})[0].tolist() == langid.word_features("", {})
+
+
+def test_places_of_words():
+    rng = np.random.default_rng(7)
+    texts = ["", "a", " a", "İİ x", "²a½b_c5d٣e", "\ud800a\udfffb"] + ["".join(map(chr, rng.integers(0, top, 400))) for top in (128, 0x250, 0x3000, 0x110000) for _ in range(50)]
+    for t in texts:
+        lower = t.lower()
+        source = [k for k, c in enumerate(t) for _ in c.lower()]
+        want = [(m[0], source[m.start()], source[m.end() - 1] + 1) for m in langid._WORD.finditer(lower)]
+        assert [(w, *p) for ws, at in langid._placed(t) for w, p in zip(ws, at.tolist(), strict=True)] == want
