@@ -22,14 +22,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmill.llm.texts import pieces
@@ -45,8 +45,8 @@ _EDGE = re.compile(r"[\W\d_]")
 
 #: Letters from which a word's features are summed in steps, so that memory stays bounded.
 LONG_WORD, STEP = 1000, 50_000
-#: Words whose scores a worker remembers, words whose features are listed at once, and words of texts that are told at once.
-REMEMBERED, LISTED, TOLD = 100_000, 5_000, 100_000
+#: Words whose scores a worker remembers, words and letters whose features are listed at once, and words of texts that are told at once.
+REMEMBERED, LISTED, LETTERS, TOLD = 100_000, 5_000, 100_000, 100_000
 
 
 def _parts(word: str, lexicons: dict[str, int]) -> Iterator[str]:
@@ -338,6 +338,18 @@ def fit(windows: list[tuple[list[str], str]], seed: int = 7) -> Crf | None:
     return model
 
 
+def _few(words: list[str]) -> Iterator[list[str]]:
+    """``words`` cut so that the features of each part are bounded: ``LISTED`` words and ``LETTERS`` of their letters."""
+    first, letters = 0, 0
+    for k, w in enumerate(words):
+        if k - first == LISTED or letters > LETTERS:
+            yield words[first:k]
+            first, letters = k, 0
+        letters += min(len(w), LONG_WORD)
+    if first < len(words):
+        yield words[first:]
+
+
 class _Scores(dict):
     """Word to its row of emissions; rows of new words are filled in batches."""
 
@@ -357,9 +369,9 @@ class _Scores(dict):
         if n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(n, len(self.rows)), self.rows.shape[1]), np.float32)])
         at = n - len(self.new)
-        for k in range(0, len(self.new), LISTED):  # a word has some dozens of features
-            words = self.new[k : k + LISTED]
-            self.rows[at + k : at + k + len(words)] = self.model.emissions(words)
+        for words in _few(self.new):
+            self.rows[at : at + len(words)] = self.model.emissions(words)
+            at += len(words)
         self.new = []
         return self.rows[index]
 
@@ -414,11 +426,11 @@ def _share(x: float) -> float:
     return float(min(1.0, max(0.0, x)))
 
 
-def label(texts: list[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = TOLD, runs: bool = False) -> list[tuple]:
+def label(texts: Iterable[str | None], model: Crf | None, known: _Scores | None = None, most_words: int = TOLD, runs: bool = False) -> list[tuple]:
     """Language, score and sureness of each text; with ``runs`` also its runs."""
     none = (UND, 0.0, 0.0, []) if runs else (UND, 0.0, 0.0)
     if model is None:
-        return [none] * len(texts)
+        return [none for _ in texts]
     known = known if known is not None else _Scores(model)
     out: list[tuple] = []
     held: list[np.ndarray] = []
@@ -498,16 +510,19 @@ def predict(text: Column, model: Crf | None, spark, runs: bool = False) -> Colum
     The model holds ``BUCKETS`` numbers for each label, and there are as many labels as languages.
     """
     shared = spark.sparkContext.broadcast(model)
+    run = pa.struct({"start": pa.int32(), "end": pa.int32(), "lang": pa.string(), "score": pa.float64()})
+    types = {"lang": pa.string(), "score": pa.float64(), "sure": pa.float64()} | ({"runs": pa.list_(run)} if runs else {})
     fields = ["lang string", "score double", "sure double"] + ["runs array<struct<start:int,end:int,lang:string,score:double>>"] * runs
 
-    @F.pandas_udf(", ".join(fields))
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(", ".join(fields))
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         field = shared.value
         if field is not None and id(field) not in _known:
             _known.clear()
             _known[id(field)] = _Scores(field)
-        for texts in batches:
-            yield pd.DataFrame(label(list(texts), field, _known.get(id(field)), runs=runs), columns=[f.split()[0] for f in fields])
+        for texts in batches:  # one text is read at a time
+            rows = label((t.as_py() for t in texts), field, _known.get(id(field)), runs=runs)
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
 
     return told(text)
 

@@ -37,8 +37,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmill.llm.texts import pieces
 from eventmill.plans.components import connected_components
@@ -229,15 +230,30 @@ def aligned(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> tuple[bool, f
     return (True, similar) if similar >= least else (False, bound)
 
 
+def _numbers(rows: list[np.ndarray]) -> pa.Array:
+    """Rows of 64-bit numbers as arrays of longs."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in rows)]))
+
+
+def _hashes(rows: pa.Array) -> Iterator[np.ndarray]:
+    """The sequences of word hashes in binary ``rows``, each where it lies."""
+    _, ends, held = rows.buffers()
+    ends = np.frombuffer(ends, np.int32, len(rows) + 1, 4 * rows.offset) if len(rows) else ()
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield np.frombuffer(held, "<u8", (b - a) // 8, a) if b > a else np.zeros(0, np.uint64)
+
+
 def _sketches(text: Column) -> Column:
-    @F.pandas_udf("n int, sketches array<long>")
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n int, sketches array<long>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = []
+            sizes, rows = [], []
             for t in texts:
-                w = word_hashes(t)
-                rows.append((len(w), sketch(kmers(w))))
-            yield pd.DataFrame(rows, columns=["n", "sketches"])
+                w = word_hashes(t.as_py())
+                sizes.append(len(w))
+                rows.append(sketch(kmers(w)))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _numbers(rows)], names=["n", "sketches"])
 
     return made(text)
 
@@ -245,19 +261,19 @@ def _sketches(text: Column) -> Column:
 def _sequence(text: Column) -> Column:
     """The hashes of the words, as binary."""
 
-    @F.pandas_udf("binary")
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([word_hashes(t).astype("<u8").tobytes() for t in texts], dtype=object)
+            yield pa.array([word_hashes(t.as_py()).astype("<u8").tobytes() for t in texts], pa.binary())
 
     return made(text)
 
 
 def _aligned(a: Column, b: Column) -> Column:
-    @F.pandas_udf("linked boolean, bound double")
-    def told(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [aligned(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b)]
-        return pd.DataFrame(rows, columns=["linked", "bound"])
+    @F.arrow_udf("linked boolean, bound double")
+    def told(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = [aligned(x, y) for x, y in zip(_hashes(a), _hashes(b), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.float64())], names=["linked", "bound"])
 
     return told(a, b)
 
@@ -298,9 +314,9 @@ def first_words(w: np.ndarray, hub: np.ndarray, common: np.ndarray, least: int)
 def _first_words(seq: Column, hub: Column, least: Column, common: np.ndarray, spark) -> Column:
     shared = spark.sparkContext.broadcast(common)
 
-    @F.pandas_udf("array<long>")
-    def made(seq: pd.Series, hub: pd.Series, least: pd.Series) -> pd.Series:
-        return pd.Series([first_words(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), shared.value, k).view(np.int64) for x, y, k in zip(seq, hub, least)], dtype=object)
+    @F.arrow_udf("array<long>")
+    def made(seq: pa.Array, hub: pa.Array, least: pa.Array) -> pa.Array:
+        return _numbers([first_words(x, y, shared.value, k) for x, y, k in zip(_hashes(seq), _hashes(hub), least.to_pylist(), strict=True)])
 
     return made(seq, hub, least)
 
@@ -380,18 +396,22 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame, links: _Li
     kinds = placed.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("aside").alias("aside"), F.min("n").alias("least"), F.count("*").alias("size"))
     kinds = materialize(kinds.where("lo <> hi AND aside").select("cell", "least", "size"), "kinds")
     mixed = join_by_cells(placed, kinds.drop("size"), ["cell"], F.col("rid"), heavy_keys(kinds, ["cell"], "size", placed.count()))
-    mixed = materialize(mixed, "mixed")
+    cells_of = F.array_sort(F.collect_list("cell").over(Window.partitionBy("rid")))  # COUNT a round at most
+    mixed = materialize(mixed.withColumn("lesser", F.filter(cells_of, lambda c: c < F.col("cell"))), "mixed")
     discard(placed)
     common = _commonness(sequences.join(mixed.select("rid").distinct(), "rid"))
     hub = sequences.select(F.col("rid").alias("centre"), F.col("seq").alias("hub"))
-    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).join(sequences, "rid").select("cell", "rid", "n", "root", _first_words(F.col("seq"), F.col("hub"), F.col("least"), common, mixed.sparkSession).alias("words"))
+    begun = skew_join(mixed, hub, ["centre"], F.col("rid")).join(sequences, "rid").select("cell", "rid", "n", "root", "lesser", _first_words(F.col("seq"), F.col("hub"), F.col("least"), common, mixed.sparkSession).alias("words"))
     # a large cell's documents are spread over tasks before their words are
-    spread = begun.repartition(partitions(begun), "rid", "cell").select("cell", "rid", "n", "root", F.posexplode("words").alias("p", "g"))
+    spread = begun.repartition(partitions(begun), "rid", "cell").select("cell", "rid", "n", "root", "lesser", F.posexplode("words").alias("p", "g"))
     prefix = materialize(spread, "prefixes")
-    classes = prefix.groupBy("cell", "g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("p") - F.col("n")).alias("slack"), F.min(F.struct((F.col("p") - F.col("n")).alias("slack"), "rid")).alias("head"))
+    # lesser cells that hold all the members of a class that have the word: all such cells of one member, the first of several
+    low = F.get("lesser", F.lit(0))
+    held = F.when(F.min("rid") == F.max("rid"), F.first("lesser")).when((F.count(low) == F.count("*")) & (F.min(low) == F.max(low)), F.array(F.min(low))).otherwise(F.array().cast("array<long>"))
+    classes = prefix.groupBy("cell", "g", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("p") - F.col("n")).alias("slack"), F.min(F.struct((F.col("p") - F.col("n")).alias("slack"), "rid")).alias("head"), held.alias("lesser"))
 
     def side(k: str) -> DataFrame:
-        return classes.select("cell", "g", *[F.col(c).alias(c + k) for c in ("root", "lo", "hi", "slack", "head")])
+        return classes.select("cell", "g", *[F.col(c).alias(c + k) for c in ("root", "lo", "hi", "slack", "head", "lesser")])
 
     def fits(least: Column, slack: Column) -> Column:
         """``slack``, the words before the common one less all words, leaves room for the matches of ``least`` words of both."""
@@ -399,7 +419,7 @@ def _across(cells: DataFrame, roots: DataFrame, sequences: DataFrame, links: _Li
 
     alike = (F.col("lo1") * LEAST <= F.col("hi2")) & (F.col("lo2") * LEAST <= F.col("hi1"))
     room = fits(F.col("lo1") + F.col("lo2"), F.greatest("slack1", "slack2"))
-    met = side("1").join(side("2"), ["cell", "g"]).where((F.col("root1") < F.col("root2")) & alike & room)
+    met = side("1").join(side("2"), ["cell", "g"]).where((F.col("root1") < F.col("root2")) & alike & room & ~F.arrays_overlap("lesser1", "lesser2"))
     met = met.select("cell", "g", "root1", "root2", F.col("head1"), F.col("head2"), F.col("lo2").alias("other_lo"), F.col("hi2").alias("other_hi"), F.col("slack2").alias("other_slack"))
     met = materialize(met, "met")
     # one pair of each two classes settles most of them; members follow only where classes stay apart

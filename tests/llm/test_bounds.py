@@ -54,3 +54,29 @@ def test_word_hashes_are_one_to_one_with_words(monkeypatch):
     monkeypatch.setattr(minhash, "PIECE", 50)
     assert (minhash.word_hashes(text) == whole).all()
     assert not len(minhash.word_hashes(None)) and not len(minhash.word_hashes(" - "))
+
+
+def test_documents_of_several_cells_meet_in_one(spark, monkeypatch):
+    """Texts of two passages and ends of their own share many buckets, whose centres make many cells."""
+    rng = np.random.default_rng(8)
+    passages = [[f"p{j}x{k}" for k in range(60)] for j in range(2)]
+    texts = []
+    for b in range(60):
+        own = [f"o{w}" for w in rng.integers(0, 40, rng.integers(8, 16))]
+        texts.append(" ".join([*passages[0][: rng.integers(20, 60)], *own, *passages[1][rng.integers(0, 40) :]]))
+    met, plain = [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, label: met.append(t := plain(df, label)) or t if label == "met" and "root1" in df.columns else plain(df, label))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, rounds=1).collect()}
+
+    words = [minhash.word_hashes(t) for t in texts]
+    want = {k: k for k in got}
+    for j in got:
+        for i in range(j):
+            if want[i] != want[j] and minhash.aligned(words[i], words[j])[0]:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    assert got == want and 1 < len(set(want.values())) < len(texts)
+    alone = [k for k in got if list(got.values()).count(got[k]) == 1]  # row ids are the ids here
+    cells = met[0].where(F.col("root1").isin(alone) & F.col("root2").isin(alone)).groupBy("root1", "root2").agg(F.count_distinct("cell").alias("n")).collect()
+    assert len(cells) > 20 and {r.n for r in cells} == {1}

@@ -55,3 +55,13 @@ def test_places_of_words():
         source = [k for k, c in enumerate(t) for _ in c.lower()]
         want = [(m[0], source[m.start()], source[m.end() - 1] + 1) for m in langid._WORD.finditer(lower)]
         assert [(w, *p) for ws, at in langid._placed(t) for w, p in zip(ws, at.tolist(), strict=True)] == want
+
+
+def test_letters_of_few_words_are_held_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in [900] * 400 + [5] * 6000 + [1500] * 3]
+    model = langid.fit([(["one", "two", "of"], "en"), (["eins", "zwei", "der"], "de")] * 4)
+    letters, plain = [], langid.features_of
+    monkeypatch.setattr(langid, "features_of", lambda ws, lexicons: letters.append(sum(map(len, ws))) or plain(ws, lexicons))
+    got = langid.label([" ".join(words)], model)
+    assert max(letters) <= 101_000 and sum(letters) == sum(len(w) for w in set(words) if len(w) < 1000) and got[0][0] in ("de", "en")
