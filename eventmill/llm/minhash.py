@@ -239,7 +239,8 @@ def _numbers(rows: list[np.ndarray]) -> pa.Array:
 def _hashes(rows: pa.Array) -> Iterator[np.ndarray]:
     """The sequences of word hashes in binary ``rows``, each where it lies."""
     _, ends, held = rows.buffers()
-    ends = np.frombuffer(ends, np.int32, len(rows) + 1, 4 * rows.offset) if len(rows) else ()
+    width = np.dtype(np.int64 if pa.types.is_large_binary(rows.type) else np.int32)
+    ends = np.frombuffer(ends, width, len(rows) + 1, width.itemsize * rows.offset) if len(rows) else ()
     for a, b in zip(ends[:-1], ends[1:]):
         yield np.frombuffer(held, "<u8", (b - a) // 8, a) if b > a else np.zeros(0, np.uint64)
 

@@ -4,6 +4,8 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from eventmill.llm import minhash
@@ -80,3 +82,14 @@ def test_documents_of_several_cells_meet_in_one(spark, monkeypatch):
     alone = [k for k in got if list(got.values()).count(got[k]) == 1]  # row ids are the ids here
     cells = met[0].where(F.col("root1").isin(alone) & F.col("root2").isin(alone)).groupBy("root1", "root2").agg(F.count_distinct("cell").alias("n")).collect()
     assert len(cells) > 20 and {r.n for r in cells} == {1}
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_hashes_of_a_part_of_the_rows(kind):
+    want = [[1, 2**64 - 1], [], [7], [5, 6, 7]]
+    rows = pa.array([np.array(x, "<u8").tobytes() for x in want], kind)
+    for a in range(5):
+        for n in range(5 - a):
+            assert [x.tolist() for x in minhash._hashes(rows.slice(a, n))] == want[a : a + n]
+    assert [x.tolist() for x in minhash._hashes(pa.array([], kind))] == []
+    assert minhash._numbers([np.array(x, np.uint64) for x in want]).to_pylist() == [[1, -1], [], [7], [5, 6, 7]]
